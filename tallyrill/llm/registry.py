@@ -1,14 +1,18 @@
 """Queries of the training-data operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontaminate, quality, simhash, token_counts
+from . import decontaminate, line_dedup, mixing, quality, simhash, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op3_token_counts": token_counts.query,
     "op4_quality": quality.query,
     "op5_simhash": simhash.query,
+    "op7_line_dedup": line_dedup.query,
+    "op8_mixing": mixing.query,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
+    "op8_mixing": mixing.ORACLE,
 }

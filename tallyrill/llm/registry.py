@@ -1,6 +1,6 @@
 """Queries of the training-data operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontaminate, line_dedup, mixing, quality, simhash, token_counts
+from . import decontaminate, line_dedup, mixing, quality, secret_scan, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -9,6 +9,8 @@ QUERIES = {
     "op5_simhash": simhash.query,
     "op7_line_dedup": line_dedup.query,
     "op8_mixing": mixing.query,
+    "op9_sharding": sharding.query,
+    "op10_secrets": secret_scan.query,
 }
 
 ORACLES = {

@@ -1,12 +1,13 @@
 """Queries of the training-data operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontaminate, line_dedup, mixing, quality, secret_scan, sharding, simhash, token_counts
+from . import decontaminate, line_dedup, mixing, quality, secret_scan, sharding, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op3_token_counts": token_counts.query,
     "op4_quality": quality.query,
     "op5_simhash": simhash.query,
+    "op6_substring_dedup": substring_dedup.query,
     "op7_line_dedup": line_dedup.query,
     "op8_mixing": mixing.query,
     "op9_sharding": sharding.query,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }

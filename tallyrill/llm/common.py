@@ -99,3 +99,10 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[p
 
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df, written once as Parquet to the shared folder; smaller than a checkpoint of many short rows."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,9 +1,10 @@
 """Queries of the training-data operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontaminate, line_dedup, mixing, quality, secret_scan, sharding, simhash, substring_dedup, token_counts
+from . import decontaminate, line_dedup, lm_score, mixing, quality, secret_scan, sharding, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_lm_score": lm_score.query,
     "op3_token_counts": token_counts.query,
     "op4_quality": quality.query,
     "op5_simhash": simhash.query,

@@ -7,7 +7,7 @@ to trace back. Words are segmented alone (pieces never cross white space), so
 results are memoised per distinct word in a bounded table.
 
 Rules of the tokenizer that are kept exactly: a word is `[^\x20\x09-\x0D]+`
-with the word mark U+2581 before it; scores add up as doubles from left to
+with the word mark U+2581 before it, unless it starts with one; scores add up as doubles from left to
 right; among equal scores the piece that starts earliest wins; a character
 that is no piece by itself can be read as unknown at the lowest score less 10;
 neighbouring unknowns fuse into one; a fused unknown is spelled in byte pieces
@@ -49,30 +49,35 @@ class UnigramCounter:
 
     def _count(self, word: bytes) -> tuple[int, int, float]:
         """(tokens, unknown characters, score) of a word."""
-        text = MARK + word.decode()
+        text = word.decode()
+        if not text.startswith(MARK):
+            text = MARK + text
         n = len(text)
-        best: list[float | None] = [None] * (n + 1)
-        count, unknown, in_unknown = [0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        best[0] = 0.0
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, piece in self.trie.iter(text) if len(self.trie) else ():
-            ends[end + 1].append(piece)
-        for e in range(1, n + 1):
-            single = False
-            # the automaton gives longer pieces, which start earlier, first
-            for size, score in sorted(ends[e], reverse=True):
-                single |= size == 1
-                s = e - size
-                total = score + best[s]
-                if best[e] is None or total > best[e]:
-                    best[e], count[e], unknown[e], in_unknown[e] = total, count[s] + 1, unknown[s], False
+        scores, counts, odd, fused = [0.0], [0], [0], [False]
+        ends = self.trie.iter(text) if len(self.trie) else iter(())
+        end, piece = next(ends, (n, None))
+        for e in range(n):
+            best, single = None, False
+            # the automaton gives the pieces that end here longest first, that is by their start
+            while end == e:
+                size, score = piece
+                s = e + 1 - size
+                total = score + scores[s]
+                if best is None or total > best:
+                    best, count, unknown = total, counts[s] + 1, odd[s]
+                single = size == 1
+                end, piece = next(ends, (n, None))
+            in_unknown = False
             if not single:
-                s = e - 1
-                total = self.unknown + best[s]
-                if best[e] is None or total > best[e]:
-                    spelled = len(text[s].encode()) if self.bytes_too else 0 if in_unknown[s] else 1
-                    best[e], count[e], unknown[e], in_unknown[e] = total, count[s] + spelled, unknown[s] + 1, True
-        return count[n], unknown[n], best[n]
+                total = self.unknown + scores[e]
+                if best is None or total > best:
+                    spelled = len(text[e].encode()) if self.bytes_too else 0 if fused[e] else 1
+                    best, count, unknown, in_unknown = total, counts[e] + spelled, odd[e] + 1, True
+            scores.append(best)
+            counts.append(count)
+            odd.append(unknown)
+            fused.append(in_unknown)
+        return counts[n], odd[n], scores[n]
 
     def __call__(self, word: bytes) -> tuple[int, int, float]:
         return self.memo(word) if len(word) <= MEMO_CHARS else self._count(word)

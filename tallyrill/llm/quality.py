@@ -145,8 +145,8 @@ def fences(sketch: DataFrame, least: int = LEAST, spread: float = SPREAD) -> Dat
 
     source = wide(["lang", "source"], "s")
     lang = wide(["lang"], "l").withColumnRenamed("lang", "_lang")
-    corpus = wide([], "c").withColumn("_one", F.lit(1))
-    joined = source.join(lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("_one", F.lit(1)).join(corpus, "_one", "left")
+    corpus = wide([], "c").first()  # one row
+    joined = source.join(lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumns({c: F.lit(v).cast("double") for c, v in corpus.asDict().items()})
     def pick(name: str) -> Column:
         return (
             F.when(F.col("s_total") >= least, F.col(f"s_{name}")).when(F.col("l_total") >= least, F.col(f"l_{name}")).otherwise(F.col(f"c_{name}")).alias(name)
@@ -168,7 +168,8 @@ def judge_quality(docs: DataFrame, least: int = LEAST, spread: float = SPREAD) -
     for c in ("lang", "source"):
         if c not in docs.columns:
             docs = docs.withColumn(c, F.lit(None).cast("string"))
-    limits = checkpointed(fences(sketches(measured(docs.select("text", "lang", "source"))), least, spread))
+    sketch = checkpointed(sketches(measured(docs.select("text", "lang", "source"))))
+    limits = checkpointed(fences(sketch, least, spread))
     groups = limits.count()
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     rows = measured(docs)

@@ -1,4 +1,6 @@
 """Queries of the listing engine and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import listing_queries
+
+QUERIES: dict = dict(listing_queries.QUERIES)
+ORACLES: dict = dict(listing_queries.ORACLES)

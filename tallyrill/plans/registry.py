@@ -1,6 +1,6 @@
 """Queries of the listing engine and their DuckDB SQL."""
 
-from . import listing_queries
+from . import listing_queries, text_queries  # noqa: F401  the second registers with the first
 
-QUERIES: dict = dict(listing_queries.QUERIES)
-ORACLES: dict = dict(listing_queries.ORACLES)
+QUERIES: dict = listing_queries.QUERIES
+ORACLES: dict = listing_queries.ORACLES

@@ -7,6 +7,7 @@ is 0x80 or more and therefore part of a word under both of them.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -27,7 +28,20 @@ SPACE = b" \t\n\x0b\x0c\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch. The default is a number of rows, which for whole texts is too much memory in each worker.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let no batch that goes to Python be larger than BATCH_BYTES, but for a single longer text; the session keeps a smaller setting."""
+    now = spark.conf.get(_BATCH)
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +51,7 @@ def shared_root(spark: SparkSession) -> str:
     Only where the setting is missing (tests on one machine) a folder of this
     machine is made and set as checkpoint folder.
     """
+    small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if root:
@@ -86,6 +101,7 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """df and new columns, computed batch by batch; columns of the same name are replaced."""
+    small_batches(df.sparkSession)
     df = without(df, [f.name for f in fields])
     schema = T.StructType([*df.schema.fields, *fields])
     names = schema.names
@@ -106,3 +122,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that are written and no longer referred to."""
+    gc.collect()
+    spark._jvm.System.gc()

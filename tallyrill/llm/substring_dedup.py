@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, checkpointed, sha256_hex, table, without
+from .common import as_bytes, checkpointed, release, sha256_hex, stored, table, without
 
 WINDOW = 20
 GRAM = 6
@@ -39,6 +39,8 @@ GROUP = 4_000
 #: Rows without doc_id come after all others.
 NO_ID = (1 << 63) - 1
 CHUNK_BYTES = 1 << 20
+#: Later copies (16 bytes each) up to which their keys are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_COPIES = 500_000
 _LOW = np.uint64((1 << 22) - 1)
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -127,12 +129,11 @@ def find_anchors(pieces: list[bytes], powers: _Powers, window: int, gram: int):
     return buffer, starts, ends, first_word, grams[anchor], piece[begin], anchor, begin, count
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], window: int):
-    """Lists of (row, number of the piece's first word, piece), of about CHUNK_BYTES; row: the batch's values but the text."""
+def _chunks(batches: Iterator[pa.RecordBatch], window: int, names: tuple[str, ...]):
+    """Lists of (row, number of the piece's first word, piece), of about CHUNK_BYTES; row: the values of the named columns."""
     held, size = [], 0
     for batch in batches:
-        others = [c for c in batch.schema.names if c != "text"]
-        rows = zip(*(batch.column(c).to_pylist() for c in others), strict=True)
+        rows = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
         for row, text in zip(rows, as_bytes(batch.column("text")), strict=True):
             for base, piece in segments(text or b"", window):
                 held.append((row, base, piece))
@@ -150,7 +151,7 @@ _ANCHOR = "k bigint, h bigint, pos int, gram bigint"
 def _anchor_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
-        for held in _chunks(batches, window):
+        for held in _chunks(batches, window, ("k", "h")):
             _, _, _, first_word, grams, piece, anchor, _, _ = find_anchors([x[2] for x in held], powers, window, gram)
             k, h = (np.fromiter((x[0][i] for x in held), np.int64, len(held)) for i in (0, 1))
             base = np.fromiter((x[1] for x in held), np.int64, len(held))
@@ -165,12 +166,16 @@ _CONTEXT = "gram bigint, k bigint, h bigint, start int, windows int, words binar
 _WINDOW_ROW = "digest binary, k bigint, h bigint, start int"
 
 
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b"\t".join(words), digest_size=16).digest()
+
+
 def _contexts(window: int, gram: int, hot: bool):
     """Of rows with flagged anchors (2 * position, odd where the gram is hot): the words around each, or each window's digest if hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
-        for held in _chunks(batches, window):
+        for held in _chunks(batches, window, ("k", "h", "flags")):
             buffer, starts, ends, first_word, grams, piece, anchor, begin, count = find_anchors([x[2] for x in held], powers, window, gram)
             wanted = [{p >> 1 for p in x[0][2] if (p & 1) == hot} for x in held]
             out: list[list] = [[] for _ in range(4 if hot else 6)]
@@ -180,7 +185,7 @@ def _contexts(window: int, gram: int, hot: bool):
                     continue
                 (k, h, _), words = held[p][0], buffer[starts[b] : ends[b + n + window - 2]].split()
                 if hot:
-                    rows = [(hashlib.blake2b(b"\t".join(words[i : i + window]), digest_size=16).digest(), k, h, int(b + i + shift)) for i in range(n)]
+                    rows = [(_digest(words[i : i + window]), k, h, int(b + i + shift)) for i in range(n)]
                 else:
                     rows = [(g, k, h, int(b + shift), n, b"\t".join(words))]
                 for row in rows:
@@ -269,30 +274,35 @@ def _sequence_digest(batches: Iterator[pa.RecordBatch], window: int) -> Iterator
         sums = []
         for text in as_bytes(batch.column("text")):
             words = text.split() if text else []
-            sums.append(hashlib.blake2b(b"\t".join(words), digest_size=16).digest() if len(words) >= window else None)
+            sums.append(_digest(words) if len(words) >= window else None)
         yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(sums, pa.binary())], names=["k", "h", "digest"])
 
 
 def repeated_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """Of rows (k, h, text): (k, h) of later copies of a word sequence, and (k, h, first, last) of repeated words in the others."""
+    """Of rows (k, h, text and others): (k, h) of later copies of a word sequence, and (k, h, first, last) of repeated words in the others."""
     spark = rows.sparkSession
-    digests = checkpointed(rows.mapInArrow(lambda b: _sequence_digest(b, window), "k bigint, h bigint, digest binary").where("digest is not null").distinct())
+    texts = rows.select("k", "h", "text")
+    digests = checkpointed(texts.mapInArrow(lambda b: _sequence_digest(b, window), "k bigint, h bigint, digest binary").where("digest is not null").distinct())
     firsts = digests.groupBy("digest").agg(F.min("k").alias("k"))
     # among equal k (one doc_id, or none) the hash of the text decides; equal texts are then the same document
     firsts = digests.join(firsts, ["digest", "k"]).groupBy("digest", "k").agg(F.min("h").alias("h")).withColumnsRenamed({"k": "k1", "h": "h1"})
     copies = checkpointed(digests.join(firsts, "digest").where("k <> k1 or h <> h1").select("k", "h").distinct())
-    single = rows.join(copies, ["k", "h"], "left_anti")
-    anchors = single.mapInArrow(_anchor_rows(window, gram), _ANCHOR)
+    few = copies.count() <= BROADCAST_COPIES
+    anchors = texts.join(F.broadcast(copies) if few else copies, ["k", "h"], "left_anti").mapInArrow(_anchor_rows(window, gram), _ANCHOR)
     again = checkpointed(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
+    release(spark)
     flags = anchors.join(again, "gram").select("k", "h", (F.col("pos").cast("bigint") * 2 + (F.col("n") > group).cast("int")).alias("flag"))
-    flags = flags.groupBy("k", "h").agg(F.collect_set("flag").alias("flags"))
-    flagged = single.join(flags, ["k", "h"]).select("k", "h", "flags", "text")
+    flags = checkpointed(flags.groupBy("k", "h").agg(F.collect_set("flag").alias("flags")))
+    release(spark)
+    # all columns go on, so that this is the exchange of the texts that the result is made from, too
+    flagged = rows.join(flags, ["k", "h"])
     contexts = flagged.mapInArrow(_contexts(window, gram, False), _CONTEXT)
     contexts = contexts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram").sortWithinPartitions("gram")
     repeats = contexts.mapInArrow(_subtree_repeats(window), _REPEAT)
     if not again.where(F.col("n") > group).isEmpty():
         windows = flagged.where(F.exists("flags", lambda f: f % 2 == 1)).mapInArrow(_contexts(window, gram, True), _WINDOW_ROW)
-        windows = checkpointed(windows.distinct())
+        windows = stored(windows, "windows")
+        release(spark)
         place = F.struct("k", "h", "start")
         first = windows.groupBy("digest").agg(F.min(place).alias("one"), F.count("*").alias("n")).where("n > 1")
         late = windows.join(first, "digest").where(place != F.col("one"))
@@ -313,7 +323,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
     names = ["n_words", "n_removed", "kept_text" if text_too else "kept_sha256"]
     base = without(docs, [*names, "k", "h", "_copy", "_ranges"])
     rows = base.withColumn("k", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("h", F.xxhash64("text"))
-    copies, repeats = repeated_ranges(rows.select("k", "h", "text"), window, gram, group)
+    copies, repeats = repeated_ranges(rows, window, gram, group)
     repeats = repeats.groupBy("k", "h").agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))
     joined = rows.join(copies.withColumn("_copy", F.lit(True)), ["k", "h"], "left").join(repeats, ["k", "h"], "left")
     own = base.columns

@@ -74,7 +74,7 @@ CONDITION_CODES = {
     "1000": "new", "1500": "unworn", "1750": "unworn", "2000": "used", "2010": "used", "2020": "used", "2030": "used", "2500": "used", "2750": "used",
     "3000": "used", "4000": "used", "5000": "used", "6000": "used", "7000": "used",
 }
-CURRENCIES = {"$": "USD", "US$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "CHF": "CHF"}
+CURRENCIES = {"$": "USD", "US$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
 # -------------------------------------------------------------------------------------------------------------------
 
 
@@ -205,10 +205,10 @@ def condition_of_code(code: Column, said: Column) -> Column:
 
 
 def currency_of(symbol: Column) -> Column:
-    """ISO code of a symbol; of others the trimmed capitals if three letters, else USD."""
+    """ISO code of a symbol; of others three capitals as they are, else USD."""
     t = F.trim(symbol)
-    known = F.create_map(*[F.lit(x) for pair in CURRENCIES.items() for x in pair])[F.upper(t)]
-    return F.coalesce(known, F.when(F.upper(t).rlike(r"^[A-Z]{3}\z"), F.upper(t)), F.lit("USD"))
+    known = F.create_map(*[F.lit(x) for pair in CURRENCIES.items() for x in pair])[t]
+    return F.coalesce(known, F.when(t.rlike(r"^[A-Z]{3}\z"), t), F.lit("USD"))
 
 
 def minor_units(amount: Column, currency: Column) -> Column:

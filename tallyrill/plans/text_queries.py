@@ -305,3 +305,59 @@ def _(listings):
 @query("rescue_candidates", f"SELECT id FROM listings WHERE source_id = 1 AND last_seen_at >= {NOW} - INTERVAL 20000 HOUR AND (price_cents IS NULL OR brand IS NULL OR condition IS NULL OR price_min_cents IS NOT NULL OR price_max_cents IS NOT NULL) AND coalesce(description, '') = '' ORDER BY id LIMIT 100", "listings")
 def _(listings):
     return M.rescue_candidates(listings, 1, Q.at(LISTINGS_AS_OF), 20_000).select("id")
+
+
+# ---- reports and streams' batch twins -----------------------------------------------------------------------------
+
+
+def _predictions(listings, reviews):
+    return R.with_reviews(listings, reviews, "inner").where("condition is not null and review_condition is not null").select(F.col("condition").alias("actual"), F.col("review_condition").alias("predicted"))
+
+
+_PRED = ", p AS (SELECT l.condition AS actual, r.condition AS predicted FROM listings l JOIN reviews r ON r.listing_id = l.id WHERE l.condition IS NOT NULL AND r.condition IS NOT NULL)"
+
+
+@query("confusion_matrix", f"{_PRED} SELECT actual, predicted, count(*) AS n FROM p GROUP BY 1, 2", "listings", "reviews")
+def _(listings, reviews):
+    from tallyrill.operators.ml import confusion
+
+    return confusion(_predictions(listings, reviews))
+
+
+@query(
+    "classification_report",
+    f"""{_PRED}, k AS (SELECT actual AS label FROM p UNION SELECT predicted FROM p),
+    e AS (SELECT label, count(*) FILTER (actual = label AND predicted = label) AS tp, count(*) FILTER (predicted = label) AS said, count(*) FILTER (actual = label) AS support FROM k, p GROUP BY label),
+    f AS (SELECT label, tp, support, CASE WHEN said > 0 THEN tp / CAST(said AS DOUBLE) ELSE 0 END AS precision, CASE WHEN support > 0 THEN tp / CAST(support AS DOUBLE) ELSE 0 END AS recall FROM e),
+    g AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM f),
+    r AS (SELECT label, precision, recall, f1, support FROM g
+      UNION ALL SELECT 'accuracy', sum(tp) / CAST(sum(support) AS DOUBLE), sum(tp) / CAST(sum(support) AS DOUBLE), sum(tp) / CAST(sum(support) AS DOUBLE), sum(support) FROM g
+      UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM g
+      UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM g)
+    SELECT label, floor(precision * 10000 + 0.5) / 10000 AS precision, floor(recall * 10000 + 0.5) / 10000 AS recall, floor(f1 * 10000 + 0.5) / 10000 AS f1, CAST(support AS BIGINT) AS support FROM r""",
+    "listings", "reviews",
+)
+def _(listings, reviews):
+    from tallyrill.operators.ml import classification_report
+
+    return classification_report(_predictions(listings, reviews))
+
+
+@query("limiter_outcomes", None, "analytics_events")
+def _(events):
+    """Sign-in attempts as the events of 50 addresses: searches succeed, all else fails."""
+    from tallyrill.streaming.limiter import decide
+
+    ms = F.unix_millis(F.col("created_at").cast("timestamp"))
+    return decide(events.select(F.concat(F.lit("ip"), (F.col("user_id") % 50).cast("string")).alias("ip"), ms.alias("ms"), (F.col("event_type") == "search").alias("success")))
+
+
+@query(
+    "ingest_counters",
+    "SELECT count(*) AS upserted, count(price_cents) AS priced, count(brand) AS branded, count(reference) AS referenced, count(condition) AS with_condition, count(*) FILTER (is_sold) AS sold, count(*) FILTER (is_bundle) AS bundles FROM listings",
+    "listings",
+)
+def _(listings):
+    from tallyrill.streaming.ingest import counters
+
+    return counters(listings)

@@ -1,0 +1,49 @@
+"""Tables in versions: a merge's result is written beside the old rows and then becomes the table."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+_NAME = re.compile(r"v(\d{12})(?:-b(\d+))?")
+
+
+class VersionedTable:
+    """Parquet folders v<number>[-b<batch>] under a path; the highest complete one is the table."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def _versions(self) -> dict[int, tuple[str, int | None]]:
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = {}
+        for s in fs.listStatus(root) if fs.exists(root) else ():
+            name = s.getPath().getName()
+            m = _NAME.fullmatch(name)
+            # the committer writes _SUCCESS last: a folder without it is an unfinished write
+            if m and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
+                found[int(m[1])] = (name, int(m[2]) if m[2] else None)
+        return found
+
+    def version(self) -> int:
+        return max(self._versions(), default=0)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The latest rows, or those of a version; without any, no rows."""
+        found = self._versions()
+        at = max(found, default=0) if version is None else version
+        if not at:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found[at][0]}")
+
+    def replace(self, rows: DataFrame, batch: int | None = None) -> int:
+        """rows become the table; a batch that was written before is not written again."""
+        found = self._versions()
+        if batch is not None and any(b is not None and b >= batch for _, b in found.values()):
+            return max(found)
+        n = max(found, default=0) + 1
+        rows.write.mode("overwrite").parquet(f"{self.path}/v{n:012d}" + (f"-b{batch}" if batch is not None else ""))
+        return n

@@ -28,7 +28,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
-#: Bytes of an Arrow batch. The default is a number of rows, which for whole texts is too much memory in each worker.
+#: Bytes of an Arrow batch. The default is a number of rows, which for whole texts is too much memory in each worker,
+#: as several workers live beside an executor's heap.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 

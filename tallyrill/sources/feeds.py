@@ -191,7 +191,7 @@ def read_feed(spark: SparkSession, path: str, source_id: int, parse: Callable[[C
         return F.lit(None).cast("string") if i is None else F.nullif(F.trim(F.col(f"_c{i}")), F.lit(""))
 
     link, title = cell(LINK_KEYS), cell(TITLE_KEYS)
-    rows = raw.select(link.alias("link"), title.alias("title"), cell(ID_KEYS).alias("own_id"), cell(PRICE_KEYS).alias("price"), cell(IMAGE_KEYS).alias("image"), F.col(f"_c{len(names) - 1}").isNull().alias("short"), F.monotonically_increasing_id().alias("pos"))
+    rows = raw.select(link.alias("link"), title.alias("title"), cell(ID_KEYS).alias("own_id"), cell(PRICE_KEYS).alias("price"), cell(IMAGE_KEYS).alias("image"), (F.col("_bad").isNotNull() & F.col(f"_c{len(names) - 1}").isNull()).alias("short"), F.monotonically_increasing_id().alias("pos"))
     good = ~F.col("short") & F.col("link").isNotNull() & F.col("title").isNotNull()
     counts = rows.agg(F.count_if(~good).alias("skipped"), F.count("*").alias("n"))
     external = F.substring(F.coalesce("own_id", fallback_id(F.col("link")), F.col("link")), 1, 191)

@@ -12,6 +12,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -91,6 +92,22 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def keeps_own(*hidden: str):
+    """For operators f(docs, ...): columns of docs with the names that f uses inside are put aside and come back as they were."""
+    taken = {h.lower() for h in hidden}
+
+    def wrap(f):
+        @wraps(f)
+        def run(docs: DataFrame, *args, **kwargs):
+            aside = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c.lower() in taken}
+            out = f(docs.withColumnsRenamed(aside), *args, **kwargs)
+            return out.withColumnsRenamed({v: k for k, v in aside.items()})
+
+        return run
+
+    return wrap
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     if pa.types.is_string(column.type):

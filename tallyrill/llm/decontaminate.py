@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, append_columns, as_bytes, checkpointed, table, without
+from .common import ALNUM, append_columns, as_bytes, checkpointed, keeps_own, table, without
 
 WINDOW = 10
 COVERAGE = 0.5
@@ -256,6 +256,7 @@ def cut(text: bytes, hits: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
+@keeps_own("n_words", "hits", "items")
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Clean docs in their own columns: rows covered by more than `coverage` go, spans of `window` words or more are cut.
 

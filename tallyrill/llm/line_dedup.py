@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, as_bytes, fresh_path, sha256_hex, table, without
+from .common import LOWER, SPACE, as_bytes, fresh_path, keeps_own, sha256_hex, table, without
 
 LEAST_CHARS = 10
 #: Rows without doc_id count as one document after all others.
@@ -78,23 +78,26 @@ class CuckooFilter:
             return True
         for b, p in zip(*(x.tolist() for x in self._parts(keys)), strict=True):
             b &= self.mask
+            if self._put(b, p):
+                continue
+            b = int(self._other(b, p))
             for turn in range(KICKS):
-                row = self.slots[b]
-                free = np.flatnonzero(row == 0)
-                if not len(free):
-                    b = int(self._other(b, p))
-                    row = self.slots[b]
-                    free = np.flatnonzero(row == 0)
-                if len(free):
-                    row[free[0]] = p
+                if self._put(b, p):
                     break
                 victim = (p + turn) % SLOTS
-                p, row[victim] = int(row[victim]), p
+                p, self.slots[b][victim] = int(self.slots[b][victim]), p
                 b = int(self._other(b, p))
             else:
                 return False
         return True
 
+    def _put(self, bucket: int, print_: int) -> bool:
+        row = self.slots[bucket]
+        free = np.flatnonzero(row == 0)
+        if len(free):
+            row[free[0]] = print_
+        return len(free) > 0
+
     def delete(self, keys: list[bytes]) -> None:
         """Of keys that were inserted."""
         if not keys:
@@ -277,6 +280,7 @@ class LineIndex:
 _OUT = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
 
 
+@keeps_own("_doc", "_keys")
 def dedup_lines(docs: DataFrame, index: LineIndex, text_too: bool = True) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text (or kept_sha256 instead, if not text_too), judged by the index.
 
@@ -287,7 +291,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex, text_too: bool = True) -> Dat
     document after all others. A null or empty text is one empty line.
     """
     names = ["n_lines", "n_dropped", "kept_text" if text_too else "kept_sha256"]
-    base = without(docs, [*names, "_doc", "_keys"])
+    base = without(docs, names)
     least = index.least
     rows = base.withColumn("_doc", doc_key())
     joined = rows.join(index.drops().withColumnsRenamed({"doc_id": "_doc", "keys": "_keys"}), "_doc", "left").drop("_doc")

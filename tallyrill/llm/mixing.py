@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, checkpointed, table, without
+from .common import WORD_RE, checkpointed, keeps_own, table, without
 
 MOST = 3
 SEED = 20240
@@ -63,6 +63,7 @@ def targets(sizes: DataFrame, weights: DataFrame | None = None, most: int = MOST
     return ranked.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("ratio"))
 
 
+@keeps_own("_sub", "_order", "_before", "_ratio", "_subs", "_in", "_rank", "_head", "_s", "_z", "_u")
 def plan_mix(docs: DataFrame, weights: DataFrame | None = None, most: int = MOST, seed: int = SEED) -> DataFrame:
     """docs with size, source_size (long), target (double) and copies (long, 0 to `most`).
 
@@ -72,7 +73,7 @@ def plan_mix(docs: DataFrame, weights: DataFrame | None = None, most: int = MOST
     and size are interchangeable: which of them is taken is not defined, how
     many are is. Without rows there are no results.
     """
-    base = without(docs, ["size", "source_size", "target", "copies", "_sub", "_order", "_before", "_ratio", "_subs", "_in"])
+    base = without(docs, ["size", "source_size", "target", "copies"])
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = base.withColumn("size", word_count(F.col("text"))).withColumn("_order", order)
     slim = rows.select("source", "size", F.substring("_order", 1, 4).alias("_head"))
@@ -114,6 +115,7 @@ def plan_mix(docs: DataFrame, weights: DataFrame | None = None, most: int = MOST
     return rows.withColumn("copies", copies).select(*base.columns, "size", "source_size", "target", "copies")
 
 
+@keeps_own("size", "source_size", "target", "copies", "_copy")
 def mix(docs: DataFrame, weights: DataFrame | None = None, most: int = MOST, seed: int = SEED) -> DataFrame:
     """docs in their own columns, each row as often as the mix takes it."""
     planned = plan_mix(docs, weights, most, seed).where("copies > 0")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, append_columns, as_bytes, checkpointed, table, without
+from .common import SPACE, append_columns, as_bytes, checkpointed, keeps_own, table, without
 
 MIN_WORDS = 10
 REPEAT_WINDOW = 5
@@ -77,6 +77,7 @@ def measure(text: bytes | None) -> tuple[int, ...]:
     )
 
 
+_HIDDEN = ["_n_lines", "_n_upper", "_n_marks", "_lang", "_source", "_salt", "_row_salt", *(f"_{k}" for k in {**UPPER, **BOTH}), *(f"{e}_{k}" for e in ("high", "low") for k in {**UPPER, **BOTH})]
 _MEASURED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_n_lines", "_n_upper", "_n_marks"]
 
 
@@ -155,6 +156,7 @@ def fences(sketch: DataFrame, least: int = LEAST, spread: float = SPREAD) -> Dat
     return joined.select("lang", "source", *[pick(f"high_{k}") for k in {**UPPER, **BOTH}], *[pick(f"low_{k}") for k in BOTH])
 
 
+@keeps_own(*_HIDDEN)
 def judge_quality(docs: DataFrame, least: int = LEAST, spread: float = SPREAD) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed and kept (boolean).
 
@@ -188,6 +190,7 @@ def judge_quality(docs: DataFrame, least: int = LEAST, spread: float = SPREAD) -
     return joined.withColumn("kept", ~F.col("base_failed") & ~outlier).select(*docs.columns, *names)
 
 
+@keeps_own(*BASE, "kept", *_HIDDEN)
 def keep_quality(docs: DataFrame, least: int = LEAST, spread: float = SPREAD) -> DataFrame:
     """The rows that judge_quality keeps, in the columns of docs."""
     return judge_quality(docs, least, spread).where("kept").select(*docs.columns)

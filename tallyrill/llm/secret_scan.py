@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, without
+from .common import checkpointed, keeps_own, table, without
 
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"
 ASSIGN_HINT = r"(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]"
@@ -106,6 +106,7 @@ def train(docs: DataFrame, sample_texts: tuple[int, int] = SAMPLE_TEXTS) -> list
     return out
 
 
+@keeps_own("_t", "_assign", "_access", "_hex", "_runs")
 def scan_secrets(docs: DataFrame, model: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with base_spans and model_spans: arrays of (start, end, no), no being the place in KINDS.
 
@@ -115,7 +116,7 @@ def scan_secrets(docs: DataFrame, model: list[float] | None = None, threshold: f
     A run that overlaps a base span is not reported again.
     """
     names = ["base_spans", "model_spans"]
-    base = without(docs, [*names, "_t", "_assign", "_access", "_hex", "_ratios"])
+    base = without(docs, names)
     ratios = model if model is not None else train(base)
     n = len(ALPHABET)
     table_sql = f"cast(split('{','.join(f'{x:.6f}' for x in ratios)}', ',') as array<double>)"

@@ -199,3 +199,39 @@ def keep_quality(docs: DataFrame, least: int = LEAST, spread: float = SPREAD) ->
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return judge_quality(docs).select("doc_id", *BASE, "kept")
+
+
+def _oracle() -> str:
+    """The same in DuckDB."""
+    rates = {
+        "symbol_rate": "n_symbols * 1000 // greatest(1, n_words)", "repeat_rate": "n_repeat_words * 1000 // greatest(1, n_words)", "dup_line_rate": "n_dup_lines * 1000 // greatest(1, n_lines)",
+        "upper_rate": "n_upper * 1000 // greatest(1, word_chars)", "mark_rate": "n_marks * 1000 // greatest(1, n_words)", "word_length": "word_chars * 100 // greatest(1, n_words)",
+    }
+    gone = lambda c: f"length(t) - length(regexp_replace(t, '[{c}]', '', 'g'))"
+    pairs = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS v FROM r WHERE NOT base_failed" for k in rates)
+    floors = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in {**UPPER, **BOTH}.items()) + " END"
+
+    def quart(tag: str, keys: str) -> str:
+        over = f"PARTITION BY {keys}measure"
+        return f"""q{tag} AS (SELECT {keys}measure, max(total) AS total, min(CASE WHEN upto >= ceil(total * 0.25) THEN val END) AS q1, min(CASE WHEN upto >= ceil(total * 0.75) THEN val END) AS q3
+          FROM (SELECT {keys}measure, val, sum(n) OVER ({over} ORDER BY bucket) AS upto, sum(n) OVER ({over}) AS total FROM (SELECT {keys}measure, bucket, any_value(val) AS val, sum(n) AS n FROM h GROUP BY {keys}measure, bucket)) GROUP BY {keys}measure)"""
+
+    out = " OR ".join(f"EXISTS (SELECT 1 FROM f WHERE f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source AND f.measure = '{k}' AND (r.{k} > f.high" + (f" OR r.{k} < f.low" if k in BOTH else "") + "))" for k in rates)
+    return rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i + {REPEAT_WINDOW - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) - {REPEAT_WINDOW - 2} AS BIGINT))) AS i FROM d WHERE len(w) >= {REPEAT_WINDOW}))),
+p AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(CAST(i AS BIGINT), CAST(i + {REPEAT_WINDOW} AS BIGINT))) AS x FROM g WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({gone('#*$%&|<>')} AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, {gone('A-Z')} AS n_upper, {gone('!?')} AS n_marks FROM d LEFT JOIN p USING (doc_id)),
+r AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, {', '.join(f'{v} AS {k}' for k, v in rates.items())} FROM m),
+b AS (SELECT *, CASE WHEN v < 16 THEN v ELSE (length(bin(v)) - 4) * 16 + (v >> CAST(length(bin(v)) - 5 AS BIGINT)) - 16 END AS bucket FROM ({pairs})),
+h AS (SELECT lang, source, measure, bucket, any_value(CASE WHEN bucket < 16 THEN CAST(bucket AS DOUBLE) ELSE (bucket % 16 + 16) * pow(CAST(2 AS DOUBLE), bucket // 16 - 1) END) AS val, count(*) AS n FROM b GROUP BY 1, 2, 3, 4),
+{quart('s', 'lang, source, ')}, {quart('l', 'lang, ')}, {quart('c', '')},
+f AS (SELECT lang, source, measure, q3 + {SPREAD} * greatest(q3 - q1, {floors}) AS high, q1 - {SPREAD} * greatest(q3 - q1, {floors}) AS low
+  FROM (SELECT s.lang, s.source, s.measure, CASE WHEN s.total >= {LEAST} THEN s.q1 WHEN l.total >= {LEAST} THEN l.q1 ELSE c.q1 END AS q1, CASE WHEN s.total >= {LEAST} THEN s.q3 WHEN l.total >= {LEAST} THEN l.q3 ELSE c.q3 END AS q3
+    FROM qs s LEFT JOIN ql l ON l.lang IS NOT DISTINCT FROM s.lang AND l.measure = s.measure LEFT JOIN qc c ON c.measure = s.measure))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({out}) AS kept FROM r
+"""
+
+
+ORACLE = _oracle()

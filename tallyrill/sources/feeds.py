@@ -184,7 +184,9 @@ def read_feed(spark: SparkSession, path: str, source_id: int, parse: Callable[[C
     names = [normal_header(x.strip().strip('"')) for x in header.split(sep)]
     fields = ", ".join(f"_c{i} string" for i in range(len(names)))
     quote = "" if sep == "\t" else '"'
-    raw = spark.read.csv(path, schema=f"{fields}, _bad string", sep=sep, quote=quote, escape='"', header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True)
+    # with its columns pruned, the parser would not see that a row is short
+    reader = spark.read.option("columnPruning", False)
+    raw = reader.csv(path, schema=f"{fields}, _bad string", sep=sep, quote=quote, escape='"', header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True)
 
     def cell(keys: tuple[str, ...]) -> Column:
         i = column_for(names, keys)

@@ -39,7 +39,7 @@ def test_feed(spark, tmp_path):
     rows, counts = feeds.read_feed(spark, str(path), 3, lambda c: W.parse_watch(c))
     got = {r.external_id: r for r in rows.collect()}
     assert set(got) == {"d1", "s9"} and got["d1"].price_cents == 120000 and got["s9"].price_cents == 0 and got["d1"].title == 'Omega "Speed", 145.022'
-    assert counts.first().skipped == 1
+    assert counts.first().skipped == 1 and counts.first().n == 3
     assert feeds.sniff_delimiter("a\tb,c") == "\t" and feeds.normal_header(" Sale Price! ") == "sale_price" and feeds.retry_wait("90") == 60 and feeds.retry_wait(None) == 5
 
 

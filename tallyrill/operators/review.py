@@ -124,6 +124,19 @@ def like_escaped(q: str) -> str:
     return q.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
 
 
+def review_url(filter_name: str, page: int = 1, limit: int = 60, q: str | None = None) -> str:
+    """The query string of a review page; what is as by default is left out."""
+    from urllib.parse import urlencode
+
+    parts = {"filter": filter_name} | ({"page": page} if page > 1 else {}) | ({"limit": limit} if limit != 60 else {})
+    return urlencode(parts | ({"q": q.strip()} if q and q.strip() else {}))
+
+
+def unknown_price_only(price_reviewed: Column, *prices: Column) -> Column:
+    """Reviewed without any price: the price is known to be unknown."""
+    return F.coalesce(price_reviewed, F.lit(False)) & F.coalesce(*prices).isNull()
+
+
 def multi_brand_counts(listings: DataFrame, reviews: DataFrame, hits: Column, as_of: str, days: int = RECENT_DAYS, rows: int = MULTI_BRAND_ROWS) -> DataFrame:
     """Among the newest rows: several brands and open, several brands and reviewed, and open ones that no other queue has. hits: number of brands offered."""
     newest = with_reviews(listings, reviews).where(recent(as_of, days)).orderBy(F.desc("first_seen_at"), "id").limit(rows).withColumn("_hits", hits)

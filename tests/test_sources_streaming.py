@@ -118,3 +118,17 @@ def test_upsert_rules(spark, sf_dir):
 @pytest.mark.parametrize("n,expected", [(0, 1), (5, 5), (99, 10)])
 def test_pages(n, expected):
     assert feeds.pages_of(n) == expected
+
+
+def test_classify(spark):
+    from tallyrill.functions.classify import classify, prompt_text
+    from tallyrill.sources.demo import demo_listings, demo_sources
+
+    rows = spark.createDataFrame([(1, "a", "", None), (2, "b", "x" * 5000, "c"), (3, " ", None, None), (4, "d", None, None), (5, "e", None, None)], "id int, title string, description string, op_comment string")
+    said = {"a": '{"condition": "good", "watch_type": "modern", "confidence": 1.7}', "d": "no json", "e": '{"condition": 5, "watchType": "vintage", "confidence": "0.9"}'}
+    got = {r.id: (r.condition, r.watch_type, r.confidence) for r in classify(rows, lambda texts: [said.get(t) for t in texts]).collect()}
+    assert got == {1: ("good", None, 1.0), 2: (None, None, None), 3: (None, None, None), 4: (None, None, None), 5: (None, "vintage", 0.0)}
+    assert rows.where("id = 2").select(F.length(prompt_text(F.col("title"), F.col("description"), F.col("op_comment"))).alias("n")).first().n == 4000
+    demo = demo_listings(spark, lambda c: W.parse_watch(c), at("2024-01-01"))
+    assert demo.count() == 20 and demo.where("brand is null").count() == 0 and demo_sources(spark).count() == 1
+    assert demo.dtypes == spark.createDataFrame([], schema.LISTINGS).dtypes

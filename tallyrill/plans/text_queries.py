@@ -33,7 +33,13 @@ def _(listings):
 
 
 _FLAIRS = ("WTS", "$1,000-$1,999", "Under $500", "$10,000+", "$5k to $9.9k", "over $2k", "SOLD", "less than 300", "$100 - $50")
-_FLAIR = F.element_at(F.array(*[F.lit(x) for x in _FLAIRS]), (F.col("id") % len(_FLAIRS) + 1).cast("int"))
+
+
+def _one_of(values: tuple[str, ...]):
+    """One of the values for each listing, by its id."""
+    return F.element_at(F.array(*[F.lit(x) for x in values]), (F.col("id") % len(values) + 1).cast("int"))
+
+
 _FLAIR_SQL = f"list_extract([{', '.join(_Q(x) for x in _FLAIRS)}], id % {len(_FLAIRS)} + 1)"
 
 
@@ -48,11 +54,10 @@ def _flair_sql() -> str:
 
 @query("text_flair_range", _flair_sql(), "listings")
 def _(listings):
-    return listings.select("id", T.flair_range(_FLAIR).alias("r")).select("id", *[F.col(f"r.{c}").alias(c) for c in ("min_cents", "max_cents", "mid_cents")])
+    return listings.select("id", T.flair_range(_one_of(_FLAIRS)).alias("r")).select("id", *[F.col(f"r.{c}").alias(c) for c in ("min_cents", "max_cents", "mid_cents")])
 
 
 _COMMENTS = ("sold!", "Thanks, sold", "almost sold on this", "SOLD to u/someone", "price drop", "It has been sold", "x\nsold\ny")
-_COMMENT = F.element_at(F.array(*[F.lit(x) for x in _COMMENTS]), (F.col("id") % len(_COMMENTS) + 1).cast("int"))
 _COMMENT_SQL = "list_extract([" + ", ".join(_Q(x).replace("\n", "' || chr(10) || '") for x in _COMMENTS) + f"], id % {len(_COMMENTS)} + 1)"
 
 
@@ -62,7 +67,7 @@ _COMMENT_SQL = "list_extract([" + ", ".join(_Q(x).replace("\n", "' || chr(10) ||
     "listings",
 )
 def _(listings):
-    return listings.select("id", T.is_sold(F.col("title"), _FLAIR, _COMMENT).alias("sold"))
+    return listings.select("id", T.is_sold(F.col("title"), _one_of(_FLAIRS), _one_of(_COMMENTS)).alias("sold"))
 
 
 @query("text_state", "SELECT id, nullif(regexp_extract(title, '\\[([A-Z]{2})\\]', 1), '') AS state FROM listings", "listings")

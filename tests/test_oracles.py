@@ -25,3 +25,11 @@ def test_gives_rows(spark, sf_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 25
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_imports_without_a_session():
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 80)"], capture_output=True, text=True, cwd=entry.__file__.rsplit("/", 1)[0])
+    assert said.stdout.strip().endswith("True"), said.stderr

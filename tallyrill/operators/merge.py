@@ -270,5 +270,5 @@ def clear_descriptions(listings: DataFrame, ids: DataFrame, sentinel: str = NO_C
 def rescue_candidates(listings: DataFrame, source_id: int, now: Column, hours: int = 72, limit: int = 100) -> DataFrame:
     """Recent rows of a source that lack a price, brand or condition, or have a bucket price, and no description; by id."""
     lacking = F.col("price_cents").isNull() | F.col("brand").isNull() | F.col("condition").isNull() | F.col("price_min_cents").isNotNull() | F.col("price_max_cents").isNotNull()
-    recent = F.col("last_seen_at") >= now - F.make_interval(hours=F.lit(hours))
+    recent = F.col("first_seen_at") >= now - F.make_interval(hours=F.lit(hours))
     return listings.where((F.col("source_id") == source_id) & recent & lacking & (F.coalesce("description", F.lit("")) == "")).orderBy("id").limit(limit)

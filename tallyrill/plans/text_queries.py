@@ -307,7 +307,7 @@ def _(listings):
     return M.clear_descriptions(listings, listings.where("id % 2 = 0").select("id")).select("id", "description")
 
 
-@query("rescue_candidates", f"SELECT id FROM listings WHERE source_id = 1 AND last_seen_at >= {NOW} - INTERVAL 20000 HOUR AND (price_cents IS NULL OR brand IS NULL OR condition IS NULL OR price_min_cents IS NOT NULL OR price_max_cents IS NOT NULL) AND coalesce(description, '') = '' ORDER BY id LIMIT 100", "listings")
+@query("rescue_candidates", f"SELECT id FROM listings WHERE source_id = 1 AND first_seen_at >= {NOW} - INTERVAL 20000 HOUR AND (price_cents IS NULL OR brand IS NULL OR condition IS NULL OR price_min_cents IS NOT NULL OR price_max_cents IS NOT NULL) AND coalesce(description, '') = '' ORDER BY id LIMIT 100", "listings")
 def _(listings):
     return M.rescue_candidates(listings, 1, Q.at(LISTINGS_AS_OF), 20_000).select("id")
 

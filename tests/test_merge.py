@@ -107,3 +107,26 @@ def test_schedule():
     assert report.done == {"a": 1, "c": 2} and set(report.failed) == {"b"}
     left = [5, 5, 2]
     assert until_short(lambda: left.pop(0), 5) == 12
+
+
+def test_rescue_pass(spark):
+    from tallyrill.operators.rescue import rescue_pass
+
+    kinds = [f.split(" ", 1) for f in schema.LISTINGS.split(", ")]
+    base = {"source_id": 1, "currency": "USD", "is_bundle": False, "is_sold": False}
+    import datetime
+
+    at = datetime.datetime(2023, 12, 31)
+    rows = [
+        base | {"id": 1, "external_id": "a", "title": "Nice watch", "first_seen_at": at, "price_cents": 150000, "price_min_cents": 100000, "price_max_cents": 199900},
+        base | {"id": 2, "external_id": "b", "title": "Omega", "first_seen_at": at, "price_cents": 5000, "brand": "Omega", "brand_source": "ai"},
+        base | {"id": 3, "external_id": "c", "title": "x", "first_seen_at": at},
+        base | {"id": 4, "external_id": "d", "title": "x", "first_seen_at": at, "description": "full"},
+    ]
+    listings = spark.createDataFrame([tuple(r.get(n) for n, _ in kinds) for r in rows], schema.LISTINGS)
+    contexts = spark.createDataFrame([("a", True, "Omega Speedmaster 145.022, BNIB, asking 4500", "sold to u/x", None), ("b", True, None, "9/10", "Under $500"), ("c", False, "Rolex", None, None), ("d", True, "Rolex", None, None)], "post_id string, ok boolean, self_text string, op_comment string, flair string")
+    got = {r.id: r for r in rescue_pass(listings, spark.createDataFrame([], schema.REVIEWS), contexts, 1, now()).collect()}
+    assert (got[1].brand, got[1].reference, got[1].price_cents, got[1].price_min_cents, got[1].is_sold, got[1].condition) == ("Omega", "145.022", 450000, None, True, "unworn")
+    assert got[1].description.endswith("sold to u/x") and got[1].brand_source == "regex"
+    assert (got[2].price_cents, got[2].condition, got[2].brand_source, got[2].description) == (5000, "very good", "regex", "9/10")
+    assert got[3].description is None and got[3].brand is None and got[4].brand is None

@@ -10,9 +10,11 @@ The gram is the first prefix by which suffixes are partitioned. Where a gram
 has few enough occurrences, the suffixes of all windows around them form one
 group that fits in memory; its subtree is built by sorting, and each run of
 suffixes that agree in WINDOW words is a deep internal node. For grams with
-more occurrences the prefix grows to all WINDOW words: such a group is one
-deep node, and its first occurrence comes from a pre-aggregated minimum, so
-that a passage in any share of the documents is never in one task.
+more occurrences equal runs of anchors, and then equal surroundings of an
+anchor, are told by a digest and reduced to their first occurrence, and the
+prefix grows to all WINDOW words: such a group is one deep node, whose first
+occurrence is a pre-aggregated minimum. So a passage in any share of the
+documents is never in one task.
 
 Documents whose word sequence is the same are told by a digest first; only the
 first of them takes part.
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, checkpointed, release, sha256_hex, stored, table, without
+from .common import as_bytes, checkpointed, keeps_own, release, sha256_hex, stored, table, without
 
 WINDOW = 20
 GRAM = 6
@@ -163,39 +165,85 @@ def _anchor_rows(window: int, gram: int):
 
 
 _CONTEXT = "gram bigint, k bigint, h bigint, start int, windows int, words binary"
-_WINDOW_ROW = "digest binary, k bigint, h bigint, start int"
+_BLOCK = "block binary, k bigint, h bigint, start int, windows int, parts array<struct<context: binary, off: int, windows: int, digests: binary>>"
+#: On average so many neighbouring anchors of hot grams make a block.
+BLOCK_ANCHORS = 8
 
 
 def _digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b"\t".join(words), digest_size=16).digest()
 
 
-def _contexts(window: int, gram: int, hot: bool):
-    """Of rows with flagged anchors (2 * position, odd where the gram is hot): the words around each, or each window's digest if hot."""
+def _flagged(held: list, powers: _Powers, window: int, gram: int, hot: bool):
+    """Of the anchors in held whose flag (2 * position, odd where the gram is hot) fits: gram hash, place in held, first window in the document, windows, bytes of the words around."""
+    buffer, starts, ends, first_word, grams, piece, anchor, begin, count = find_anchors([x[2] for x in held], powers, window, gram)
+    wanted = [{p >> 1 for p in x[0][2] if (p & 1) == hot} for x in held]
+    for g, p, a, b, n in zip(grams.view(np.int64).tolist(), piece.tolist(), anchor.tolist(), begin.tolist(), count.tolist(), strict=True):
+        shift = held[p][1] - int(first_word[p])
+        if a + shift in wanted[p]:
+            yield g, p, b + shift, n, buffer[starts[b] : ends[b + n + window - 2]]
+
+
+def _contexts(window: int, gram: int):
+    """The words around each flagged anchor whose gram is not hot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _Powers()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        for held in _chunks(batches, window, ("k", "h", "flags")):
+            rows = [(g, *held[p][0][:2], start, n, b"\t".join(words.split())) for g, p, start, n, words in _flagged(held, powers, window, gram, False)]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["gram", "k", "h", "start", "windows", "words"])
+
+    return run
+
+
+def _blocks(window: int, gram: int):
+    """Runs of neighbouring hot anchors, cut where a gram's hash says so: digests of the run, of each anchor's words, of each window.
+
+    Anchors whose words the same document has further up are late whatever
+    other documents hold; they come as rows without a block.
+    """
+    part = pa.struct([("context", pa.binary()), ("off", pa.int32()), ("windows", pa.int32()), ("digests", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(part))
         for held in _chunks(batches, window, ("k", "h", "flags")):
-            buffer, starts, ends, first_word, grams, piece, anchor, begin, count = find_anchors([x[2] for x in held], powers, window, gram)
-            wanted = [{p >> 1 for p in x[0][2] if (p & 1) == hot} for x in held]
-            out: list[list] = [[] for _ in range(4 if hot else 6)]
-            for g, p, a, b, n in zip(grams.view(np.int64).tolist(), piece.tolist(), anchor.tolist(), begin.tolist(), count.tolist(), strict=True):
-                shift = held[p][1] - first_word[p]
-                if a + shift not in wanted[p]:
+            rows, block, end = [], [], None
+            place, seen, late = -1, set(), None
+
+            def close() -> None:
+                if block:
+                    p, start = block[0][0], block[0][1]
+                    parts = [{"context": c, "off": s - start, "windows": n, "digests": d} for _, s, n, c, d in block]
+                    whole = hashlib.blake2b(b"".join(c for *_, c, _ in block), digest_size=16).digest()
+                    rows.append((whole, *held[p][0][:2], start, sum(n for _, _, n, _, _ in block), parts))
+                    block.clear()
+
+            for g, p, start, n, text in _flagged(held, powers, window, gram, True):
+                if p != place:
+                    place, seen, late = p, set(), None
+                if (p, start) != end:
+                    close()
+                end = (p, start + n)
+                words = text.split()
+                context = _digest(words)
+                if context in seen:
+                    close()
+                    if late and late[3] + late[4] == start:
+                        late[4] += n
+                    else:
+                        late = [None, *held[p][0][:2], start, n, None]
+                        rows.append(late)
                     continue
-                (k, h, _), words = held[p][0], buffer[starts[b] : ends[b + n + window - 2]].split()
-                if hot:
-                    rows = [(_digest(words[i : i + window]), k, h, int(b + i + shift)) for i in range(n)]
-                else:
-                    rows = [(g, k, h, int(b + shift), n, b"\t".join(words))]
-                for row in rows:
-                    for column, v in zip(out, row, strict=True):
-                        column.append(v)
-            if hot:
-                kinds, names = [pa.binary(), pa.int64(), pa.int64(), pa.int32()], ["digest", "k", "h", "start"]
-            else:
-                kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], ["gram", "k", "h", "start", "windows", "words"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+                seen.add(context)
+                block.append((p, start, n, context, b"".join(_digest(words[i : i + window]) for i in range(n))))
+                if g % BLOCK_ANCHORS == 0:
+                    close()
+            close()
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "k", "h", "start", "windows", "parts"])
 
     return run
 
@@ -278,6 +326,16 @@ def _sequence_digest(batches: Iterator[pa.RecordBatch], window: int) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(sums, pa.binary())], names=["k", "h", "digest"])
 
 
+def _first_and_late(rows: DataFrame, key: str, content: str | None, window: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (key, k, h, start, windows, content, the same for equal keys): the first of each key, and the word ranges of the others."""
+    place = F.struct("k", "h", "start")
+    kept = [F.any_value(content).alias(content)] if content else []
+    first = rows.groupBy(key).agg(F.min(place).alias("one"), F.max("windows").alias("windows"), F.count("*").alias("n"), *kept)
+    late = rows.select(key, "k", "h", "start").join(first.where("n > 1").select(key, "one", "windows"), key).where(place != F.col("one"))
+    late = late.select("k", "h", F.col("start").alias("first"), (F.col("start") + F.col("windows") + (window - 2)).alias("last"))
+    return first.select("one.*", "windows", key, *([content] if content else [])), late
+
+
 def repeated_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """Of rows (k, h, text and others): (k, h) of later copies of a word sequence, and (k, h, first, last) of repeated words in the others."""
     spark = rows.sparkSession
@@ -296,20 +354,25 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, gro
     release(spark)
     # all columns go on, so that this is the exchange of the texts that the result is made from, too
     flagged = rows.join(flags, ["k", "h"])
-    contexts = flagged.mapInArrow(_contexts(window, gram, False), _CONTEXT)
+    contexts = flagged.mapInArrow(_contexts(window, gram), _CONTEXT)
     contexts = contexts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram").sortWithinPartitions("gram")
     repeats = contexts.mapInArrow(_subtree_repeats(window), _REPEAT)
     if not again.where(F.col("n") > group).isEmpty():
-        windows = flagged.where(F.exists("flags", lambda f: f % 2 == 1)).mapInArrow(_contexts(window, gram, True), _WINDOW_ROW)
-        windows = stored(windows, "windows")
+        blocks = stored(flagged.where(F.exists("flags", lambda f: f % 2 == 1)).mapInArrow(_blocks(window, gram), _BLOCK), "blocks")
         release(spark)
-        place = F.struct("k", "h", "start")
-        first = windows.groupBy("digest").agg(F.min(place).alias("one"), F.count("*").alias("n")).where("n > 1")
-        late = windows.join(first, "digest").where(place != F.col("one"))
-        repeats = repeats.unionByName(late.select("k", "h", F.col("start").alias("first"), (F.col("start") + window - 1).alias("last")))
+        again_inside = blocks.where("block is null").select("k", "h", F.col("start").alias("first"), (F.col("start") + F.col("windows") + (window - 2)).alias("last"))
+        # equal blocks, then equal contexts in the blocks that are left, then equal windows in the contexts that are left
+        first, late = _first_and_late(blocks.where("block is not null"), "block", "parts", window)
+        inner = first.select("k", "h", F.col("start").alias("_start"), F.inline("parts")).select("k", "h", (F.col("_start") + F.col("off")).alias("start"), "windows", "context", "digests")
+        first, late_inner = _first_and_late(inner, "context", "digests", window)
+        each = first.select("k", "h", "start", "digests", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("j"))
+        each = each.select("k", "h", (F.col("start") + F.col("j")).alias("start"), F.lit(1).alias("windows"), F.expr("substring(digests, j * 16 + 1, 16)").alias("digest"))
+        _, late_windows = _first_and_late(each, "digest", None, window)
+        repeats = repeats.unionByName(again_inside).unionByName(late).unionByName(late_inner).unionByName(late_windows)
     return copies, repeats
 
 
+@keeps_own("k", "h", "_copy", "_ranges")
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, text_too: bool = True) -> DataFrame:
     """docs with n_words, n_removed and kept_text (or kept_sha256 instead, if not text_too).
 
@@ -321,7 +384,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
     decides, and rows equal in both are one document with one result.
     """
     names = ["n_words", "n_removed", "kept_text" if text_too else "kept_sha256"]
-    base = without(docs, [*names, "k", "h", "_copy", "_ranges"])
+    base = without(docs, names)
     rows = base.withColumn("k", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("h", F.xxhash64("text"))
     copies, repeats = repeated_ranges(rows, window, gram, group)
     repeats = repeats.groupBy("k", "h").agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))

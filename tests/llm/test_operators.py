@@ -41,6 +41,7 @@ def corpus(seed=1, n=60):
         if i % 7 == 0:
             t = "A shared line of text\n" + t + "\n  a SHARED line of text \nshort"
         texts.append(t)
+    texts += ["two words " * 60 + texts[3] + " two words" * 30, "odd two words " + "two words " * 50]
     texts += [texts[5], texts[5], texts[10] + " more", None, "", " \n ", "x" * 5000, "one two " * 400]
     return [(i, t, ["en", "de", None][i % 3], ["s1", None, "s2"][i % 3], None if t is None else len(t)) for i, t in enumerate(texts)]
 

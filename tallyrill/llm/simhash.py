@@ -14,7 +14,8 @@ CHUNK classes are split into pairs of chunks, each a unit of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from .components import components
 SHINGLE = 5
 DISTANCE = 4
 #: Classes of one bucket compared in one unit of work.
-CHUNK = 2048
+CHUNK = 8192
+#: What a row of a bucket costs (shuffled, sorted, passed on), in comparisons of two fingerprints.
+ROW_COST = 3000.0
 #: Hot buckets that may be broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_BUCKETS = 100_000
 _SLICE = 65_536
@@ -69,32 +72,42 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def block_masks(n_classes: int, distance: int = DISTANCE) -> list[int]:
     """Masks (as signed longs) of every choice of blocks that may be the equal ones.
 
-    With b blocks of 64 / b bits, b - distance are equal. b is the least with
-    2 ** (bits in them) >= n_classes, or else 16: unrelated classes then share
-    a bucket about once.
+    With b blocks of 64 / b bits, b - distance are equal. More blocks make
+    keys longer, so buckets smaller, but rows more; b is what costs least for
+    so many classes. Any b finds the same links.
     """
-    for b in range(distance + 2, 17):
+
+    def plan(b: int) -> tuple[float, list[int]]:
         cuts = [64 * i // b for i in range(b + 1)]
-        if min(sum(sorted(cuts[i + 1] - cuts[i] for i in range(b))[: b - distance]), 63) >= np.log2(max(2, n_classes)):
-            break
-    blocks = [((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in range(b)]
-    masks = [sum(c) for c in combinations(blocks, b - distance)]
+        bits = sum(sorted(cuts[i + 1] - cuts[i] for i in range(b))[: b - distance])
+        return comb(b, distance) * (ROW_COST + n_classes / 2.0**bits / 2), cuts
+
+    cuts = min(plan(b) for b in range(distance + 1, 17))[1]
+    blocks = [((1 << (y - x)) - 1) << x for x, y in pairwise(cuts)]
+    masks = [sum(c) for c in combinations(blocks, len(blocks) - distance)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
 def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph of all pairs of values at `distance` or less."""
+    """Edges between places in values that connect just what all pairs at `distance` or less connect; fewer than values."""
     n = len(values)
     root = np.arange(n)
     edges = []
-    for i in range(1, n):
-        near = np.flatnonzero(np.bitwise_count(values[:i] ^ values[i]) <= distance)
-        if not len(near):
+    for s in range(0, n, 64):
+        e = min(n, s + 64)
+        i, j = np.nonzero(np.bitwise_count(values[s:e, None] ^ values[None, :e]) <= distance)
+        i += s
+        before = j < i
+        i, j = i[before], j[before]
+        if not len(i):
             continue
-        for r in np.unique(root[near]).tolist():
-            edges.append((i, r))
-            if r != root[i]:
-                root[: i + 1][root[: i + 1] == r] = root[i]
+        bounds = np.flatnonzero(np.diff(i, prepend=-1))
+        for at, to in zip(bounds.tolist(), [*bounds[1:].tolist(), len(i)], strict=True):
+            me = int(i[at])
+            for r in np.unique(root[j[at:to]]).tolist():
+                if r != root[me]:
+                    edges.append((me, r))
+                    root[: me + 1][root[: me + 1] == r] = root[me]
     return edges
 
 

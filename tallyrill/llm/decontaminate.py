@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, append_columns, as_bytes, checkpointed, keeps_own, table, without
+from .common import ALNUM, append_columns, as_bytes, checkpointed, keeps_own, table
 
 WINDOW = 10
 COVERAGE = 0.5
@@ -181,68 +181,8 @@ def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with n_words, hits (merged ranges of word positions) and items (ids as strings, sorted).
-
-    docs: text and any other columns; columns of the three names are replaced.
-    Rows are judged one by one, so repeated and null ids do not matter. A null
-    or empty text has no words and no hits. Items without words match nothing,
-    repeated items count once, a null item_id is named by the empty string. An
-    empty benchmark leaves all rows without hits.
-    """
-    spark = docs.sparkSession
-    out = append_columns(
-        docs,
-        [T.StructField("n_words", T.LongType()), T.StructField("hits", _HITS), T.StructField("items", T.ArrayType(T.StringType()))],
-        lambda b: [
-            pa.array([len(words_of(t)) for t in as_bytes(b.column("text"))], pa.int64()),
-            pa.array([[]] * b.num_rows, _PA_HITS),
-            pa.array([[]] * b.num_rows, pa.list_(pa.string())),
-        ],
-    ) if benchmark.isEmpty() else None
-    for n, automaton in enumerate(item_blocks(benchmark, window, block_words)):
-        shared = spark.sparkContext.broadcast(vars(automaton))  # plain data: workers need not import this module
-
-        def scan(batch: pa.RecordBatch, shared=shared, first=n == 0) -> list[pa.Array]:
-            a = SuffixAutomaton.__new__(SuffixAutomaton)
-            a.__dict__ = shared.value
-            before = None if first else (batch.column("hits").to_pylist(), batch.column("items").to_pylist())
-            if not first:
-                batch = batch.drop_columns(["n_words", "hits", "items"])
-            counts, ranges, names = [], [], []
-            for i, text in enumerate(as_bytes(batch.column("text"))):
-                words = words_of(text)
-                hits, found = a.scan(words)
-                ids = {a.items[j].decode() for j in found}
-                if before:
-                    hits = merge_ranges(hits + [(x["first"], x["last"]) for x in before[0][i]])
-                    ids |= set(before[1][i])
-                counts.append(len(words))
-                ranges.append([{"first": x, "last": y} for x, y in hits])
-                names.append(sorted(ids))
-            return [pa.array(counts, pa.int64()), pa.array(ranges, _PA_HITS), pa.array(names, pa.list_(pa.string()))]
-
-        out = _next_pass(docs if n == 0 else out, scan, first=n == 0)
-        if n % PASSES_PER_STAGE == PASSES_PER_STAGE - 1:
-            out = checkpointed(out)
-    if out is None:  # items, but none with a word
-        return find_contamination(docs, benchmark.limit(0), window, block_words)
-    return out
-
-
-def _next_pass(df: DataFrame, scan, first: bool) -> DataFrame:
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("hits", _HITS), T.StructField("items", T.ArrayType(T.StringType()))]
-    if first:
-        return append_columns(df, fields, scan)
-    names = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = scan(batch)
-            kept = batch.drop_columns(["n_words", "hits", "items"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, *new], names=names)
-
-    return df.mapInArrow(run, df.schema)
+_FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("hits", _HITS), T.StructField("items", T.ArrayType(T.StringType()))]
+_CLEAN = T.StructField("clean_text", T.StringType())
 
 
 def cut(text: bytes, hits: list[tuple[int, int]]) -> bytes:
@@ -256,34 +196,77 @@ def cut(text: bytes, hits: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-@keeps_own("n_words", "hits", "items")
+def _scan(automaton: SuffixAutomaton | None, texts: list[bytes | None], before: tuple[list, list] | None, clean: bool) -> list[pa.Array]:
+    """The columns of _FIELDS, and clean_text if clean, of texts; before: hits and items of earlier blocks."""
+    counts, ranges, names, cleaned = [], [], [], []
+    for i, text in enumerate(texts):
+        words = words_of(text)
+        hits, found = automaton.scan(words) if automaton else ([], set())
+        ids = {automaton.items[j].decode() for j in found}
+        if before:
+            hits = merge_ranges(hits + [(x["first"], x["last"]) for x in before[0][i]])
+            ids |= set(before[1][i])
+        counts.append(len(words))
+        ranges.append([{"first": x, "last": y} for x, y in hits])
+        names.append(sorted(ids))
+        if clean:
+            cleaned.append(cut(text, hits) if hits else text)
+    out = [pa.array(counts, pa.int64()), pa.array(ranges, _PA_HITS), pa.array(names, pa.list_(pa.string()))]
+    return [*out, pa.array(cleaned, pa.binary()).cast(pa.string())] if clean else out
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, clean: bool = False) -> DataFrame:
+    """docs with n_words, hits (merged ranges of word positions) and items (ids as strings, sorted); with clean also clean_text, the text without its hits.
+
+    docs: text and any other columns; columns of these names are replaced.
+    Rows are judged one by one, so repeated and null ids do not matter. A null
+    or empty text has no words and no hits. Items without words match nothing,
+    repeated items count once, a null item_id is named by the empty string. An
+    empty benchmark leaves all rows without hits.
+    """
+    spark = docs.sparkSession
+    blocks = item_blocks(benchmark, window, block_words)
+    block = next(blocks, None)
+    out, n = docs, 0
+    while True:
+        after = next(blocks, None)
+        # plain data is broadcast: workers need not import this module
+        shared = spark.sparkContext.broadcast(vars(block)) if block else None
+        fields = _FIELDS + ([_CLEAN] if clean and after is None else [])
+
+        def run(batch: pa.RecordBatch, shared=shared, first=n == 0, cleans=len(fields) > len(_FIELDS)) -> list[pa.Array]:
+            automaton = None
+            if shared:
+                automaton = SuffixAutomaton.__new__(SuffixAutomaton)
+                automaton.__dict__ = shared.value
+            before = None if first else (batch.column("_hits").to_pylist(), batch.column("_items").to_pylist())
+            return _scan(automaton, as_bytes(batch.column("text")), before, cleans)
+
+        if n:
+            out = out.withColumnsRenamed({"hits": "_hits", "items": "_items"})
+        out = append_columns(out, fields, run).drop("_hits", "_items") if n else append_columns(out, fields, run)
+        n += 1
+        if after is None:
+            return out
+        if n % PASSES_PER_STAGE == 0:
+            out = checkpointed(out)
+        block = after
+
+
+@keeps_own("n_words", "hits", "items", "clean_text", "_hits", "_items")
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Clean docs in their own columns: rows covered by more than `coverage` go, spans of `window` words or more are cut.
 
     n_chars, where docs have it, is set anew for texts that lost a span. Null
     and empty texts stay as they are.
     """
-    found = find_contamination(docs, benchmark, window, block_words)
+    found = find_contamination(docs, benchmark, window, block_words, clean=True)
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda s, h: s + h["last"] - h["first"] + 1)
     kept = found.where((n_hit <= coverage * F.col("n_words")) | (F.size("hits") == 0))
-    columns = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = batch.column("hits").to_pylist()
-            arrays = {n: batch.column(n) for n in columns if n in batch.schema.names}
-            if any(hits):
-                texts = as_bytes(arrays["text"])
-                texts = [cut(t, [(h["first"], h["last"]) for h in x]) if x else t for t, x in zip(texts, hits, strict=True)]
-                arrays["text"] = pa.array(texts, pa.binary()).cast(pa.string())
-                if "n_chars" in arrays:
-                    old = arrays["n_chars"]
-                    chars = [len(t.decode()) if x else c for t, x, c in zip(texts, hits, old.to_pylist(), strict=True)]
-                    arrays["n_chars"] = pa.array(chars, old.type)
-            yield pa.RecordBatch.from_arrays([arrays[n] for n in arrays], names=list(arrays))
-
-    base = without(docs, ["n_words", "hits", "items"])
-    return kept.mapInArrow(run, base.schema)
+    new = {"text": F.col("clean_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("hits") > 0, F.length("clean_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

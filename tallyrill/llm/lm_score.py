@@ -12,16 +12,22 @@ retained suffix of what was read. So every text has a proper probability.
 
 The tree smooths the words' own counts: a word has the probability
 (c + V * tree) / (N + V), with its count c among N training tokens of V kinds.
+This is its probability in the root state of the contexts that run past the
+space. These are the word before (at the start, the end of the text before),
+kept by the same test: if the words after it diverge from all words by
+MIN_GAIN nats or more over all its occurrences. In a kept state a word has the
+probability (n + kinds * root) / (total + kinds). Each token of a text is
+scored in the longest state that is kept, so the order of the words counts.
 `score` takes all unknown words as one kind, as the add-one baseline does, with
-the mass that the tree leaves for words outside the vocabulary;
-`spelled_score` spells each unknown word, and so is the probability of the text
-itself.
-
-The probability of a word does not depend on its place. Each distinct word is
-therefore scored once; texts then meet the scores of their words in batches: a
-batch's distinct words are joined with the word table, and its texts are added
-up against the result. No table that grows with the corpus is broadcast, but
-for the tree where it is below MODEL_ROWS.
+the mass that the tree leaves for words outside the vocabulary, in the root
+state; `spelled_score` spells each unknown word, and so is the probability of
+the text itself.
+
+Texts meet the values of their words in batches: a batch's distinct words are
+joined with the word table. Its pairs of neighbouring words are counted against
+them; counts of pairs that are in several batches come back to each of these.
+No table that grows with the corpus is broadcast, but for the tree where it is
+below MODEL_ROWS.
 """
 
 from __future__ import annotations
@@ -31,11 +37,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, as_bytes, checkpointed, keeps_own, stored, table, without
+from .common import LOWER, as_bytes, checkpointed, keeps_own, release, stored, table, without
 
 DEPTH = 5
 MIN_GAIN = 12.0
@@ -193,7 +200,7 @@ _SUMS = [T.StructField(n, t()) for n, t in (("n_tokens", T.LongType), ("n_known"
 _NAMES = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score"]
 
 
-@keeps_own("_batch", "_base")
+@keeps_own("_batch", "_base", "_train")
 def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, model_rows: int = MODEL_ROWS, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """docs with held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram), score and spelled_score (of the tree), all log10.
 
@@ -214,7 +221,7 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, model_rows: int = M
     outside = np.log10(max(v * (1 - inside) / (n + v), 1e-300)) if n else None
     chars = base.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     batches = max(1, -(-chars // batch_chars))
-    rows = base.withColumn("_batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
+    rows = base.withColumn("_batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int")).withColumn("_train", ~held_out)
 
     def distinct_words(group: pa.Table) -> pa.Table:
         held: set[bytes] = set()
@@ -224,27 +231,76 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, model_rows: int = M
         number = group.column("_batch")[0].as_py()
         return pa.table({"_batch": pa.array([number] * len(held), pa.int32()), "word": pa.array(list(held), pa.binary())})
 
-    wanted = rows.groupBy("_batch").applyInArrow(distinct_words, "_batch int, word binary")
-    values = wanted.join(scored, "word").select("_batch", "word", "c", "logp")
+    wanted = stored(rows.select("_batch", "text").groupBy("_batch").applyInArrow(distinct_words, "_batch int, word binary"), "wanted")
+
+    def neighbours(texts: pa.ChunkedArray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in words of all tokens and of the tokens before them, and the number of tokens of each text."""
+        place = dict(zip(words, range(len(words)), strict=True))
+        at, sizes = [], []
+        for chunk in texts.chunks:
+            for text in as_bytes(chunk):
+                mine = tokens(text)
+                at.append(np.fromiter(map(place.__getitem__, mine), np.int32, len(mine)))
+                sizes.append(len(mine))
+        after = np.concatenate(at)
+        return after, np.concatenate((after[-1:], after[:-1])), np.array(sizes)  # the token before a text is the end of another
+
+    def pairs_of(group: pa.Table, words: list[bytes], after: np.ndarray, before: np.ndarray, sizes: np.ndarray) -> tuple:
+        """Of distinct pairs: places, key, count in training texts; and which pair each token ends."""
+        pairs, which = np.unique(before.astype(np.int64) * len(words) + after, return_inverse=True)
+        train = np.repeat(group.column("_train").to_numpy().astype(bool), sizes)
+        n = np.bincount(which[train], minlength=len(pairs))
+        first, second = pairs // len(words), pairs % len(words)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+        keys = hashes[first] * np.uint64(0x9E3779B97F4A7C15) + hashes[second] * np.uint64(0xC2B2AE3D27D4EB4F)
+        return first, second, hashes.view(np.int64), keys.view(np.int64), n, which
+
+    def count_pairs(group: pa.Table, found: pa.Table) -> pa.Table:
+        words, c = found.column("word").to_pylist(), found.column("c").to_numpy()
+        first, second, hashes, keys, n, _ = pairs_of(group, words, *neighbours(group.column("text"), words))
+        some = (c[first] > 0) & (c[second] > 0)
+        number = group.column("_batch")[0].as_py()
+        columns = (np.full(some.sum(), number, np.int32), hashes[first[some]], keys[some], n[some], c[second[some]])
+        return pa.table(dict(zip(("_batch", "ctx", "key", "n", "c"), map(pa.array, columns), strict=True)))
+
+    if n:
+        values = wanted.join(scored.select("word", "c"), "word").select("_batch", "word", "c")
+        counted = rows.select("_batch", "_train", "text").groupBy("_batch").cogroup(values.groupBy("_batch")).applyInArrow(count_pairs, "_batch int, ctx bigint, key bigint, n bigint, c bigint")
+        pairs = stored(counted.groupBy("ctx", "key").agg(F.sum("n").alias("n"), F.first("c").alias("c"), F.collect_list("_batch").alias("held")).where("n > 0"), "pairs")
+        release(base.sparkSession)
+        each = F.sum(F.col("n") * F.log(F.col("n") / F.col("c")))
+        states = pairs.groupBy("ctx").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), each.alias("gain"))
+        states = states.where(F.col("gain") + F.col("total") * F.log(F.lit(float(n)) / F.col("total")) >= min_gain).select("ctx", "kinds")
+        known_words = scored.withColumn("ctx", F.xxhash64("word")).join(states, "ctx", "left").select("word", "c", "logp", F.coalesce("kinds", F.lit(0)).cast("bigint").alias("kinds"))
+        back = pairs.where(F.size("held") > 1).select(F.explode("held").alias("_batch"), "key", "n")
+    else:
+        known_words = scored.withColumn("kinds", F.lit(0).cast("bigint"))
+        back = base.sparkSession.createDataFrame([], "_batch int, key bigint, n bigint")
+    values = wanted.join(known_words, "word").select("_batch", "word", "c", "logp", "kinds", F.lit(None).cast("bigint").alias("key"))
+    none = F.lit(None)
+    values = values.unionByName(back.select("_batch", none.cast("binary").alias("word"), F.col("n").alias("c"), none.cast("double").alias("logp"), none.cast("bigint").alias("kinds"), "key"))
     own = base.columns
 
     def add_up(group: pa.Table, found: pa.Table) -> pa.Table:
+        is_word = found.column("word").is_valid()
+        totals, found = found.filter(found.column("key").is_valid()), found.filter(is_word)
         words = found.column("word").to_pylist()
-        place = dict(zip(words, range(len(words)), strict=True))
-        c = found.column("c").to_numpy()
-        logp = found.column("logp").to_numpy()
+        c, logp, kinds = (found.column(k).to_numpy() for k in ("c", "logp", "kinds"))
+        after, before, sizes = neighbours(group.column("text"), words)
         ones, log_c = c > 0, np.log10(c + 1.0)
-        spelled = np.log10((c + v * 10.0**logp) / (n + v)) if n else logp
-        score = np.where(ones, spelled, outside) if n else logp
-        sums: list[list] = [[] for _ in _SUMS]
-        for chunk in group.column("text").chunks:
-            for text in as_bytes(chunk):
-                mine = tokens(text)
-                at = np.fromiter(map(place.__getitem__, mine), np.int64, len(mine))
-                for out, x in zip(sums, (len(mine), int(ones[at].sum()), *(float(x[at].sum()) for x in (log_c, score, spelled))), strict=True):
-                    out.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-        return pa.table([group.column(k) for k in own] + [pa.array(x, k) for x, k in zip(sums, kinds, strict=True)], names=[*own, *(f.name for f in _SUMS)])
+        root = (c + v * 10.0**logp) / (n + v) if n else 10.0**logp
+        score = np.where(ones, np.log10(root), outside) if n else logp
+        first, second, _, keys, counts, which = pairs_of(group, words, after, before, sizes)
+        order = np.argsort(keys)
+        at = order[np.searchsorted(keys, totals.column("key").to_numpy(), sorter=order)]
+        counts[at] = totals.column("c").to_numpy()
+        k = kinds[first]
+        log_root = np.log10(root) if n else logp
+        spelled = np.where(k > 0, np.log10((counts + k * root[second]) / np.maximum(c[first] + k, 1)), log_root[second])
+        starts = np.cumsum(np.concatenate(([0], sizes)))[:-1]
+        sums = [sizes, *(np.add.reduceat(x, starts) for x in (ones[after].astype(np.int64), log_c[after], score[after], spelled[which]))]
+        kinds_out = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.table([group.column(k) for k in own] + [pa.array(x, k) for x, k in zip(sums, kinds_out, strict=True)], names=[*own, *(f.name for f in _SUMS)])
 
     summed = rows.groupBy("_batch").cogroup(values.groupBy("_batch")).applyInArrow(add_up, T.StructType([*base.schema.fields, *_SUMS]))
     each = F.log10(F.lit(float(n + v + 1)))

@@ -178,6 +178,26 @@ def test_model_beats_baseline_held_out(spark):
     assert r.s > r.b
 
 
+def test_lm_score_depends_on_word_order(spark):
+    """A text that follows the words' order scores better than its words shuffled; batches change nothing."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        at = rng.randrange(60)
+        texts.append((i, " ".join(vocab[(at + j) % 60] for j in range(rng.randrange(5, 40)))))
+    held = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    fluent = vocab[:20]
+    shuffled = fluent[:]
+    rng.shuffle(shuffled)
+    texts += [(held[0], " ".join(fluent)), (held[1], " ".join(shuffled)), (held[2], "w1 zzq w2")]
+    d = spark.createDataFrame(texts, "doc_id bigint, text string")
+    several = {r.doc_id: r.spelled_score for r in lm_score.score_texts(d, batch_chars=2000).collect()}
+    one = {r.doc_id: r.spelled_score for r in lm_score.score_texts(d).collect()}
+    assert several[held[0]] > several[held[1]] + 5
+    assert all(math.isclose(one[i], several[i], rel_tol=1e-9) for i in one)
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 

@@ -18,10 +18,10 @@ kept by the same test: if the words after it diverge from all words by
 MIN_GAIN nats or more over all its occurrences. In a kept state a word has the
 probability (n + kinds * root) / (total + kinds). Each token of a text is
 scored in the longest state that is kept, so the order of the words counts.
-`score` takes all unknown words as one kind, as the add-one baseline does, with
-the mass that the tree leaves for words outside the vocabulary, in the root
-state; `spelled_score` spells each unknown word, and so is the probability of
-the text itself.
+`score` spells each unknown word, and so is the probability of the text itself;
+`lumped_score` takes all unknown words as one kind, as the add-one baseline
+does, with the mass that the tree leaves for words outside the vocabulary, in
+the root state.
 
 Texts meet the values of their words in batches: a batch's distinct words are
 joined with the word table. Its pairs of neighbouring words are counted against
@@ -196,13 +196,13 @@ def score_words(words: DataFrame, tree: DataFrame, model_rows: int = MODEL_ROWS)
     return symbols.join(tree, "key").groupBy("word", "c").agg(F.sum("logp").alias("logp"))
 
 
-_SUMS = [T.StructField(n, t()) for n, t in (("n_tokens", T.LongType), ("n_known", T.LongType), ("_base", T.DoubleType), ("score", T.DoubleType), ("spelled_score", T.DoubleType))]
-_NAMES = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score"]
+_SUMS = [T.StructField(n, t()) for n, t in (("n_tokens", T.LongType), ("n_known", T.LongType), ("_base", T.DoubleType), ("lumped_score", T.DoubleType), ("score", T.DoubleType))]
+_NAMES = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lumped_score"]
 
 
 @keeps_own("_batch", "_base", "_train")
 def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, model_rows: int = MODEL_ROWS, batch_chars: int = BATCH_CHARS) -> DataFrame:
-    """docs with held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram), score and spelled_score (of the tree), all log10.
+    """docs with held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram), score (of the text by the tree) and lumped_score (unknown words as one kind), all log10.
 
     docs: doc_id, text and any other columns; columns of these names are
     replaced. Rows with crc32(doc_id as text) mod 7 = 2 are held out, the
@@ -216,7 +216,9 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, model_rows: int = M
     words = stored(counted.groupBy("word").agg(F.sum("n").alias("c")), "words")
     known = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = known["n"], known["v"]
+    release(base.sparkSession)
     scored = stored(score_words(words, suffix_tree(words, min_gain), model_rows), "scored")
+    release(base.sparkSession)
     inside = scored.where("c > 0").agg(F.coalesce(F.sum(F.pow(F.lit(10.0), F.col("logp"))), F.lit(0.0)).alias("p")).first()["p"]
     outside = np.log10(max(v * (1 - inside) / (n + v), 1e-300)) if n else None
     chars = base.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
@@ -232,6 +234,7 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, model_rows: int = M
         return pa.table({"_batch": pa.array([number] * len(held), pa.int32()), "word": pa.array(list(held), pa.binary())})
 
     wanted = stored(rows.select("_batch", "text").groupBy("_batch").applyInArrow(distinct_words, "_batch int, word binary"), "wanted")
+    release(base.sparkSession)
 
     def neighbours(texts: pa.ChunkedArray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in words of all tokens and of the tokens before them, and the number of tokens of each text."""
@@ -289,16 +292,16 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, model_rows: int = M
         after, before, sizes = neighbours(group.column("text"), words)
         ones, log_c = c > 0, np.log10(c + 1.0)
         root = (c + v * 10.0**logp) / (n + v) if n else 10.0**logp
-        score = np.where(ones, np.log10(root), outside) if n else logp
+        lumped = np.where(ones, np.log10(root), outside) if n else logp
         first, second, _, keys, counts, which = pairs_of(group, words, after, before, sizes)
         order = np.argsort(keys)
         at = order[np.searchsorted(keys, totals.column("key").to_numpy(), sorter=order)]
         counts[at] = totals.column("c").to_numpy()
         k = kinds[first]
         log_root = np.log10(root) if n else logp
-        spelled = np.where(k > 0, np.log10((counts + k * root[second]) / np.maximum(c[first] + k, 1)), log_root[second])
+        score = np.where(k > 0, np.log10((counts + k * root[second]) / np.maximum(c[first] + k, 1)), log_root[second])
         starts = np.cumsum(np.concatenate(([0], sizes)))[:-1]
-        sums = [sizes, *(np.add.reduceat(x, starts) for x in (ones[after].astype(np.int64), log_c[after], score[after], spelled[which]))]
+        sums = [sizes, *(np.add.reduceat(x, starts) for x in (ones[after].astype(np.int64), log_c[after], lumped[after], score[which]))]
         kinds_out = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
         return pa.table([group.column(k) for k in own] + [pa.array(x, k) for x, k in zip(sums, kinds_out, strict=True)], names=[*own, *(f.name for f in _SUMS)])
 
@@ -312,7 +315,7 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, model_rows: int = M
         F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("_base") - F.col("n_tokens") * each).alias("base_score"),
         "score",
-        "spelled_score",
+        "lumped_score",
     )
 
 

@@ -192,12 +192,21 @@ def test_lm_score_depends_on_word_order(spark):
     rng.shuffle(shuffled)
     texts += [(held[0], " ".join(fluent)), (held[1], " ".join(shuffled)), (held[2], "w1 zzq w2")]
     d = spark.createDataFrame(texts, "doc_id bigint, text string")
-    several = {r.doc_id: r.spelled_score for r in lm_score.score_texts(d, batch_chars=2000).collect()}
-    one = {r.doc_id: r.spelled_score for r in lm_score.score_texts(d).collect()}
+    several = {r.doc_id: r.score for r in lm_score.score_texts(d, batch_chars=2000).collect()}
+    one = {r.doc_id: r.score for r in lm_score.score_texts(d).collect()}
     assert several[held[0]] > several[held[1]] + 5
     assert all(math.isclose(one[i], several[i], rel_tol=1e-9) for i in one)
 
 
+def test_unknown_words_are_spelled_in_the_score(spark):
+    """Two unknown texts of one length differ in score, but not in the lumped value."""
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    train = [(i, "the cat and the hat") for i in range(2000, 2040) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = spark.createDataFrame([*train, (held[0], "thand cathe"), (held[1], "qzxqj kqzzx")], "doc_id bigint, text string")
+    a, b = (lm_score.score_texts(rows).where(F.col("doc_id") == i).first() for i in held)
+    assert a.lumped_score == b.lumped_score and a.score > b.score + 1
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 

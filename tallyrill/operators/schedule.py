@@ -41,11 +41,11 @@ def run_all(required: dict[str, Callable[[], object]], optional: dict[str, Calla
 
 
 def until_short(batch: Callable[[], int], size: int, most: int = 1000) -> int:
-    """Repeat a batch job until it does less than a whole batch; the sum of what it did."""
+    """Repeat a batch job until it does less than a whole batch; the sum of what it did. Beyond `most` batches it raises."""
     total = 0
     for _ in range(most):
         n = batch()
         total += n
         if n < size:
-            break
-    return total
+            return total
+    raise RuntimeError(f"not done after {most} batches, which did {total}")

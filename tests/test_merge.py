@@ -1,5 +1,6 @@
 """Merge rules, alone and in properties."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyrill.operators import merge as M
@@ -130,3 +131,9 @@ def test_rescue_pass(spark):
     assert got[1].description.endswith("sold to u/x") and got[1].brand_source == "regex"
     assert (got[2].price_cents, got[2].condition, got[2].brand_source, got[2].description) == (5000, "very good", "regex", "9/10")
     assert got[3].description is None and got[3].brand is None and got[4].brand is None
+
+
+def test_until_short_does_not_stop_unsaid():
+    with pytest.raises(RuntimeError, match="not done after 3 batches, which did 15"):
+        until_short(lambda: 5, 5, most=3)
+    assert until_short(iter([5, 5, 1]).__next__, 5, most=3) == 11

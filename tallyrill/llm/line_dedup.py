@@ -9,13 +9,15 @@ table, and their entries can be deleted, so that documents can be taken out
 again.
 
 The state is a folder of immutable runs of postings (and of ids taken out) and
-one folder of tables for each version; a version counts once its tables are
-written.
+one folder of tables for each version; a version counts once its manifest is
+written, after its tables. An index on an existing folder goes on from the last
+manifest.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, as_bytes, fresh_path, keeps_own, sha256_hex, table, without
+from .common import LOWER, SPACE, as_bytes, fresh_path, hadoop_path, keeps_own, sha256_hex, table, without
 
 LEAST_CHARS = 10
 #: Rows without doc_id count as one document after all others.
@@ -145,9 +147,27 @@ class LineIndex:
         self.spark, self.least = spark, least
         self.path = path or fresh_path(spark, "lines")
         self.runs: list[str] = []
-        self.gone: list[str] = []
+        self.gone: list[tuple[str, int]] = []
         self.version = 0
         self.shards = 1
+        if path:
+            self._load()
+
+    def _load(self) -> None:
+        """Take up the last version whose manifest is whole; its own `least` holds."""
+        fs, pattern = hadoop_path(self.spark, f"{self.path}/manifest-*/_SUCCESS")
+        done = [int(x.getPath().getParent().getName().split("-")[1]) for x in fs.globStatus(pattern) or ()]
+        if done:
+            state = json.loads(self.spark.read.text(f"{self.path}/manifest-{max(done)}").first()["value"])
+            self.runs = [f"{self.path}/{x}" for x in state["runs"]]
+            self.gone = [(f"{self.path}/{x}", upto) for x, upto in state["gone"]]
+            self.version, self.shards, self.least = state["version"], state["shards"], state["least"]
+
+    def _save(self) -> None:
+        name = lambda p: p.rsplit("/", 1)[1]
+        state = {"runs": [name(x) for x in self.runs], "gone": [(name(x), upto) for x, upto in self.gone], "version": self.version, "shards": self.shards, "least": self.least}
+        rows = self.spark.createDataFrame([(json.dumps(state),)], "value string")
+        rows.coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest-{self.version}")
 
     def postings(self) -> DataFrame:
         held = self.spark.read.schema(_ROW).parquet(*[p for p in self.runs]) if self.runs else self.spark.createDataFrame([], _ROW)
@@ -177,17 +197,17 @@ class LineIndex:
     def insert(self, docs: DataFrame) -> None:
         """Add the lines of docs (doc_id, text)."""
         run = f"{self.path}/postings-{len(self.runs)}"
-        line_postings(docs, self.least).write.parquet(run)
+        line_postings(docs, self.least).write.mode("overwrite").parquet(run)
         self.runs.append(run)
         self._commit(self._read_runs([run]))
 
     def remove(self, docs: DataFrame) -> None:
         """Take out the documents whose doc_id is in docs, lines and all."""
         ids = f"{self.path}/gone-{len(self.gone)}"
-        docs.select(doc_key().alias("doc_id")).distinct().write.parquet(ids)
+        docs.select(doc_key().alias("doc_id")).distinct().write.mode("overwrite").parquet(ids)
         lost = self.postings().join(self.spark.read.parquet(ids), "doc_id", "left_semi").select("key", "doc_id")
         keys = f"{self.path}/lost-{len(self.gone)}"
-        lost.select("key").distinct().write.parquet(keys)
+        lost.select("key").distinct().write.mode("overwrite").parquet(keys)
         self.gone.append((ids, len(self.runs)))
         touched = self.spark.read.parquet(keys)
         self._commit(self.postings().join(touched, "key", "left_semi"), touched)
@@ -203,7 +223,7 @@ class LineIndex:
             else:
                 new = old.join(touched, "key", "left_anti").unionByName(new)
         target = f"{self.path}/counts-{self.version + 1}"
-        new.write.parquet(target)
+        new.write.mode("overwrite").parquet(target)
         fresh = self.spark.read.parquet(target).where("first_doc <> last_doc").select("key")
         if self.version:
             before = self.shared().select("key")
@@ -212,8 +232,9 @@ class LineIndex:
         else:
             self.shards = 1 << max(0, (fresh.count() // SHARD_KEYS)).bit_length()
             filters = self._built(fresh)
-        filters.write.parquet(f"{self.path}/filters-{self.version + 1}")
+        filters.write.mode("overwrite").parquet(f"{self.path}/filters-{self.version + 1}")
         self.version += 1
+        self._save()
 
     def _built(self, keys: DataFrame) -> DataFrame:
         def build(group: pa.Table) -> pa.Table:
@@ -242,7 +263,7 @@ class LineIndex:
         sharded = changes.withColumn("shard", _shard(self.shards))
         made = self.filters().groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(change, _FILTER)
         path = f"{self.path}/made-{self.version + 1}"
-        made.write.parquet(path)
+        made.write.mode("overwrite").parquet(path)
         made = self.spark.read.schema(_FILTER).parquet(path)
         full = made.where("slots is null").select("shard")
         if full.isEmpty():

@@ -410,6 +410,18 @@ def test_lines_odd_rows(spark, odd, none):
         assert line_dedup.dedup_lines(d, index).count() == n
 
 
+def test_line_index_goes_on_from_its_folder(spark, tmp_path):
+    """Insertions and removals of another LineIndex on the folder give what one index gives."""
+    rows = [(i, f"line number {i % 3} of all\nown line of text {i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    path = str(tmp_path / "lines")
+    line_dedup.LineIndex(spark, path).insert(docs.where("doc_id < 5"))
+    line_dedup.LineIndex(spark, path).insert(docs.where("doc_id >= 5"))
+    line_dedup.LineIndex(spark, path).remove(docs.where("doc_id = 0"))
+    drops = {r.doc_id for r in line_dedup.LineIndex(spark, path).drops().collect()}
+    assert drops == {4, 5, 6, 7, 8}
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -131,6 +132,44 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[p
     return df.mapInArrow(run, schema)
 
 
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2 ** 64, as far as asked for."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = max(n, 2 * len(self.up))
+            inverse = pow(_BASE, -1, 1 << 64)
+            make = lambda b: np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64))))
+            self.up, self.down = make(_BASE), make(inverse)
+        return self.up[:n], self.down[:n]
+
+
+_rng = np.random.Generator(np.random.PCG64(7))
+_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[list(SPACE)] = True
+_POWERS = _Powers()
+
+
+def mix_bits(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hashes, starts, ends) of the words of buffer, which ends in white space."""
+    data = np.frombuffer(buffer, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _IS_SPACE[data])).view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    up, down = _POWERS.upto(len(data) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)])))
+    return mix_bits((sums[ends] - sums[starts]) * down[starts]), starts, ends
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

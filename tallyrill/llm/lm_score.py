@@ -1,76 +1,144 @@
-"""LM scoring with a probabilistic suffix tree.
-
-The tree predicts the bytes of a word, its end, and the end of a text, from up
-to DEPTH bytes before, back to the start of the word. It is learned from the
-whole training part: words are counted, and the contexts of their bytes are
-weighted by these counts. A context is retained if its next-symbol
-distribution diverges from that of its suffix by MIN_GAIN nats or more over
-all its occurrences. Distributions are smoothed along the retained suffixes
-(each gives the mass of its number of distinct symbols to the next shorter
-one, down to a uniform one), and the state for a prediction is the longest
-retained suffix of what was read. So every text has a proper probability.
-
-The tree smooths the words' own counts: a word has the probability
-(c + V * tree) / (N + V), with its count c among N training tokens of V kinds.
-This is its probability in the root state of the contexts that run past the
-space. These are the word before (at the start, the end of the text before),
-kept by the same test: if the words after it diverge from all words by
-MIN_GAIN nats or more over all its occurrences. In a kept state a word has the
-probability (n + kinds * root) / (total + kinds). Each token of a text is
-scored in the longest state that is kept, so the order of the words counts.
-`score` spells each unknown word, and so is the probability of the text itself;
-`lumped_score` takes all unknown words as one kind, as the add-one baseline
-does, with the mass that the tree leaves for words outside the vocabulary, in
-the root state.
-
-Texts meet the values of their words in batches: a batch's distinct words are
-joined with the word table. Its pairs of neighbouring words are counted against
-them; counts of pairs that are in several batches come back to each of these.
-No table that grows with the corpus is broadcast, but for the tree where it is
-below MODEL_ROWS.
+"""LM scoring with a probabilistic suffix tree over words.
+
+The symbols are lower-cased words and the end of a text. A state is a context
+of up to two tokens (at the start of a text the end of the one before stands
+in). A context s that occurs twice or more in the training texts is retained if
+its next symbols diverge from those of its suffix u by MIN_GAIN nats or more
+over all its occurrences:
+
+    sum over symbols x of n(sx) ln(n(sx) n(u) / (n(s) n(ux)))
+
+The distribution of a retained state is smoothed by absolute discounts (for
+symbols found once, twice, more often; from the counts of counts),
+
+    P(x | s) = (n(sx) - D) / n(s) + (sum of all D) / n(s) P(x | u)
+
+and is that of its suffix where s is not retained, so each token is scored in
+its longest retained suffix state. The root is the discounted unigram; its
+discounted mass goes to a second suffix tree, over the bytes of a word and its
+end, that spells the word from up to DEPTH bytes before. That tree is learned
+from each distinct training word once and retained by BYTE_GAIN. So every
+text, whatever its words, has a proper probability.
+
+Texts are dealt to batches of bounded size. A batch sends its distinct words,
+pairs, triples and byte contexts, with their training counts, as packed sorted
+arrays to shards of the key space; a shard adds them up over all batches and
+answers with arrays in the same order, so no key travels back. A symbol, however
+frequent, costs a shard one entry a batch. Triples are only sent under pairs
+that occur twice, since no other is a state. Keys are 64-bit hashes (within a
+shard their lower 48 bits): words of one hash would count as one. Nothing that
+grows with the corpus is broadcast or collected.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, as_bytes, checkpointed, keeps_own, release, stored, table, without
+from .common import LOWER, as_bytes, checkpointed, fresh_path, keeps_own, mix_bits, release, remove_path, shared_root, stored, table, without, word_hashes
 
+MIN_GAIN = 3.0
+BYTE_GAIN = 12.0
+#: Bytes of context of the spelling tree; with the symbol they fill the 48 bits of a key.
 DEPTH = 5
-MIN_GAIN = 12.0
 FOLDS, HELD_OUT = 7, 2
-#: Rows (16 bytes each) of the tree up to which it is broadcast; beyond, words are joined with it.
-MODEL_ROWS = 4_000_000
-#: Characters of the texts of one batch, and distinct words counted before they are passed on.
-BATCH_CHARS = 24_000_000
-WORDS_HELD = 400_000
-_SPACE, _END = 32, 10
+#: Characters of the texts of one batch.
+BATCH_CHARS = 16_000_000
+_CHUNK = 1 << 20
 _SLICE = 1 << 21
-
-
-def tokens(text: bytes | None) -> list[bytes]:
-    """Lower-cased words; the end of the text is the token b''."""
-    return [*text.translate(LOWER).split(), b""] if text else [b""]
+_END_HASH = np.uint64(0x5851F42D4C957F2D)
+_SPACE = 32
+_LOW = np.uint64((1 << 48) - 1)
+#: What a packed message or answer is about.
+WORDS, PAIRS, TRIPLES, AFTER_WORDS, AFTER_PAIRS, SPELLING = range(6)
+_MESSAGE = "kind int, shard int, _batch int, keys binary, n binary, x binary"
+_ANSWER = "kind int, shard int, _batch int, answer binary, stats array<bigint>"
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+class Batch:
+    """The tokens of some texts: hashes, distinct words, pairs and triples in the order of their hashes, and training counts."""
+
+    def __init__(self, texts: list[bytes | None], train: np.ndarray):
+        texts = [(t or b"").translate(LOWER) for t in texts]
+        self.sizes = np.zeros(len(texts), np.int64)
+        hashes, starts, ends = [], [], []
+        at = 0
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j]) < _CHUNK):
+                size += len(texts[j]) + 1
+                j += 1
+            found, s, e = word_hashes(b"\n".join(texts[i:j]) + b"\n")
+            offsets = np.cumsum([0] + [len(t) + 1 for t in texts[i:j]])
+            upto = np.searchsorted(s, offsets[1:])  # words before the end of each text
+            hashes.append(np.insert(found, upto, _END_HASH))
+            starts.append(np.insert(s + at, upto, 0))
+            ends.append(np.insert(e + at, upto, 0))
+            self.sizes[i:j] = np.diff(np.concatenate(([0], upto))) + 1
+            at += int(offsets[-1])
+            i = j
+        self.buffer = b"\n".join(texts) + b"\n"
+        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.train = np.repeat(train.astype(bool), self.sizes)
+        before = np.concatenate(([_END_HASH], h[:-1])) if len(h) else h
+        self.words, one, self.word = np.unique(h, return_index=True, return_inverse=True)
+        self.spans = np.concatenate(starts)[one] if hashes else one, np.concatenate(ends)[one] if hashes else one
+        self.before = np.searchsorted(self.words, before)
+        keys = _pair(before, h)
+        self.pairs, one, self.pair = np.unique(keys, return_index=True, return_inverse=True)
+        self.pair_words = self.before[one], self.word[one]
+        self.word_n, self.pair_n = self._count(self.word, len(self.words)), self._count(self.pair, len(self.pairs))
+
+    def _count(self, which: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(which[self.train], minlength=size)
+
+    def grow(self, pair_total: np.ndarray) -> None:
+        """Triples under pairs that occur twice or more in training; -1 where a token ends none."""
+        inside = np.ones(len(self.word), bool)
+        inside[self.first] = False
+        before = np.concatenate(([0], self.pair[:-1])) if len(self.pair) else self.pair
+        some = inside & (pair_total[before] >= 2)
+        self.triple = np.full(len(self.word), -1)
+        context, symbol = before[some], self.word[some]
+        keys = _pair(self.pairs[context], self.words[symbol] ^ np.uint64(0x2545F4914F6CDD1D))
+        self.triples, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        self.triple[some] = which
+        self.triple_context, self.triple_end = context[one], self.pair[some][one]
+        self.triple_n = np.bincount(which[self.train[some]], minlength=len(self.triples))
+
+    def byte_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct byte contexts with their symbols (spread over the shards), which of them each symbol of the distinct words has, and the first symbol of each word."""
+        b = self.buffer
+        keys, first = symbol_keys([b[s:e] for s, e in zip(*(x.tolist() for x in self.spans), strict=True)])
+        distinct, at = np.unique(_spread(keys), return_inverse=True)
+        self.key_counts = np.diff(np.append(first, len(keys)))
+        return distinct, at, first
 
 
 def symbol_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(keys, first key of each word): each byte of each word and the space after it, with the DEPTH bytes before it, back to the space before the word.
 
     A key has the symbol in its lowest byte and the context above. The word b''
-    has the one symbol 10, which is in no word.
+    (the end of a text) has the one symbol 10, which is in no word.
     """
     data = np.frombuffer(b" " + b" ".join(w or b"\n" for w in words) + b" ", np.uint8)
     sizes = np.fromiter((len(w) + 1 if w else 1 for w in words), np.int64, len(words))
     lengths = np.fromiter((len(w or b"\n") + 1 for w in words), np.int64, len(words))
-    marks = np.cumsum(np.concatenate(([0], lengths)))[:-1]  # the space before each word
+    marks = np.cumsum(lengths) - lengths  # the space before each word
     at = np.arange(1, len(data))
     seen = at - np.repeat(marks, lengths)  # symbols between the mark and here, the mark included
     keys = data[1:].astype(np.uint64)
@@ -81,7 +149,7 @@ def symbol_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         drop = np.zeros(len(keys), bool)
         drop[(marks + lengths - 1)[sizes != lengths]] = True
         keys = keys[~drop]
-    return keys, np.cumsum(np.concatenate(([0], sizes)))[:-1]
+    return keys, np.cumsum(sizes) - sizes
 
 
 def context_length(keys: np.ndarray) -> np.ndarray:
@@ -92,24 +160,9 @@ def context_length(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): occurrences in training texts; 0 for words of other texts."""
-    held: Counter = Counter()
-
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-
-    for batch in batches:
-        for text, train in zip(as_bytes(batch.column("text")), batch.column("train").to_pylist(), strict=True):
-            if train:
-                held.update(tokens(text))
-            else:
-                for w in tokens(text):
-                    held.setdefault(w, 0)
-            if len(held) > WORDS_HELD:
-                yield rows()
-                held = Counter()
-    yield rows()
+def _spread(keys: np.ndarray) -> np.ndarray:
+    """Keys of 48 bits below 16 bits of their hash, so that ranges of them are shards of like size."""
+    return mix_bits(keys * np.uint64(0x9E3779B97F4A7C15)) & ~_LOW | keys
 
 
 def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,17 +178,26 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         held_keys, at = np.unique(np.concatenate((held_keys, keys)), return_inverse=True)
         held_n = np.bincount(at, np.concatenate((held_n, weights)).astype(np.float64), len(held_keys)).astype(np.int64)
         if len(held_keys) > _SLICE:
-            yield pa.RecordBatch.from_arrays([pa.array(held_keys.view(np.int64)), pa.array(context_length(held_keys).astype(np.int32)), pa.array(held_n)], names=["key", "size", "n"])
+            yield _context_rows(held_keys, held_n)
             held_keys, held_n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(held_keys.view(np.int64)), pa.array(context_length(held_keys).astype(np.int32)), pa.array(held_n)], names=["key", "size", "n"])
+    yield _context_rows(held_keys, held_n)
+
 
+def _context_rows(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(context_length(keys).astype(np.int32)), pa.array(n)], names=["key", "size", "n"])
 
-def suffix_tree(words: DataFrame, min_gain: float = MIN_GAIN) -> DataFrame:
+
+def suffix_tree(words: DataFrame, min_gain: float = BYTE_GAIN) -> DataFrame:
     """(key, logp) of words (word, c): log10 probability of each symbol after each context that occurs in them.
 
     words with c = 0 teach nothing, but their contexts are in the result.
     """
-    counts = checkpointed(words.mapInArrow(_count_contexts, "key bigint, size int, n bigint").groupBy("key", "size").agg(F.sum("n").alias("n")))
+    return byte_tree(checkpointed(words.mapInArrow(_count_contexts, "key bigint, size int, n bigint").groupBy("key", "size").agg(F.sum("n").alias("n"))), min_gain)
+
+
+def byte_tree(counts: DataFrame, min_gain: float = BYTE_GAIN) -> DataFrame:
+    """(key, logp, and other columns of counts) for counts (key, size, n), where a key is a symbol below its context of size bytes."""
+    more = [c for c in counts.columns if c not in ("key", "size", "n")]
     leaf = counts.select("key", (F.col("key").bitwiseAND(255)).cast("int").alias("sym"), "size", F.shiftrightunsigned("key", 8).alias("hist"), "n")
     every = leaf.withColumn("depth", F.explode(F.sequence(F.lit(0), F.col("size"))))
     every = every.withColumn("ctx", F.col("hist").bitwiseAND(F.expr("shiftleft(1L, 8 * depth) - 1L")))
@@ -161,48 +223,198 @@ def suffix_tree(words: DataFrame, min_gain: float = MIN_GAIN) -> DataFrame:
     smooth = F.aggregate("steps", F.lit(1 / 256), lambda p, s: (s["n"] + s["kinds"] * p) / (s["total"] + s["kinds"]))
     known = chain.groupBy("key").agg(steps.alias("steps")).select("key", F.log10(smooth).alias("logp"))
     # without training texts there is no state at all
-    return counts.select("key").join(known, "key", "left").select("key", F.coalesce("logp", F.lit(float(np.log10(1 / 256)))).alias("logp"))
+    return counts.select("key", *more).join(known, "key", "left").select("key", F.coalesce("logp", F.lit(float(np.log10(1 / 256)))).alias("logp"), *more)
+
+
+def discounts(of: list[int]) -> np.ndarray:
+    """Absolute discounts for symbols found 0, 1, 2 and more times, from the numbers of those found 1, 2, 3 and 4 times."""
+    n1, n2, n3, n4 = of
+    if not (n1 and n2 and n3 and n4):
+        return np.array([0.0, 0.5, 0.5, 0.5])
+    y = n1 / (n1 + 2 * n2)
+    return np.array([0.0, *(min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
 
 
-def score_words(words: DataFrame, tree: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """words with logp, the log10 probability of each."""
-    spark = words.sparkSession
-    tree = checkpointed(tree)
-    if tree.count() <= model_rows:
-        model = tree.orderBy("key").toArrow()
-        shared = spark.sparkContext.broadcast((model.column("key").to_numpy(), model.column("logp").to_numpy()))
+def _packed(kind: int, batch: int, shards: int, hashes: np.ndarray, n: np.ndarray, x: np.ndarray | None = None) -> Iterator[tuple]:
+    """Rows of _MESSAGE: hashes (sorted) and their values, cut where the shard changes."""
+    bounds = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
+    cuts = [0, *np.searchsorted(hashes, bounds).tolist(), len(hashes)]
+    low = hashes & _LOW
+    for s in range(shards):
+        a, b = cuts[s], cuts[s + 1]
+        if b > a:
+            keys = (low[a:b] >> np.uint64(32)).astype(np.uint16).tobytes() + low[a:b].astype(np.uint32).tobytes()
+            yield kind, s, batch, keys, n[a:b].astype(np.int64).tobytes(), None if x is None else x[:, a:b].tobytes()
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, logps = shared.value
-            for batch in batches:
-                held = batch.column("word").to_pylist()
-                if held:
-                    mine, first = symbol_keys(held)
-                    sums = np.add.reduceat(logps[np.searchsorted(keys, mine.view(np.int64))], first)
-                    yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(sums)], names=["word", "c", "logp"])
 
-        return words.mapInArrow(score, "word binary, c bigint, logp double")
+def _keys_of(packed: bytes) -> np.ndarray:
+    size = len(packed) // 6
+    return np.frombuffer(packed, np.uint16, size).astype(np.uint64) << np.uint64(32) | np.frombuffer(packed, np.uint32, size, 2 * size).astype(np.uint64)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.column("word").to_pylist()
-            for i in range(0, len(held), 2000):
-                part = held[i : i + 2000]
-                keys, first = symbol_keys(part)
-                owner = np.repeat(np.arange(i, i + len(part)), np.diff(np.concatenate((first, [len(keys)]))))
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(owner)) for c in ("word", "c")] + [pa.array(keys.view(np.int64))], names=["word", "c", "key"])
 
-    symbols = words.mapInArrow(spread, "word binary, c bigint, key bigint")
-    return symbols.join(tree, "key").groupBy("word", "c").agg(F.sum("logp").alias("logp"))
+def _rows(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
 
 
-_SUMS = [T.StructField(n, t()) for n, t in (("n_tokens", T.LongType), ("n_known", T.LongType), ("_base", T.DoubleType), ("lumped_score", T.DoubleType), ("score", T.DoubleType))]
-_NAMES = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lumped_score"]
+def _gathered(group: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray, list]:
+    """Of the messages in a group, by batch: batches, sizes, distinct keys, place of each key among them, n, packed x."""
+    batches = group.column("_batch").to_pylist()
+    order = sorted(range(len(batches)), key=batches.__getitem__)
+    packed, n, x = (group.column(c).to_pylist() for c in ("keys", "n", "x"))
+    keys = [_keys_of(packed[i]) for i in order]
+    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([np.frombuffer(n[i], np.int64) for i in order])
+    return [batches[i] for i in order], [len(k) for k in keys], distinct, which, counts, [x[i] for i in order]
 
 
-@keeps_own("_batch", "_base", "_train")
-def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, model_rows: int = MODEL_ROWS, batch_chars: int = BATCH_CHARS) -> DataFrame:
-    """docs with held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram), score (of the text by the tree) and lumped_score (unknown words as one kind), all log10.
+def _cut(values: np.ndarray, sizes: list[int]) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [values[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)]
+
+
+def add_up(group: pa.Table, min_gain: float) -> pa.Table:
+    """The answers of one shard and kind: to each batch its keys' values, in the order it sent them.
+
+    Of words, pairs and triples twice the count, odd for the first batch that
+    has the key; of contexts the discounted mass of those retained, else 0.
+    """
+    kind, shard = group.column("kind")[0].as_py(), group.column("shard")[0].as_py()
+    batches, sizes, distinct, which, n, x = _gathered(group)
+    if kind in (AFTER_WORDS, AFTER_PAIRS):
+        times = np.zeros(len(distinct))
+        times[which] = n  # the same in every batch
+        mass, gain = (np.bincount(which, np.concatenate([np.frombuffer(p, np.float64, k, 8 * k * i) for p, k in zip(x, sizes, strict=True)]), len(distinct)) for i in (0, 1))
+        gain -= times * np.log(np.maximum(times, 1))
+        held = np.where((times >= 2) & (gain >= min_gain), mass, 0.0)
+        return _rows([(kind, shard, b, a, None) for b, a in zip(batches, _cut(held[which], sizes), strict=True)], _ANSWER)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, which, n)
+    first = np.full(len(distinct), len(which))
+    np.minimum.at(first, which, np.arange(len(which)))
+    answer = total[which] * 2
+    answer[first] += 1
+    stats = [int(total.sum()), int((total > 0).sum()), *(int((total == k).sum()) for k in (1, 2, 3, 4))]
+    return _rows([*((kind, shard, b, a, None) for b, a in zip(batches, _cut(answer, sizes), strict=True)), (kind, shard, -1, None, stats)], _ANSWER)
+
+
+def count_bytes(group: pa.Table) -> pa.Table:
+    """The counts of a shard's byte contexts."""
+    _, _, distinct, which, n, _ = _gathered(group)
+    total = np.bincount(which, n, len(distinct)).astype(np.int64)
+    shard = pa.array(np.full(len(distinct), group.column("shard")[0].as_py(), np.int32))
+    return pa.table({"shard": shard, "key": distinct.view(np.int64), "size": context_length(distinct).astype(np.int32), "n": total})
+
+
+def tell_bytes(group: pa.Table, tree: pa.Table) -> pa.Table:
+    """The answers of a shard of the spelling tree: log10 probabilities in the order of each batch's keys."""
+    batches, sizes, _, which, _, _ = _gathered(group)
+    key, logp = tree.column("key").to_numpy(), tree.column("logp").to_numpy()
+    told = logp[np.argsort(key)]
+    return _rows([(SPELLING, group.column("shard")[0].as_py(), b, a, None) for b, a in zip(batches, _cut(told[which], sizes), strict=True)], _ANSWER)
+
+
+def _answers(found: pa.Table) -> dict[int, np.ndarray]:
+    """Of each kind the values in the order of the batch's hashes."""
+    held: dict[int, list] = {}
+    for kind, shard, answer in zip(*(found.column(c).to_pylist() for c in ("kind", "shard", "answer")), strict=True):
+        held.setdefault(kind, []).append((shard, answer))
+    out = {k: np.frombuffer(b"".join(a for _, a in sorted(v)), np.int64 if k in (WORDS, PAIRS, TRIPLES) else np.float64) for k, v in held.items()}
+    return {k: out.get(k, np.zeros(0, np.int64 if k in (WORDS, PAIRS, TRIPLES) else np.float64)) for k in range(6)}
+
+
+def _batch_of(group: pa.Table) -> tuple[int, Batch]:
+    texts = [t for chunk in group.column("text").chunks for t in as_bytes(chunk)]
+    return group.column("_batch")[0].as_py(), Batch(texts, np.concatenate([c.to_numpy(zero_copy_only=False) for c in group.column("_train").chunks]))
+
+
+def _after(n: np.ndarray, of: np.ndarray, suffix: np.ndarray, own: np.ndarray, size: int, discount: np.ndarray) -> np.ndarray:
+    """For contexts 0..size-1 two rows: discounted mass, and sum of n ln(n / suffix probability), over the symbols this batch counts."""
+    some = own & (n > 0)
+    of, n = of[some], n[some]
+    return np.stack([np.bincount(of, discount[np.minimum(n, 3)], size), np.bincount(of, n * np.log(n / suffix[some]), size)])
+
+
+def count_groups(group: pa.Table, shards: int) -> pa.Table:
+    """First round: words and pairs."""
+    number, b = _batch_of(group)
+    return _rows([*_packed(WORDS, number, shards, b.words, b.word_n), *_packed(PAIRS, number, shards, b.pairs, b.pair_n)], _MESSAGE)
+
+
+def count_contexts(group: pa.Table, found: pa.Table, shards: int, tokens: int, discount: np.ndarray) -> pa.Table:
+    """Second round: what follows each word, triples, and the byte contexts of the words, counted in the training words this batch owns."""
+    number, b = _batch_of(group)
+    got = _answers(found)
+    c, n = got[WORDS] >> 1, got[PAIRS] >> 1
+    before, after = b.pair_words
+    rows = [*_packed(AFTER_WORDS, number, shards, b.words, c, _after(n, before, c[after] / max(tokens, 1), got[PAIRS] & 1 == 1, len(b.words), discount))]
+    b.grow(n)
+    rows += _packed(TRIPLES, number, shards, b.triples, b.triple_n)
+    keys, at, _ = b.byte_keys()
+    mine = (got[WORDS] & 1 == 1) & (c > 0)
+    times = np.bincount(at, np.repeat(mine, b.key_counts), len(keys))
+    rows += _packed(SPELLING, number, shards, keys, times)
+    return _rows(rows, _MESSAGE)
+
+
+def count_pair_contexts(group: pa.Table, found: pa.Table, shards: int, discount: np.ndarray) -> pa.Table:
+    """Third round: what follows each pair that occurs twice."""
+    number, b = _batch_of(group)
+    got = _answers(found)
+    c, n = got[WORDS] >> 1, got[PAIRS] >> 1
+    b.grow(n)
+    twice = np.flatnonzero(n >= 2)
+    end = b.triple_end
+    suffix = n[end] / np.maximum(c[b.pair_words[0][end]], 1)
+    after = _after(got[TRIPLES] >> 1, b.triple_context, suffix, got[TRIPLES] & 1 == 1, len(b.pairs), discount)
+    return _rows([*_packed(AFTER_PAIRS, number, shards, b.pairs[twice], n[twice], after[:, twice])], _MESSAGE)
+
+
+def _step(n: np.ndarray, times: np.ndarray, mass: np.ndarray, low: tuple[np.ndarray, np.ndarray], discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probability, its log10) of symbols after a context, from those after its suffix; mass is 0 where the context is no state."""
+    times = np.maximum(times, 1)
+    own = np.where(mass > 0, (n - discount[np.minimum(n, 3)]) / times, 0.0)
+    rest = np.where(mass > 0, mass / times, 1.0)
+    p = own + rest * low[0]
+    # what only the suffix knows may be too little for a double
+    return p, np.where(own > 0, np.log10(np.maximum(p, 1e-300)), np.log10(rest) + low[1])
+
+
+def batch_scores(b: Batch, got: dict[int, np.ndarray], totals: dict[int, list[int]], discount: dict[int, np.ndarray]) -> dict[str, np.ndarray]:
+    """Per text: n_tokens, n_known, and the log10 sums _base (base_score but for its constant), unigram_score and score."""
+    c, n = got[WORDS] >> 1, got[PAIRS] >> 1
+    b.grow(n)
+    _, at, first = b.byte_keys()
+    spelled = np.add.reduceat(got[SPELLING][at], first) if len(first) else np.zeros(0)
+    tokens, kinds, once, twice = totals[WORDS][:4]
+    if tokens:
+        d = discount[WORDS]
+        mass = np.array([d[1] * once + d[2] * twice + d[3] * (kinds - once - twice)])
+        root = _step(c, np.array([tokens]), mass, (10.0**spelled, spelled), d)
+    else:
+        root = 10.0**spelled, spelled
+    before, after = b.pair_words
+    pairs = _step(n, c[before], got[AFTER_WORDS][before], (root[0][after], root[1][after]), discount[PAIRS])
+    score = pairs[1][b.pair]
+    if len(b.triples):
+        states = np.zeros(len(b.pairs))
+        states[n >= 2] = got[AFTER_PAIRS]
+        context, end = b.triple_context, b.triple_end
+        triples = _step(got[TRIPLES] >> 1, n[context], states[context], (pairs[0][end], pairs[1][end]), discount[TRIPLES])
+        score = np.where(b.triple >= 0, triples[1][b.triple], score)
+    sums = {"n_known": (c > 0).astype(np.int64)[b.word], "_base": np.log10(c + 1.0)[b.word], "unigram_score": root[1][b.word], "score": score}
+    return {"n_tokens": b.sizes, **{k: np.add.reduceat(v, b.first) for k, v in sums.items()}}
+
+
+_SUMS = [T.StructField(n, t()) for n, t in (("n_tokens", T.LongType), ("n_known", T.LongType), ("_base", T.DoubleType), ("unigram_score", T.DoubleType), ("score", T.DoubleType))]
+_NAMES = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "unigram_score"]
+
+
+@keeps_own("_batch", "_base", "_train", "_row")
+def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """docs with held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram), score (by the tree) and unigram_score (by its root alone), all log10.
 
     docs: doc_id, text and any other columns; columns of these names are
     replaced. Rows with crc32(doc_id as text) mod 7 = 2 are held out, the
@@ -210,102 +422,68 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, model_rows: int = M
     is its end alone. Repeated rows teach and are scored as often as they are
     there. Without training rows scores are those of uniform bytes.
     """
+    spark = docs.sparkSession
     base = without(docs, _NAMES)
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
-    counted = base.select("text", (~held_out).alias("train")).mapInArrow(_count_words, "word binary, n bigint")
-    words = stored(counted.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    known = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = known["n"], known["v"]
-    release(base.sparkSession)
-    scored = stored(score_words(words, suffix_tree(words, min_gain), model_rows), "scored")
-    release(base.sparkSession)
-    inside = scored.where("c > 0").agg(F.coalesce(F.sum(F.pow(F.lit(10.0), F.col("logp"))), F.lit(0.0)).alias("p")).first()["p"]
-    outside = np.log10(max(v * (1 - inside) / (n + v), 1e-300)) if n else None
-    chars = base.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    batches = max(1, -(-chars // batch_chars))
-    rows = base.withColumn("_batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int")).withColumn("_train", ~held_out)
-
-    def distinct_words(group: pa.Table) -> pa.Table:
-        held: set[bytes] = set()
-        for chunk in group.column("text").chunks:
-            for text in as_bytes(chunk):
-                held.update(tokens(text))
-        number = group.column("_batch")[0].as_py()
-        return pa.table({"_batch": pa.array([number] * len(held), pa.int32()), "word": pa.array(list(held), pa.binary())})
-
-    wanted = stored(rows.select("_batch", "text").groupBy("_batch").applyInArrow(distinct_words, "_batch int, word binary"), "wanted")
-    release(base.sparkSession)
-
-    def neighbours(texts: pa.ChunkedArray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in words of all tokens and of the tokens before them, and the number of tokens of each text."""
-        place = dict(zip(words, range(len(words)), strict=True))
-        at, sizes = [], []
-        for chunk in texts.chunks:
-            for text in as_bytes(chunk):
-                mine = tokens(text)
-                at.append(np.fromiter(map(place.__getitem__, mine), np.int32, len(mine)))
-                sizes.append(len(mine))
-        after = np.concatenate(at)
-        return after, np.concatenate((after[-1:], after[:-1])), np.array(sizes)  # the token before a text is the end of another
-
-    def pairs_of(group: pa.Table, words: list[bytes], after: np.ndarray, before: np.ndarray, sizes: np.ndarray) -> tuple:
-        """Of distinct pairs: places, key, count in training texts; and which pair each token ends."""
-        pairs, which = np.unique(before.astype(np.int64) * len(words) + after, return_inverse=True)
-        train = np.repeat(group.column("_train").to_numpy().astype(bool), sizes)
-        n = np.bincount(which[train], minlength=len(pairs))
-        first, second = pairs // len(words), pairs % len(words)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
-        keys = hashes[first] * np.uint64(0x9E3779B97F4A7C15) + hashes[second] * np.uint64(0xC2B2AE3D27D4EB4F)
-        return first, second, hashes.view(np.int64), keys.view(np.int64), n, which
-
-    def count_pairs(group: pa.Table, found: pa.Table) -> pa.Table:
-        words, c = found.column("word").to_pylist(), found.column("c").to_numpy()
-        first, second, hashes, keys, n, _ = pairs_of(group, words, *neighbours(group.column("text"), words))
-        some = (c[first] > 0) & (c[second] > 0)
-        number = group.column("_batch")[0].as_py()
-        columns = (np.full(some.sum(), number, np.int32), hashes[first[some]], keys[some], n[some], c[second[some]])
-        return pa.table(dict(zip(("_batch", "ctx", "key", "n", "c"), map(pa.array, columns), strict=True)))
-
-    if n:
-        values = wanted.join(scored.select("word", "c"), "word").select("_batch", "word", "c")
-        counted = rows.select("_batch", "_train", "text").groupBy("_batch").cogroup(values.groupBy("_batch")).applyInArrow(count_pairs, "_batch int, ctx bigint, key bigint, n bigint, c bigint")
-        pairs = stored(counted.groupBy("ctx", "key").agg(F.sum("n").alias("n"), F.first("c").alias("c"), F.collect_list("_batch").alias("held")).where("n > 0"), "pairs")
-        release(base.sparkSession)
-        each = F.sum(F.col("n") * F.log(F.col("n") / F.col("c")))
-        states = pairs.groupBy("ctx").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), each.alias("gain"))
-        states = states.where(F.col("gain") + F.col("total") * F.log(F.lit(float(n)) / F.col("total")) >= min_gain).select("ctx", "kinds")
-        known_words = scored.withColumn("ctx", F.xxhash64("word")).join(states, "ctx", "left").select("word", "c", "logp", F.coalesce("kinds", F.lit(0)).cast("bigint").alias("kinds"))
-        back = pairs.where(F.size("held") > 1).select(F.explode("held").alias("_batch"), "key", "n")
-    else:
-        known_words = scored.withColumn("kinds", F.lit(0).cast("bigint"))
-        back = base.sparkSession.createDataFrame([], "_batch int, key bigint, n bigint")
-    values = wanted.join(known_words, "word").select("_batch", "word", "c", "logp", "kinds", F.lit(None).cast("bigint").alias("key"))
-    none = F.lit(None)
-    values = values.unionByName(back.select("_batch", none.cast("binary").alias("word"), F.col("n").alias("c"), none.cast("double").alias("logp"), none.cast("bigint").alias("kinds"), "key"))
+    shared_root(spark)
+    # rows are numbered once, so that equal rows may go to different batches
+    first = fresh_path(spark, "numbered")
+    base.withColumn("_row", F.monotonically_increasing_id()).withColumn("_train", ~held_out).write.parquet(first)
+    numbered = spark.read.parquet(first)
+    size = numbered.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count("*").alias("rows")).first()
+    shards = batches = max(1, -(-(size["chars"] + 8 * size["rows"]) // batch_chars))
+    dealt = numbered.withColumn("_batch", F.pmod(F.xxhash64("_row"), F.lit(batches)).cast("int")).drop("_row")
+    # bucketed by batch, so that no round has to move texts again
+    buckets = min(batches, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    name = f"dealt_{uuid.uuid4().hex}"
+    dealt.repartition(buckets, "_batch").write.bucketBy(buckets, "_batch").option("path", fresh_path(spark, "dealt")).saveAsTable(name)
+    release(spark)
+    remove_path(spark, first)
+    rows = spark.table(name)
+    texts = rows.select("_batch", "_train", "text")
+
+    def answered(messages: DataFrame, label: str) -> DataFrame:
+        out = stored(messages.groupBy("kind", "shard").applyInArrow(lambda g: add_up(g, min_gain), _ANSWER), label)
+        release(spark)
+        return out
+
+    totals: dict[int, list[int]] = {}
+    discount: dict[int, np.ndarray] = {}
+
+    def take_totals(found: DataFrame) -> None:
+        each = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(f"s{i}") for i in range(6)]
+        for kind, *sums in found.where("_batch = -1").groupBy("kind").agg(*each).collect():  # three rows at most
+            totals[kind], discount[kind] = sums, discounts(sums[2:])
+
+    asked = lambda f: f.where("_batch >= 0").select("_batch", "kind", "shard", "answer").groupBy("_batch")
+    found = answered(texts.groupBy("_batch").applyInArrow(lambda g: count_groups(g, shards), _MESSAGE), "counts")
+    totals[WORDS], discount[PAIRS], discount[TRIPLES] = [0] * 6, discounts([0] * 4), discounts([0] * 4)
+    take_totals(found)
+    tokens = totals[WORDS][0]
+    second = texts.groupBy("_batch").cogroup(asked(found)).applyInArrow(lambda g, f: count_contexts(g, f, shards, tokens, discount[PAIRS]), _MESSAGE)
+    sent = fresh_path(spark, "contexts")
+    second.write.parquet(sent)
+    messages = spark.read.schema(_MESSAGE).parquet(sent)
+    release(spark)
+    found = found.unionByName(answered(messages.where(F.col("kind") != SPELLING), "answers"))
+    take_totals(found)
+    spelling = messages.where(F.col("kind") == SPELLING).groupBy("shard")
+    tree = byte_tree(checkpointed(spelling.applyInArrow(count_bytes, "shard int, key bigint, size int, n bigint")))
+    found = found.unionByName(stored(spelling.cogroup(tree.groupBy("shard")).applyInArrow(tell_bytes, _ANSWER), "spelling"))
+    release(spark)
+    remove_path(spark, sent)
+    third = texts.groupBy("_batch").cogroup(asked(found)).applyInArrow(lambda g, f: count_pair_contexts(g, f, shards, discount[TRIPLES]), _MESSAGE)
+    found = found.unionByName(answered(third, "pair-answers"))
     own = base.columns
 
-    def add_up(group: pa.Table, found: pa.Table) -> pa.Table:
-        is_word = found.column("word").is_valid()
-        totals, found = found.filter(found.column("key").is_valid()), found.filter(is_word)
-        words = found.column("word").to_pylist()
-        c, logp, kinds = (found.column(k).to_numpy() for k in ("c", "logp", "kinds"))
-        after, before, sizes = neighbours(group.column("text"), words)
-        ones, log_c = c > 0, np.log10(c + 1.0)
-        root = (c + v * 10.0**logp) / (n + v) if n else 10.0**logp
-        lumped = np.where(ones, np.log10(root), outside) if n else logp
-        first, second, _, keys, counts, which = pairs_of(group, words, after, before, sizes)
-        order = np.argsort(keys)
-        at = order[np.searchsorted(keys, totals.column("key").to_numpy(), sorter=order)]
-        counts[at] = totals.column("c").to_numpy()
-        k = kinds[first]
-        log_root = np.log10(root) if n else logp
-        score = np.where(k > 0, np.log10((counts + k * root[second]) / np.maximum(c[first] + k, 1)), log_root[second])
-        starts = np.cumsum(np.concatenate(([0], sizes)))[:-1]
-        sums = [sizes, *(np.add.reduceat(x, starts) for x in (ones[after].astype(np.int64), log_c[after], lumped[after], score[which]))]
-        kinds_out = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-        return pa.table([group.column(k) for k in own] + [pa.array(x, k) for x, k in zip(sums, kinds_out, strict=True)], names=[*own, *(f.name for f in _SUMS)])
-
-    summed = rows.groupBy("_batch").cogroup(values.groupBy("_batch")).applyInArrow(add_up, T.StructType([*base.schema.fields, *_SUMS]))
+    def score(group: pa.Table, found: pa.Table) -> pa.Table:
+        _, b = _batch_of(group)
+        sums = batch_scores(b, _answers(found), totals, discount)
+        kinds = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64()}
+        return pa.table([group.column(k) for k in own] + [pa.array(sums[f.name], kinds[f.dataType]) for f in _SUMS], names=[*own, *(f.name for f in _SUMS)])
+
+    summed = rows.groupBy("_batch").cogroup(asked(found)).applyInArrow(score, T.StructType([*base.schema.fields, *_SUMS]))
+    n, v = totals[WORDS][:2]
     each = F.log10(F.lit(float(n + v + 1)))
     return summed.select(
         *own,
@@ -315,7 +493,7 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, model_rows: int = M
         F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("_base") - F.col("n_tokens") * each).alias("base_score"),
         "score",
-        "lumped_score",
+        "unigram_score",
     )
 
 

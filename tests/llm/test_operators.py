@@ -158,8 +158,85 @@ def test_lm_score(spark, docs):
         r = rows[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in held, len(t), sum(c[w] > 0 for w in t), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-    joined = {r.doc_id: r.score for r in lm_score.score_texts(docs, model_rows=0).collect()}
-    assert all(math.isclose(joined[i], rows[i].score, rel_tol=1e-9) for i in rows)
+
+
+def brute_discounts(counts):
+    n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+    if not all(n):
+        return [0, 0.5, 0.5, 0.5]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))]
+
+
+def brute_spelling(words, depth=5, least=12.0):
+    """log10 P of a word's bytes by a suffix tree over distinct words, in plain dictionaries."""
+    def symbols(w):
+        return [(b" ", 10)] if w is None else [((b" " + w)[max(0, i + 1 - depth) : i + 1], x) for i, x in enumerate(w + b" ")]
+
+    n = defaultdict(Counter)
+    for w in words:
+        for context, x in symbols(w):
+            for d in range(len(context) + 1):
+                n[context[len(context) - d :]][x] += 1
+
+    def state(s):
+        total, up = sum(n[s].values()), n[s[1:]]
+        return not s or sum(c * math.log(c / total * sum(up.values()) / up[x]) for x, c in n[s].items()) >= least
+
+    def p(context, x, d=0):
+        out = 1 / 256
+        for d in range(len(context) + 1):
+            s = context[len(context) - d :]
+            if s in n and state(s):
+                out = (n[s][x] + len(n[s]) * out) / (sum(n[s].values()) + len(n[s]))
+        return out
+
+    return lambda w: sum(math.log10(p(*s)) for s in symbols(w))
+
+
+def brute_scores(texts, teach, least):
+    """log10 P of each text by a suffix tree of up to two tokens, in plain dictionaries."""
+    toks = {i: [w.encode() for w in WORD.findall(low(t or ""))] + [None] for i, t in texts.items()}
+    n = [defaultdict(Counter) for _ in range(3)]
+    contexts = lambda t, j: [(), ((None, *t)[j],), *([tuple((None, *t)[j - 1 : j + 1])] if j else [])]
+    for i in teach:
+        for j, x in enumerate(toks[i]):
+            for d, s in enumerate(contexts(toks[i], j)):
+                n[d][s][x] += 1
+    words = n[0][()]
+    pairs = [c for s in n[1].values() for c in s.values()]
+    # triples are counted under pairs that occur twice
+    triples = [c for s in n[2].values() if sum(s.values()) >= 2 for c in s.values()]
+    discount = [brute_discounts(x) for x in (words.values(), pairs, triples)]
+    spell = brute_spelling(words)
+
+    def state(s, d):
+        total = sum(n[d][s].values())
+        up = n[d - 1][s[1:]]
+        return total >= 2 and sum(c * math.log(c / total * sum(up.values()) / up[x]) for x, c in n[d][s].items()) >= least
+
+    def p(t, j):
+        x = t[j]
+        out = 10 ** spell(x)
+        for d, s in enumerate(contexts(t, j)):
+            if d == 0 or s in n[d] and state(s, d):
+                held = n[d][s]
+                cut = lambda c: discount[d][min(c, 3)]
+                out = (held[x] - cut(held[x]) + sum(map(cut, held.values())) * out) / sum(held.values())
+        return out
+
+    return {i: sum(math.log10(p(t, j)) for j in range(len(t))) for i, t in toks.items()}
+
+
+def test_scores_of_the_tree(spark):
+    """The same tree in plain Python, in one batch and in many."""
+    texts = {i: t if t is None or len(t) < 2000 else t[:400] for i, t, *_ in corpus()}
+    d = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    for gain, chars in ((3.0, 10**7), (3.0, 1500), (0.5, 4000)):
+        want = brute_scores(texts, [i for i in texts if i not in held], gain)
+        got = {r.doc_id: r.score for r in lm_score.score_texts(d, min_gain=gain, batch_chars=chars).collect()}
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want), (gain, chars)
 
 
 def test_suffix_tree_is_a_distribution(spark):
@@ -174,8 +251,10 @@ def test_suffix_tree_is_a_distribution(spark):
 
 def test_model_beats_baseline_held_out(spark):
     d = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
-    r = lm_score.score_texts(d).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert r.s > r.b
+    rows = lm_score.score_texts(d).where("held_out").cache()
+    for part in (rows, rows.where("n_known = n_tokens")):
+        r = part.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+        assert r.s > r.b
 
 
 def test_lm_score_depends_on_word_order(spark):
@@ -199,12 +278,12 @@ def test_lm_score_depends_on_word_order(spark):
 
 
 def test_unknown_words_are_spelled_in_the_score(spark):
-    """Two unknown texts of one length differ in score, but not in the lumped value."""
+    """Two unknown texts of one length differ in score."""
     held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
     train = [(i, "the cat and the hat") for i in range(2000, 2040) if zlib.crc32(str(i).encode()) % 7 != 2]
     rows = spark.createDataFrame([*train, (held[0], "thand cathe"), (held[1], "qzxqj kqzzx")], "doc_id bigint, text string")
     a, b = (lm_score.score_texts(rows).where(F.col("doc_id") == i).first() for i in held)
-    assert a.lumped_score == b.lumped_score and a.score > b.score + 1
+    assert a.n_known == b.n_known == 1 and a.score > b.score + 1
 
 
 # 3 ------------------------------------------------------------------------------------------------------------------

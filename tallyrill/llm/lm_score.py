@@ -49,7 +49,7 @@ BYTE_GAIN = 12.0
 DEPTH = 5
 FOLDS, HELD_OUT = 7, 2
 #: Characters of the texts of one batch.
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 6_000_000
 _CHUNK = 1 << 20
 _SLICE = 1 << 21
 _END_HASH = np.uint64(0x5851F42D4C957F2D)
@@ -67,6 +67,17 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, the place of one of each, which of them each key is)."""
+    order = np.argsort(keys)
+    held = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(held[1:], held[:-1], out=new[1:])
+    which = np.empty(len(keys), np.int32 if len(keys) < 1 << 31 else np.int64)
+    which[order] = np.cumsum(new, dtype=which.dtype) - 1
+    return held[new], order[new], which
+
+
 class Batch:
     """The tokens of some texts: hashes, distinct words, pairs and triples in the order of their hashes, and training counts."""
 
@@ -94,13 +105,13 @@ class Batch:
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.train = np.repeat(train.astype(bool), self.sizes)
-        before = np.concatenate(([_END_HASH], h[:-1])) if len(h) else h
-        self.words, one, self.word = np.unique(h, return_index=True, return_inverse=True)
-        self.spans = np.concatenate(starts)[one] if hashes else one, np.concatenate(ends)[one] if hashes else one
-        self.before = np.searchsorted(self.words, before)
-        keys = _pair(before, h)
-        self.pairs, one, self.pair = np.unique(keys, return_index=True, return_inverse=True)
-        self.pair_words = self.before[one], self.word[one]
+        self.words, one, self.word = _distinct(h)
+        self.spans = (np.concatenate(starts)[one], np.concatenate(ends)[one]) if hashes else (one, one)
+        end = np.searchsorted(self.words, _END_HASH)
+        before = np.concatenate(([end], self.word[:-1])).astype(self.word.dtype) if len(h) else self.word
+        # a text's first token follows the end of the one before
+        self.pairs, one, self.pair = _distinct(_pair(self.words[before], h))
+        self.pair_words = before[one], self.word[one]
         self.word_n, self.pair_n = self._count(self.word, len(self.words)), self._count(self.pair, len(self.pairs))
 
     def _count(self, which: np.ndarray, size: int) -> np.ndarray:
@@ -112,43 +123,44 @@ class Batch:
         inside[self.first] = False
         before = np.concatenate(([0], self.pair[:-1])) if len(self.pair) else self.pair
         some = inside & (pair_total[before] >= 2)
-        self.triple = np.full(len(self.word), -1)
+        self.triple = np.full(len(self.word), -1, self.word.dtype)
         context, symbol = before[some], self.word[some]
         keys = _pair(self.pairs[context], self.words[symbol] ^ np.uint64(0x2545F4914F6CDD1D))
-        self.triples, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        self.triples, one, which = _distinct(keys)
         self.triple[some] = which
         self.triple_context, self.triple_end = context[one], self.pair[some][one]
         self.triple_n = np.bincount(which[self.train[some]], minlength=len(self.triples))
 
     def byte_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct byte contexts with their symbols (spread over the shards), which of them each symbol of the distinct words has, and the first symbol of each word."""
-        b = self.buffer
-        keys, first = symbol_keys([b[s:e] for s, e in zip(*(x.tolist() for x in self.spans), strict=True)])
-        distinct, at = np.unique(_spread(keys), return_inverse=True)
+        keys, first = symbol_keys(np.frombuffer(self.buffer, np.uint8), *self.spans)
+        distinct, _, at = _distinct(_spread(keys))
         self.key_counts = np.diff(np.append(first, len(keys)))
         return distinct, at, first
 
 
-def symbol_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, first key of each word): each byte of each word and the space after it, with the DEPTH bytes before it, back to the space before the word.
+def symbol_keys(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, first key of each word) of words in buffer: each byte of each word and the space after it, with the DEPTH bytes before it, back to the space before the word.
 
-    A key has the symbol in its lowest byte and the context above. The word b''
-    (the end of a text) has the one symbol 10, which is in no word.
+    A key has the symbol in its lowest byte and the context above. A word of no
+    bytes (the end of a text) has the one symbol 10, which is in no word.
     """
-    data = np.frombuffer(b" " + b" ".join(w or b"\n" for w in words) + b" ", np.uint8)
-    sizes = np.fromiter((len(w) + 1 if w else 1 for w in words), np.int64, len(words))
-    lengths = np.fromiter((len(w or b"\n") + 1 for w in words), np.int64, len(words))
+    empty = ends == starts
+    lengths = ends - starts + 1 + empty
     marks = np.cumsum(lengths) - lengths  # the space before each word
-    at = np.arange(1, len(data))
-    seen = at - np.repeat(marks, lengths)  # symbols between the mark and here, the mark included
+    data = np.full(int(lengths.sum()) + 1, _SPACE, np.uint8)
+    data[marks[empty] + 1] = 10
+    seen = np.arange(len(data) - 1) - np.repeat(marks, lengths)  # symbols between the mark and the byte before a key's, the mark not included
+    inside = (seen > 0) & ~np.repeat(empty, lengths)
+    data[:-1][inside] = buffer[(np.repeat(starts - 1, lengths) + seen)[inside]]
     keys = data[1:].astype(np.uint64)
     for t in range(1, DEPTH + 1):
-        ok = seen >= t
-        keys[ok] |= data[at[ok] - t].astype(np.uint64) << np.uint64(8 * t)
-    if (sizes != lengths).any():  # no space follows the end of a text
-        drop = np.zeros(len(keys), bool)
-        drop[(marks + lengths - 1)[sizes != lengths]] = True
-        keys = keys[~drop]
+        part = data[: len(keys) + 1 - t].astype(np.uint64) << np.uint64(8 * t)
+        part[seen[t - 1 :] < t - 1] = 0
+        keys[t - 1 :] |= part
+    if empty.any():  # no space follows the end of a text
+        keys = np.delete(keys, marks[empty] + 1)
+    sizes = lengths - empty
     return keys, np.cumsum(sizes) - sizes
 
 
@@ -173,7 +185,8 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         n = batch.column("c").to_numpy()
         if not words:
             continue
-        keys, first = symbol_keys(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        keys, first = symbol_keys(np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], ends[:-1])), ends)
         weights = np.repeat(n, np.diff(np.concatenate((first, [len(keys)]))))
         held_keys, at = np.unique(np.concatenate((held_keys, keys)), return_inverse=True)
         held_n = np.bincount(at, np.concatenate((held_n, weights)).astype(np.float64), len(held_keys)).astype(np.int64)
@@ -259,15 +272,15 @@ def _rows(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
 
 
-def _gathered(group: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray, list]:
-    """Of the messages in a group, by batch: batches, sizes, distinct keys, place of each key among them, n, packed x."""
+def _gathered(group: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """Of the messages in a group, by batch: batches, sizes, distinct keys, one place of each, which of them each key is, n, packed x."""
     batches = group.column("_batch").to_pylist()
     order = sorted(range(len(batches)), key=batches.__getitem__)
     packed, n, x = (group.column(c).to_pylist() for c in ("keys", "n", "x"))
     keys = [_keys_of(packed[i]) for i in order]
-    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, own, which = _distinct(np.concatenate(keys))
     counts = np.concatenate([np.frombuffer(n[i], np.int64) for i in order])
-    return [batches[i] for i in order], [len(k) for k in keys], distinct, which, counts, [x[i] for i in order]
+    return [batches[i] for i in order], [len(k) for k in keys], distinct, own, which, counts, [x[i] for i in order]
 
 
 def _cut(values: np.ndarray, sizes: list[int]) -> list[bytes]:
@@ -278,11 +291,11 @@ def _cut(values: np.ndarray, sizes: list[int]) -> list[bytes]:
 def add_up(group: pa.Table, min_gain: float) -> pa.Table:
     """The answers of one shard and kind: to each batch its keys' values, in the order it sent them.
 
-    Of words, pairs and triples twice the count, odd for the first batch that
-    has the key; of contexts the discounted mass of those retained, else 0.
+    Of words, pairs and triples twice the count, odd for one of the batches that
+    have the key; of contexts the discounted mass of those retained, else 0.
     """
     kind, shard = group.column("kind")[0].as_py(), group.column("shard")[0].as_py()
-    batches, sizes, distinct, which, n, x = _gathered(group)
+    batches, sizes, distinct, own, which, n, x = _gathered(group)
     if kind in (AFTER_WORDS, AFTER_PAIRS):
         times = np.zeros(len(distinct))
         times[which] = n  # the same in every batch
@@ -290,19 +303,16 @@ def add_up(group: pa.Table, min_gain: float) -> pa.Table:
         gain -= times * np.log(np.maximum(times, 1))
         held = np.where((times >= 2) & (gain >= min_gain), mass, 0.0)
         return _rows([(kind, shard, b, a, None) for b, a in zip(batches, _cut(held[which], sizes), strict=True)], _ANSWER)
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, which, n)
-    first = np.full(len(distinct), len(which))
-    np.minimum.at(first, which, np.arange(len(which)))
+    total = np.bincount(which, n, len(distinct)).astype(np.int64)  # exact below 2 ** 53
     answer = total[which] * 2
-    answer[first] += 1
+    answer[own] += 1
     stats = [int(total.sum()), int((total > 0).sum()), *(int((total == k).sum()) for k in (1, 2, 3, 4))]
     return _rows([*((kind, shard, b, a, None) for b, a in zip(batches, _cut(answer, sizes), strict=True)), (kind, shard, -1, None, stats)], _ANSWER)
 
 
 def count_bytes(group: pa.Table) -> pa.Table:
     """The counts of a shard's byte contexts."""
-    _, _, distinct, which, n, _ = _gathered(group)
+    _, _, distinct, _, which, n, _ = _gathered(group)
     total = np.bincount(which, n, len(distinct)).astype(np.int64)
     shard = pa.array(np.full(len(distinct), group.column("shard")[0].as_py(), np.int32))
     return pa.table({"shard": shard, "key": distinct.view(np.int64), "size": context_length(distinct).astype(np.int32), "n": total})
@@ -310,7 +320,7 @@ def count_bytes(group: pa.Table) -> pa.Table:
 
 def tell_bytes(group: pa.Table, tree: pa.Table) -> pa.Table:
     """The answers of a shard of the spelling tree: log10 probabilities in the order of each batch's keys."""
-    batches, sizes, _, which, _, _ = _gathered(group)
+    batches, sizes, _, _, which, _, _ = _gathered(group)
     key, logp = tree.column("key").to_numpy(), tree.column("logp").to_numpy()
     told = logp[np.argsort(key)]
     return _rows([(SPELLING, group.column("shard")[0].as_py(), b, a, None) for b, a in zip(batches, _cut(told[which], sizes), strict=True)], _ANSWER)

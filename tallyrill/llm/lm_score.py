@@ -209,34 +209,63 @@ def suffix_tree(words: DataFrame, min_gain: float = BYTE_GAIN) -> DataFrame:
 
 
 def byte_tree(counts: DataFrame, min_gain: float = BYTE_GAIN) -> DataFrame:
-    """(key, logp, and other columns of counts) for counts (key, size, n), where a key is a symbol below its context of size bytes."""
-    more = [c for c in counts.columns if c not in ("key", "size", "n")]
-    leaf = counts.select("key", (F.col("key").bitwiseAND(255)).cast("int").alias("sym"), "size", F.shiftrightunsigned("key", 8).alias("hist"), "n")
-    every = leaf.withColumn("depth", F.explode(F.sequence(F.lit(0), F.col("size"))))
-    every = every.withColumn("ctx", F.col("hist").bitwiseAND(F.expr("shiftleft(1L, 8 * depth) - 1L")))
-    pairs = every.where("n > 0").groupBy("depth", "ctx", "sym").agg(F.sum("n").alias("n"))
-    totals = pairs.groupBy("depth", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    pairs = checkpointed(pairs.join(totals, ["depth", "ctx"]))
-    parent = pairs.select((F.col("depth") + 1).alias("depth"), F.col("ctx").alias("up"), "sym", F.col("n").alias("up_n"), F.col("total").alias("up_total"))
-    up = F.col("ctx").bitwiseAND(F.expr("shiftleft(1L, 8 * (depth - 1)) - 1L"))
-    gains = pairs.where("depth > 0").withColumn("up", up).join(parent, ["depth", "up", "sym"])
-    gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("up_n") / F.col("up_total"))))
-    kept = gains.groupBy("depth", "ctx").agg(gain.alias("gain")).where(F.col("gain") >= min_gain).select("depth", "ctx")
-    kept = kept.unionByName(totals.where("depth = 0").select("depth", "ctx"))
-    states = pairs.join(kept, ["depth", "ctx"], "left_semi")
-    # the chain of retained suffixes of each context, from the shortest on
-    def linked(rows: DataFrame, states: DataFrame, hint) -> DataFrame:
-        totals = states.select("depth", "ctx", "total", "kinds").distinct()
-        out = rows.select("key", "depth", "ctx", "sym").join(hint(totals), ["depth", "ctx"])
-        return out.join(hint(states.select("depth", "ctx", "sym", "n")), ["depth", "ctx", "sym"], "left")
-
-    # every key has the contexts of no and one byte: few (at most 257 times 256 rows), and too common for one task each
-    chain = linked(every.where("depth < 2"), states.where("depth < 2"), F.broadcast).unionByName(linked(every.where("depth > 1"), states.where("depth > 1"), lambda x: x))
-    steps = F.array_sort(F.collect_list(F.struct("depth", F.coalesce("n", F.lit(0)).alias("n"), "total", "kinds")))
-    smooth = F.aggregate("steps", F.lit(1 / 256), lambda p, s: (s["n"] + s["kinds"] * p) / (s["total"] + s["kinds"]))
-    known = chain.groupBy("key").agg(steps.alias("steps")).select("key", F.log10(smooth).alias("logp"))
-    # without training texts there is no state at all
-    return counts.select("key", *more).join(known, "key", "left").select("key", F.coalesce("logp", F.lit(float(np.log10(1 / 256)))).alias("logp"), *more)
+    """(key, logp, and other columns of counts) for counts (key, size, n), where a key is a symbol below its context of size bytes.
+
+    The contexts of no and one byte are one table of 256 * 256 counts. All
+    longer ones of a key end in the same two bytes, so groups by these hold
+    whole branches of the tree.
+    """
+    spark = counts.sparkSession
+    few = np.zeros(1 << 16)
+    for r in counts.where("n > 0").groupBy(F.col("key").bitwiseAND((1 << 16) - 1).alias("low")).agg(F.sum("n").alias("n")).collect():  # 65536 rows at most
+        few[r["low"]] = r["n"]
+    few = few.reshape(256, 256)
+    p = np.full(256, 1 / 256)
+    none = few.sum(axis=0)
+    if none.any():
+        p = (none + (none > 0).sum() * p) / (none.sum() + (none > 0).sum())
+    total, kinds = few.sum(axis=1, keepdims=True), (few > 0).sum(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.nansum(few * np.log(few / total * none.sum() / none), axis=1, keepdims=True)
+    p = np.where((gain >= min_gain) & (total > 0), (few + kinds * p) / np.maximum(total + kinds, 1), p)
+    shared = spark.sparkContext.broadcast((few, p))
+    names = [c for c in counts.columns if c not in ("size", "n")]
+
+    def branches(group: pa.Table) -> pa.Table:
+        few, p = shared.value
+        logp = np.log10(byte_probabilities(group.column("key").to_numpy().view(np.uint64), group.column("n").to_numpy(), few, p, min_gain))
+        return pa.table([*(group.column(c) for c in names), pa.array(logp)], names=[*names, "logp"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
+    grouped = counts.withColumn("_part", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND((1 << 16) - 1)), F.lit(parts)))
+    schema = T.StructType([*(counts.schema[c] for c in names), T.StructField("logp", T.DoubleType())])
+    return grouped.groupBy("_part").applyInArrow(branches, schema)
+
+
+def byte_probabilities(keys: np.ndarray, n: np.ndarray, few: np.ndarray, p: np.ndarray, min_gain: float) -> np.ndarray:
+    """Probabilities of keys (all that end in the same bytes) from the counts and probabilities after one byte."""
+    size = context_length(keys)
+    low = (keys & np.uint64((1 << 16) - 1)).astype(np.int64)
+    up_keys, up_n, up_total = np.arange(1 << 16).astype(np.uint64), few.reshape(-1), np.repeat(few.sum(axis=1), 256)
+    p = p.reshape(-1)[low]
+    for d in range(2, DEPTH + 1):
+        mask = np.uint64((1 << 8 * (d + 1)) - 1)
+        held, _, which = _distinct(keys[(size >= d) & (n > 0)] & mask)
+        if not len(held):
+            break
+        counts = np.bincount(which, n[(size >= d) & (n > 0)], len(held))
+        contexts, _, of = _distinct(held >> np.uint64(8))
+        total, kinds = np.bincount(of, counts, len(contexts)), np.bincount(of, minlength=len(contexts))
+        up = np.searchsorted(up_keys, held & np.uint64((1 << 8 * d) - 1))
+        gain = np.bincount(of, counts * np.log(counts / total[of] * up_total[up] / up_n[up]), len(contexts))
+        mine = keys & mask
+        at = np.minimum(np.searchsorted(held, mine), len(held) - 1)
+        here = np.minimum(np.searchsorted(contexts, mine >> np.uint64(8)), len(contexts) - 1)
+        state = (contexts[here] == mine >> np.uint64(8)) & (size >= d) & (gain[here] >= min_gain)
+        found = np.where(held[at] == mine, counts[at], 0)
+        p = np.where(state, (found + kinds[here] * p) / (total[here] + kinds[here]), p)
+        up_keys, up_n, up_total = held, counts, total[of]
+    return p
 
 
 def discounts(of: list[int]) -> np.ndarray:
@@ -257,7 +286,7 @@ def _packed(kind: int, batch: int, shards: int, hashes: np.ndarray, n: np.ndarra
         a, b = cuts[s], cuts[s + 1]
         if b > a:
             keys = (low[a:b] >> np.uint64(32)).astype(np.uint16).tobytes() + low[a:b].astype(np.uint32).tobytes()
-            yield kind, s, batch, keys, n[a:b].astype(np.int64).tobytes(), None if x is None else x[:, a:b].tobytes()
+            yield kind, s, batch, keys, n[a:b].astype(np.int64).tobytes(), None if x is None else x[0, a:b].tobytes() + x[1, a:b].astype(np.float32).tobytes()
 
 
 def _keys_of(packed: bytes) -> np.ndarray:
@@ -299,7 +328,7 @@ def add_up(group: pa.Table, min_gain: float) -> pa.Table:
     if kind in (AFTER_WORDS, AFTER_PAIRS):
         times = np.zeros(len(distinct))
         times[which] = n  # the same in every batch
-        mass, gain = (np.bincount(which, np.concatenate([np.frombuffer(p, np.float64, k, 8 * k * i) for p, k in zip(x, sizes, strict=True)]), len(distinct)) for i in (0, 1))
+        mass, gain = (np.bincount(which, np.concatenate([np.frombuffer(p, t, k, 8 * k * i) for p, k in zip(x, sizes, strict=True)]), len(distinct)) for i, t in enumerate((np.float64, np.float32)))
         gain -= times * np.log(np.maximum(times, 1))
         held = np.where((times >= 2) & (gain >= min_gain), mass, 0.0)
         return _rows([(kind, shard, b, a, None) for b, a in zip(batches, _cut(held[which], sizes), strict=True)], _ANSWER)
@@ -354,23 +383,20 @@ def count_groups(group: pa.Table, shards: int) -> pa.Table:
 
 
 def count_contexts(group: pa.Table, found: pa.Table, shards: int, tokens: int, discount: np.ndarray) -> pa.Table:
-    """Second round: what follows each word, triples, and the byte contexts of the words, counted in the training words this batch owns."""
+    """Second round: what follows each word that occurs twice, and triples."""
     number, b = _batch_of(group)
     got = _answers(found)
     c, n = got[WORDS] >> 1, got[PAIRS] >> 1
     before, after = b.pair_words
-    rows = [*_packed(AFTER_WORDS, number, shards, b.words, c, _after(n, before, c[after] / max(tokens, 1), got[PAIRS] & 1 == 1, len(b.words), discount))]
+    twice = np.flatnonzero(c >= 2)
+    follows = _after(n, before, c[after] / max(tokens, 1), got[PAIRS] & 1 == 1, len(b.words), discount)
     b.grow(n)
-    rows += _packed(TRIPLES, number, shards, b.triples, b.triple_n)
-    keys, at, _ = b.byte_keys()
-    mine = (got[WORDS] & 1 == 1) & (c > 0)
-    times = np.bincount(at, np.repeat(mine, b.key_counts), len(keys))
-    rows += _packed(SPELLING, number, shards, keys, times)
+    rows = [*_packed(AFTER_WORDS, number, shards, b.words[twice], c[twice], follows[:, twice]), *_packed(TRIPLES, number, shards, b.triples, b.triple_n)]
     return _rows(rows, _MESSAGE)
 
 
 def count_pair_contexts(group: pa.Table, found: pa.Table, shards: int, discount: np.ndarray) -> pa.Table:
-    """Third round: what follows each pair that occurs twice."""
+    """Third round: what follows each pair that occurs twice, and the byte contexts of the words, counted in the training words this batch owns."""
     number, b = _batch_of(group)
     got = _answers(found)
     c, n = got[WORDS] >> 1, got[PAIRS] >> 1
@@ -379,7 +405,11 @@ def count_pair_contexts(group: pa.Table, found: pa.Table, shards: int, discount:
     end = b.triple_end
     suffix = n[end] / np.maximum(c[b.pair_words[0][end]], 1)
     after = _after(got[TRIPLES] >> 1, b.triple_context, suffix, got[TRIPLES] & 1 == 1, len(b.pairs), discount)
-    return _rows([*_packed(AFTER_PAIRS, number, shards, b.pairs[twice], n[twice], after[:, twice])], _MESSAGE)
+    keys, at, _ = b.byte_keys()
+    mine = (got[WORDS] & 1 == 1) & (c > 0)
+    times = np.bincount(at, np.repeat(mine, b.key_counts), len(keys))
+    rows = [*_packed(AFTER_PAIRS, number, shards, b.pairs[twice], n[twice], after[:, twice]), *_packed(SPELLING, number, shards, keys, times)]
+    return _rows(rows, _MESSAGE)
 
 
 def _step(n: np.ndarray, times: np.ndarray, mass: np.ndarray, low: tuple[np.ndarray, np.ndarray], discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -406,7 +436,9 @@ def batch_scores(b: Batch, got: dict[int, np.ndarray], totals: dict[int, list[in
     else:
         root = 10.0**spelled, spelled
     before, after = b.pair_words
-    pairs = _step(n, c[before], got[AFTER_WORDS][before], (root[0][after], root[1][after]), discount[PAIRS])
+    states = np.zeros(len(b.words))
+    states[c >= 2] = got[AFTER_WORDS]
+    pairs = _step(n, c[before], states[before], (root[0][after], root[1][after]), discount[PAIRS])
     score = pairs[1][b.pair]
     if len(b.triples):
         states = np.zeros(len(b.pairs))
@@ -447,6 +479,7 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, batch_chars: int =
     buckets = min(batches, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     name = f"dealt_{uuid.uuid4().hex}"
     dealt.repartition(buckets, "_batch").write.bucketBy(buckets, "_batch").option("path", fresh_path(spark, "dealt")).saveAsTable(name)
+    del numbered, dealt
     release(spark)
     remove_path(spark, first)
     rows = spark.table(name)
@@ -454,6 +487,7 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, batch_chars: int =
 
     def answered(messages: DataFrame, label: str) -> DataFrame:
         out = stored(messages.groupBy("kind", "shard").applyInArrow(lambda g: add_up(g, min_gain), _ANSWER), label)
+        del messages
         release(spark)
         return out
 
@@ -470,20 +504,19 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, batch_chars: int =
     totals[WORDS], discount[PAIRS], discount[TRIPLES] = [0] * 6, discounts([0] * 4), discounts([0] * 4)
     take_totals(found)
     tokens = totals[WORDS][0]
-    second = texts.groupBy("_batch").cogroup(asked(found)).applyInArrow(lambda g, f: count_contexts(g, f, shards, tokens, discount[PAIRS]), _MESSAGE)
+    found = found.unionByName(answered(texts.groupBy("_batch").cogroup(asked(found)).applyInArrow(lambda g, f: count_contexts(g, f, shards, tokens, discount[PAIRS]), _MESSAGE), "answers"))
+    take_totals(found)
     sent = fresh_path(spark, "contexts")
-    second.write.parquet(sent)
+    texts.groupBy("_batch").cogroup(asked(found)).applyInArrow(lambda g, f: count_pair_contexts(g, f, shards, discount[TRIPLES]), _MESSAGE).write.parquet(sent)
     messages = spark.read.schema(_MESSAGE).parquet(sent)
     release(spark)
-    found = found.unionByName(answered(messages.where(F.col("kind") != SPELLING), "answers"))
-    take_totals(found)
+    found = found.unionByName(answered(messages.where(F.col("kind") != SPELLING), "pair-answers"))
     spelling = messages.where(F.col("kind") == SPELLING).groupBy("shard")
     tree = byte_tree(checkpointed(spelling.applyInArrow(count_bytes, "shard int, key bigint, size int, n bigint")))
     found = found.unionByName(stored(spelling.cogroup(tree.groupBy("shard")).applyInArrow(tell_bytes, _ANSWER), "spelling"))
+    del messages, spelling, tree
     release(spark)
     remove_path(spark, sent)
-    third = texts.groupBy("_batch").cogroup(asked(found)).applyInArrow(lambda g, f: count_pair_contexts(g, f, shards, discount[TRIPLES]), _MESSAGE)
-    found = found.unionByName(answered(third, "pair-answers"))
     own = base.columns
 
     def score(group: pa.Table, found: pa.Table) -> pa.Table:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, as_bytes, checkpointed, fresh_path, keeps_own, mix_bits, release, remove_path, shared_root, stored, table, without, word_hashes
+from .common import LOWER, as_bytes, brief_shuffles, checkpointed, fresh_path, keeps_own, mix_bits, remove_path, shared_root, stored, table, without, word_hashes
 
 MIN_GAIN = 3.0
 BYTE_GAIN = 12.0
@@ -478,18 +478,14 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, batch_chars: int =
     # bucketed by batch, so that no round has to move texts again
     buckets = min(batches, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     name = f"dealt_{uuid.uuid4().hex}"
-    dealt.repartition(buckets, "_batch").write.bucketBy(buckets, "_batch").option("path", fresh_path(spark, "dealt")).saveAsTable(name)
-    del numbered, dealt
-    release(spark)
+    with brief_shuffles(spark):
+        dealt.repartition(buckets, "_batch").write.bucketBy(buckets, "_batch").option("path", fresh_path(spark, "dealt")).saveAsTable(name)
     remove_path(spark, first)
     rows = spark.table(name)
     texts = rows.select("_batch", "_train", "text")
 
     def answered(messages: DataFrame, label: str) -> DataFrame:
-        out = stored(messages.groupBy("kind", "shard").applyInArrow(lambda g: add_up(g, min_gain), _ANSWER), label)
-        del messages
-        release(spark)
-        return out
+        return stored(messages.groupBy("kind", "shard").applyInArrow(lambda g: add_up(g, min_gain), _ANSWER), label)
 
     totals: dict[int, list[int]] = {}
     discount: dict[int, np.ndarray] = {}
@@ -507,15 +503,13 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, batch_chars: int =
     found = found.unionByName(answered(texts.groupBy("_batch").cogroup(asked(found)).applyInArrow(lambda g, f: count_contexts(g, f, shards, tokens, discount[PAIRS]), _MESSAGE), "answers"))
     take_totals(found)
     sent = fresh_path(spark, "contexts")
-    texts.groupBy("_batch").cogroup(asked(found)).applyInArrow(lambda g, f: count_pair_contexts(g, f, shards, discount[TRIPLES]), _MESSAGE).write.parquet(sent)
+    with brief_shuffles(spark):
+        texts.groupBy("_batch").cogroup(asked(found)).applyInArrow(lambda g, f: count_pair_contexts(g, f, shards, discount[TRIPLES]), _MESSAGE).write.parquet(sent)
     messages = spark.read.schema(_MESSAGE).parquet(sent)
-    release(spark)
     found = found.unionByName(answered(messages.where(F.col("kind") != SPELLING), "pair-answers"))
     spelling = messages.where(F.col("kind") == SPELLING).groupBy("shard")
     tree = byte_tree(checkpointed(spelling.applyInArrow(count_bytes, "shard int, key bigint, size int, n bigint")))
     found = found.unionByName(stored(spelling.cogroup(tree.groupBy("shard")).applyInArrow(tell_bytes, _ANSWER), "spelling"))
-    del messages, spelling, tree
-    release(spark)
     remove_path(spark, sent)
     own = base.columns
 

@@ -277,6 +277,17 @@ def discounts(of: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
 
 
+def _press(values: np.ndarray) -> bytes:
+    """The bytes of values, compressed, after their number."""
+    data = values.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpress(packed: bytes, kind) -> np.ndarray:
+    size = int.from_bytes(packed[:8], "little")
+    return np.frombuffer(pa.decompress(memoryview(packed)[8:], size, codec="zstd", asbytes=True), kind)
+
+
 def _packed(kind: int, batch: int, shards: int, hashes: np.ndarray, n: np.ndarray, x: np.ndarray | None = None) -> Iterator[tuple]:
     """Rows of _MESSAGE: hashes (sorted) and their values, cut where the shard changes."""
     bounds = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
@@ -286,7 +297,7 @@ def _packed(kind: int, batch: int, shards: int, hashes: np.ndarray, n: np.ndarra
         a, b = cuts[s], cuts[s + 1]
         if b > a:
             keys = (low[a:b] >> np.uint64(32)).astype(np.uint16).tobytes() + low[a:b].astype(np.uint32).tobytes()
-            yield kind, s, batch, keys, n[a:b].astype(np.int64).tobytes(), None if x is None else x[0, a:b].tobytes() + x[1, a:b].astype(np.float32).tobytes()
+            yield kind, s, batch, keys, _press(n[a:b].astype(np.int64)), None if x is None else _press(x[0, a:b]) + x[1, a:b].astype(np.float32).tobytes()
 
 
 def _keys_of(packed: bytes) -> np.ndarray:
@@ -308,13 +319,13 @@ def _gathered(group: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.nda
     packed, n, x = (group.column(c).to_pylist() for c in ("keys", "n", "x"))
     keys = [_keys_of(packed[i]) for i in order]
     distinct, own, which = _distinct(np.concatenate(keys))
-    counts = np.concatenate([np.frombuffer(n[i], np.int64) for i in order])
+    counts = np.concatenate([_unpress(n[i], np.int64) for i in order])
     return [batches[i] for i in order], [len(k) for k in keys], distinct, own, which, counts, [x[i] for i in order]
 
 
 def _cut(values: np.ndarray, sizes: list[int]) -> list[bytes]:
     ends = np.cumsum(sizes).tolist()
-    return [values[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)]
+    return [_press(values[e - s : e]) for s, e in zip(sizes, ends, strict=True)]
 
 
 def add_up(group: pa.Table, min_gain: float) -> pa.Table:
@@ -328,7 +339,8 @@ def add_up(group: pa.Table, min_gain: float) -> pa.Table:
     if kind in (AFTER_WORDS, AFTER_PAIRS):
         times = np.zeros(len(distinct))
         times[which] = n  # the same in every batch
-        mass, gain = (np.bincount(which, np.concatenate([np.frombuffer(p, t, k, 8 * k * i) for p, k in zip(x, sizes, strict=True)]), len(distinct)) for i, t in enumerate((np.float64, np.float32)))
+        mass = np.bincount(which, np.concatenate([_unpress(p[: -4 * k], np.float64) for p, k in zip(x, sizes, strict=True)]), len(distinct))
+        gain = np.bincount(which, np.concatenate([np.frombuffer(p, np.float32, k, len(p) - 4 * k) for p, k in zip(x, sizes, strict=True)]), len(distinct))
         gain -= times * np.log(np.maximum(times, 1))
         held = np.where((times >= 2) & (gain >= min_gain), mass, 0.0)
         return _rows([(kind, shard, b, a, None) for b, a in zip(batches, _cut(held[which], sizes), strict=True)], _ANSWER)
@@ -360,8 +372,8 @@ def _answers(found: pa.Table) -> dict[int, np.ndarray]:
     held: dict[int, list] = {}
     for kind, shard, answer in zip(*(found.column(c).to_pylist() for c in ("kind", "shard", "answer")), strict=True):
         held.setdefault(kind, []).append((shard, answer))
-    out = {k: np.frombuffer(b"".join(a for _, a in sorted(v)), np.int64 if k in (WORDS, PAIRS, TRIPLES) else np.float64) for k, v in held.items()}
-    return {k: out.get(k, np.zeros(0, np.int64 if k in (WORDS, PAIRS, TRIPLES) else np.float64)) for k in range(6)}
+    kind = lambda k: np.int64 if k in (WORDS, PAIRS, TRIPLES) else np.float64
+    return {k: np.concatenate([np.zeros(0, kind(k)), *(_unpress(a, kind(k)) for _, a in sorted(held.get(k, [])))]) for k in range(6)}
 
 
 def _batch_of(group: pa.Table) -> tuple[int, Batch]:
@@ -470,7 +482,7 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, batch_chars: int =
     shared_root(spark)
     # rows are numbered once, so that equal rows may go to different batches
     first = fresh_path(spark, "numbered")
-    base.withColumn("_row", F.monotonically_increasing_id()).withColumn("_train", ~held_out).write.parquet(first)
+    base.withColumn("_row", F.monotonically_increasing_id()).withColumn("_train", ~held_out).write.option("compression", "zstd").parquet(first)
     numbered = spark.read.parquet(first)
     size = numbered.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count("*").alias("rows")).first()
     shards = batches = max(1, -(-(size["chars"] + 8 * size["rows"]) // batch_chars))
@@ -479,7 +491,7 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, batch_chars: int =
     buckets = min(batches, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     name = f"dealt_{uuid.uuid4().hex}"
     with brief_shuffles(spark):
-        dealt.repartition(buckets, "_batch").write.bucketBy(buckets, "_batch").option("path", fresh_path(spark, "dealt")).saveAsTable(name)
+        dealt.repartition(buckets, "_batch").write.option("compression", "zstd").bucketBy(buckets, "_batch").option("path", fresh_path(spark, "dealt")).saveAsTable(name)
     remove_path(spark, first)
     rows = spark.table(name)
     texts = rows.select("_batch", "_train", "text")

@@ -25,7 +25,7 @@ pairs, triples and byte contexts, with their training counts, as packed sorted
 arrays to shards of the key space; a shard adds them up over all batches and
 answers with arrays in the same order, so no key travels back. A symbol, however
 frequent, costs a shard one entry a batch. Triples are only sent under pairs
-that occur twice, since no other is a state. Keys are 64-bit hashes (within a
+that may be states, by a bound on their gain. Keys are 64-bit hashes (within a
 shard their lower 48 bits): words of one hash would count as one. Nothing that
 grows with the corpus is broadcast or collected.
 """
@@ -81,7 +81,7 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Batch:
     """The tokens of some texts: hashes, distinct words, pairs and triples in the order of their hashes, and training counts."""
 
-    def __init__(self, texts: list[bytes | None], train: np.ndarray):
+    def __init__(self, texts: list[bytes | None], train: np.ndarray, with_pairs: bool = True):
         texts = [(t or b"").translate(LOWER) for t in texts]
         self.sizes = np.zeros(len(texts), np.int64)
         hashes, starts, ends = [], [], []
@@ -107,6 +107,8 @@ class Batch:
         self.train = np.repeat(train.astype(bool), self.sizes)
         self.words, one, self.word = _distinct(h)
         self.spans = (np.concatenate(starts)[one], np.concatenate(ends)[one]) if hashes else (one, one)
+        if not with_pairs:
+            return
         end = np.searchsorted(self.words, _END_HASH)
         before = np.concatenate(([end], self.word[:-1])).astype(self.word.dtype) if len(h) else self.word
         # a text's first token follows the end of the one before
@@ -117,12 +119,18 @@ class Batch:
     def _count(self, which: np.ndarray, size: int) -> np.ndarray:
         return np.bincount(which[self.train], minlength=size)
 
-    def grow(self, pair_total: np.ndarray) -> None:
-        """Triples under pairs that occur twice or more in training; -1 where a token ends none."""
+    def grow(self, c: np.ndarray, n: np.ndarray, min_gain: float) -> None:
+        """Triples under the pairs that may be states, by the training counts of words and pairs; a token that ends none has -1.
+
+        A state occurs twice or more. As no symbol is rarer after the last word
+        than after both, n ln(c / n) bounds what the pair can gain on that word.
+        """
+        last = c[self.pair_words[1]]
+        self.may = (n >= 2) & (n * np.log(np.maximum(last, 1) / np.maximum(n, 1)) >= min_gain)
         inside = np.ones(len(self.word), bool)
         inside[self.first] = False
         before = np.concatenate(([0], self.pair[:-1])) if len(self.pair) else self.pair
-        some = inside & (pair_total[before] >= 2)
+        some = inside & self.may[before]
         self.triple = np.full(len(self.word), -1, self.word.dtype)
         context, symbol = before[some], self.word[some]
         keys = _pair(self.pairs[context], self.words[symbol] ^ np.uint64(0x2545F4914F6CDD1D))
@@ -297,7 +305,7 @@ def _packed(kind: int, batch: int, shards: int, hashes: np.ndarray, n: np.ndarra
         a, b = cuts[s], cuts[s + 1]
         if b > a:
             keys = (low[a:b] >> np.uint64(32)).astype(np.uint16).tobytes() + low[a:b].astype(np.uint32).tobytes()
-            yield kind, s, batch, keys, _press(n[a:b].astype(np.int64)), None if x is None else _press(x[0, a:b]) + x[1, a:b].astype(np.float32).tobytes()
+            yield kind, s, batch, keys, _press(n[a:b].astype(np.int64)), None if x is None else _press(np.concatenate((np.ascontiguousarray(x[0, a:b]).view(np.uint32), x[1, a:b].astype(np.float32).view(np.uint32))))
 
 
 def _keys_of(packed: bytes) -> np.ndarray:
@@ -339,8 +347,9 @@ def add_up(group: pa.Table, min_gain: float) -> pa.Table:
     if kind in (AFTER_WORDS, AFTER_PAIRS):
         times = np.zeros(len(distinct))
         times[which] = n  # the same in every batch
-        mass = np.bincount(which, np.concatenate([_unpress(p[: -4 * k], np.float64) for p, k in zip(x, sizes, strict=True)]), len(distinct))
-        gain = np.bincount(which, np.concatenate([np.frombuffer(p, np.float32, k, len(p) - 4 * k) for p, k in zip(x, sizes, strict=True)]), len(distinct))
+        planes = [_unpress(p, np.uint32) for p in x]
+        mass = np.bincount(which, np.concatenate([p[: 2 * k].view(np.float64) for p, k in zip(planes, sizes, strict=True)]), len(distinct))
+        gain = np.bincount(which, np.concatenate([p[2 * k :].view(np.float32) for p, k in zip(planes, sizes, strict=True)]), len(distinct))
         gain -= times * np.log(np.maximum(times, 1))
         held = np.where((times >= 2) & (gain >= min_gain), mass, 0.0)
         return _rows([(kind, shard, b, a, None) for b, a in zip(batches, _cut(held[which], sizes), strict=True)], _ANSWER)
@@ -363,7 +372,7 @@ def tell_bytes(group: pa.Table, tree: pa.Table) -> pa.Table:
     """The answers of a shard of the spelling tree: log10 probabilities in the order of each batch's keys."""
     batches, sizes, _, _, which, _, _ = _gathered(group)
     key, logp = tree.column("key").to_numpy(), tree.column("logp").to_numpy()
-    told = logp[np.argsort(key)]
+    told = logp[np.argsort(key)].astype(np.float32)
     return _rows([(SPELLING, group.column("shard")[0].as_py(), b, a, None) for b, a in zip(batches, _cut(told[which], sizes), strict=True)], _ANSWER)
 
 
@@ -372,13 +381,13 @@ def _answers(found: pa.Table) -> dict[int, np.ndarray]:
     held: dict[int, list] = {}
     for kind, shard, answer in zip(*(found.column(c).to_pylist() for c in ("kind", "shard", "answer")), strict=True):
         held.setdefault(kind, []).append((shard, answer))
-    kind = lambda k: np.int64 if k in (WORDS, PAIRS, TRIPLES) else np.float64
+    kind = lambda k: np.int64 if k in (WORDS, PAIRS, TRIPLES) else np.float32 if k == SPELLING else np.float64
     return {k: np.concatenate([np.zeros(0, kind(k)), *(_unpress(a, kind(k)) for _, a in sorted(held.get(k, [])))]) for k in range(6)}
 
 
-def _batch_of(group: pa.Table) -> tuple[int, Batch]:
+def _batch_of(group: pa.Table, with_pairs: bool = True) -> tuple[int, Batch]:
     texts = [t for chunk in group.column("text").chunks for t in as_bytes(chunk)]
-    return group.column("_batch")[0].as_py(), Batch(texts, np.concatenate([c.to_numpy(zero_copy_only=False) for c in group.column("_train").chunks]))
+    return group.column("_batch")[0].as_py(), Batch(texts, np.concatenate([c.to_numpy(zero_copy_only=False) for c in group.column("_train").chunks]), with_pairs)
 
 
 def _after(n: np.ndarray, of: np.ndarray, suffix: np.ndarray, own: np.ndarray, size: int, discount: np.ndarray) -> np.ndarray:
@@ -394,7 +403,7 @@ def count_groups(group: pa.Table, shards: int) -> pa.Table:
     return _rows([*_packed(WORDS, number, shards, b.words, b.word_n), *_packed(PAIRS, number, shards, b.pairs, b.pair_n)], _MESSAGE)
 
 
-def count_contexts(group: pa.Table, found: pa.Table, shards: int, tokens: int, discount: np.ndarray) -> pa.Table:
+def count_contexts(group: pa.Table, found: pa.Table, shards: int, tokens: int, discount: np.ndarray, min_gain: float) -> pa.Table:
     """Second round: what follows each word that occurs twice, and triples."""
     number, b = _batch_of(group)
     got = _answers(found)
@@ -402,26 +411,31 @@ def count_contexts(group: pa.Table, found: pa.Table, shards: int, tokens: int, d
     before, after = b.pair_words
     twice = np.flatnonzero(c >= 2)
     follows = _after(n, before, c[after] / max(tokens, 1), got[PAIRS] & 1 == 1, len(b.words), discount)
-    b.grow(n)
+    b.grow(c, n, min_gain)
     rows = [*_packed(AFTER_WORDS, number, shards, b.words[twice], c[twice], follows[:, twice]), *_packed(TRIPLES, number, shards, b.triples, b.triple_n)]
     return _rows(rows, _MESSAGE)
 
 
-def count_pair_contexts(group: pa.Table, found: pa.Table, shards: int, discount: np.ndarray) -> pa.Table:
-    """Third round: what follows each pair that occurs twice, and the byte contexts of the words, counted in the training words this batch owns."""
+def count_pair_contexts(group: pa.Table, found: pa.Table, shards: int, discount: np.ndarray, min_gain: float) -> pa.Table:
+    """Third round: what follows each pair that may be a state."""
     number, b = _batch_of(group)
     got = _answers(found)
     c, n = got[WORDS] >> 1, got[PAIRS] >> 1
-    b.grow(n)
-    twice = np.flatnonzero(n >= 2)
+    b.grow(c, n, min_gain)
+    may = np.flatnonzero(b.may)
     end = b.triple_end
     suffix = n[end] / np.maximum(c[b.pair_words[0][end]], 1)
     after = _after(got[TRIPLES] >> 1, b.triple_context, suffix, got[TRIPLES] & 1 == 1, len(b.pairs), discount)
+    return _rows([*_packed(AFTER_PAIRS, number, shards, b.pairs[may], n[may], after[:, may])], _MESSAGE)
+
+
+def count_spelling(group: pa.Table, found: pa.Table, shards: int) -> pa.Table:
+    """The byte contexts of the words, counted in the training words this batch owns."""
+    number, b = _batch_of(group, with_pairs=False)
+    owned = _answers(found)[WORDS]
     keys, at, _ = b.byte_keys()
-    mine = (got[WORDS] & 1 == 1) & (c > 0)
-    times = np.bincount(at, np.repeat(mine, b.key_counts), len(keys))
-    rows = [*_packed(AFTER_PAIRS, number, shards, b.pairs[twice], n[twice], after[:, twice]), *_packed(SPELLING, number, shards, keys, times)]
-    return _rows(rows, _MESSAGE)
+    mine = (owned & 1 == 1) & (owned > 1)
+    return _rows([*_packed(SPELLING, number, shards, keys, np.bincount(at, np.repeat(mine, b.key_counts), len(keys)))], _MESSAGE)
 
 
 def _step(n: np.ndarray, times: np.ndarray, mass: np.ndarray, low: tuple[np.ndarray, np.ndarray], discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -434,12 +448,12 @@ def _step(n: np.ndarray, times: np.ndarray, mass: np.ndarray, low: tuple[np.ndar
     return p, np.where(own > 0, np.log10(np.maximum(p, 1e-300)), np.log10(rest) + low[1])
 
 
-def batch_scores(b: Batch, got: dict[int, np.ndarray], totals: dict[int, list[int]], discount: dict[int, np.ndarray]) -> dict[str, np.ndarray]:
+def batch_scores(b: Batch, got: dict[int, np.ndarray], totals: dict[int, list[int]], discount: dict[int, np.ndarray], min_gain: float) -> dict[str, np.ndarray]:
     """Per text: n_tokens, n_known, and the log10 sums _base (base_score but for its constant), unigram_score and score."""
     c, n = got[WORDS] >> 1, got[PAIRS] >> 1
-    b.grow(n)
+    b.grow(c, n, min_gain)
     _, at, first = b.byte_keys()
-    spelled = np.add.reduceat(got[SPELLING][at], first) if len(first) else np.zeros(0)
+    spelled = np.add.reduceat(got[SPELLING].astype(np.float64)[at], first) if len(first) else np.zeros(0)
     tokens, kinds, once, twice = totals[WORDS][:4]
     if tokens:
         d = discount[WORDS]
@@ -454,7 +468,7 @@ def batch_scores(b: Batch, got: dict[int, np.ndarray], totals: dict[int, list[in
     score = pairs[1][b.pair]
     if len(b.triples):
         states = np.zeros(len(b.pairs))
-        states[n >= 2] = got[AFTER_PAIRS]
+        states[b.may] = got[AFTER_PAIRS]
         context, end = b.triple_context, b.triple_end
         triples = _step(got[TRIPLES] >> 1, n[context], states[context], (pairs[0][end], pairs[1][end]), discount[TRIPLES])
         score = np.where(b.triple >= 0, triples[1][b.triple], score)
@@ -512,22 +526,23 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, batch_chars: int =
     totals[WORDS], discount[PAIRS], discount[TRIPLES] = [0] * 6, discounts([0] * 4), discounts([0] * 4)
     take_totals(found)
     tokens = totals[WORDS][0]
-    found = found.unionByName(answered(texts.groupBy("_batch").cogroup(asked(found)).applyInArrow(lambda g, f: count_contexts(g, f, shards, tokens, discount[PAIRS]), _MESSAGE), "answers"))
-    take_totals(found)
-    sent = fresh_path(spark, "contexts")
+    cogroup = lambda found: texts.groupBy("_batch").cogroup(asked(found))
+    sent = fresh_path(spark, "bytes")
     with brief_shuffles(spark):
-        texts.groupBy("_batch").cogroup(asked(found)).applyInArrow(lambda g, f: count_pair_contexts(g, f, shards, discount[TRIPLES]), _MESSAGE).write.parquet(sent)
-    messages = spark.read.schema(_MESSAGE).parquet(sent)
-    found = found.unionByName(answered(messages.where(F.col("kind") != SPELLING), "pair-answers"))
-    spelling = messages.where(F.col("kind") == SPELLING).groupBy("shard")
+        cogroup(found.where(F.col("kind") == WORDS)).applyInArrow(lambda g, f: count_spelling(g, f, shards), _MESSAGE).write.parquet(sent)
+    spelling = spark.read.schema(_MESSAGE).parquet(sent).groupBy("shard")
     tree = byte_tree(checkpointed(spelling.applyInArrow(count_bytes, "shard int, key bigint, size int, n bigint")))
-    found = found.unionByName(stored(spelling.cogroup(tree.groupBy("shard")).applyInArrow(tell_bytes, _ANSWER), "spelling"))
+    spelled = stored(spelling.cogroup(tree.groupBy("shard")).applyInArrow(tell_bytes, _ANSWER), "spelling")
     remove_path(spark, sent)
+    found = found.unionByName(answered(cogroup(found).applyInArrow(lambda g, f: count_contexts(g, f, shards, tokens, discount[PAIRS], min_gain), _MESSAGE), "answers"))
+    take_totals(found)
+    found = found.unionByName(answered(cogroup(found).applyInArrow(lambda g, f: count_pair_contexts(g, f, shards, discount[TRIPLES], min_gain), _MESSAGE), "pair-answers"))
+    found = found.unionByName(spelled)
     own = base.columns
 
     def score(group: pa.Table, found: pa.Table) -> pa.Table:
         _, b = _batch_of(group)
-        sums = batch_scores(b, _answers(found), totals, discount)
+        sums = batch_scores(b, _answers(found), totals, discount, min_gain)
         kinds = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64()}
         return pa.table([group.column(k) for k in own] + [pa.array(sums[f.name], kinds[f.dataType]) for f in _SUMS], names=[*own, *(f.name for f in _SUMS)])
 

@@ -88,6 +88,39 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+class VersionTaken(RuntimeError):
+    """Another writer committed this version first."""
+
+
+def commit_once(spark: SparkSession, path: str, text: str) -> None:
+    """Write text under path, whole or not at all: it is written aside and renamed, which fails if the path is taken."""
+    aside = f"{path.rsplit('/', 1)[0]}/.aside-{uuid.uuid4().hex}"
+    fs, jaside = hadoop_path(spark, aside)
+    stream = fs.create(jaside, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    _, final = hadoop_path(spark, path)
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(jaside, final, none)
+    except Exception as e:
+        if fs.exists(final):
+            fs.delete(jaside, False)
+            raise VersionTaken(f"{path} was committed by another writer") from e
+        raise
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, jpath = hadoop_path(spark, path)
+    stream = fs.open(jpath)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without the columns that an operator is about to add (its own win), whatever their case."""
     taken = {n.lower() for n in names}

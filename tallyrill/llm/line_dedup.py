@@ -10,15 +10,21 @@ again.
 
 The state is a folder of immutable runs of postings (and of ids taken out) and
 one folder of tables for each version; a version counts once its manifest is
-written, after its tables. An index on an existing folder goes on from the last
-manifest.
+renamed to its number, after its tables, which fails for all but one of several
+writers. An index on an existing folder goes on from the last manifest. Shards
+of the filters are split as keys grow. Postings meet the filters by shard, in
+slices of bounded size, so that no filter is broadcast and no line, however
+common, is in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +32,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, as_bytes, fresh_path, hadoop_path, keeps_own, sha256_hex, table, without
+from .common import LOWER, SPACE, as_bytes, commit_once, fresh_path, hadoop_path, keeps_own, read_text, remove_path, sha256_hex, table, without
 
 LEAST_CHARS = 10
 #: Rows without doc_id count as one document after all others.
 NO_ID = (1 << 63) - 1
+#: Keys of a shard when it is made; shards are split at twice as many.
 SHARD_KEYS = 50_000
-#: Filters are broadcast up to this size in all; beyond, postings go straight to the exact table.
-BROADCAST_BYTES = 48_000_000
+#: Postings that meet a shard's filter in one group.
+SLICE_ROWS = 500_000
+#: Shards whose numbers of slices may be broadcast (16 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_SHARDS = 1_000_000
 SLOTS = 4
 KICKS = 500
 
@@ -113,7 +122,7 @@ class CuckooFilter:
                     break
 
 
-_ROW = "key binary, doc_id bigint"
+_ROW = "key binary, doc_id bigint, h bigint"
 _FILTER = "shard int, slots binary"
 
 
@@ -122,18 +131,19 @@ def doc_key() -> F.Column:
 
 
 def line_postings(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """(key, doc_id) for each distinct key of each row."""
+    """(key, doc_id, h) for each distinct key of each row; h is the hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
+            keys, counts = [], []
+            for text in as_bytes(batch.column("text")):
                 found = {line_key(x, least) for x in set(text.split(b"\n"))} - {None} if text else ()
                 keys += found
-                ids += [doc] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["key", "doc_id"])
+                counts.append(len(found))
+            ids, hashes = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("doc_id", "h"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], names=["key", "doc_id", "h"])
 
-    return docs.select(doc_key().alias("doc_id"), "text").mapInArrow(run, _ROW)
+    return docs.select(doc_key().alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, _ROW)
 
 
 def _shard(shards: int) -> F.Column:
@@ -146,6 +156,7 @@ class LineIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, least: int = LEAST_CHARS):
         self.spark, self.least = spark, least
         self.path = path or fresh_path(spark, "lines")
+        #: Names of the runs of postings, and (name, runs there were) of the ids taken out.
         self.runs: list[str] = []
         self.gone: list[tuple[str, int]] = []
         self.version = 0
@@ -154,89 +165,108 @@ class LineIndex:
             self._load()
 
     def _load(self) -> None:
-        """Take up the last version whose manifest is whole; its own `least` holds."""
-        fs, pattern = hadoop_path(self.spark, f"{self.path}/manifest-*/_SUCCESS")
-        done = [int(x.getPath().getParent().getName().split("-")[1]) for x in fs.globStatus(pattern) or ()]
+        """Take up the last version; its own `least` holds."""
+        fs, folder = hadoop_path(self.spark, f"{self.path}/manifests")
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        done = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
         if done:
-            state = json.loads(self.spark.read.text(f"{self.path}/manifest-{max(done)}").first()["value"])
-            self.runs = [f"{self.path}/{x}" for x in state["runs"]]
-            self.gone = [(f"{self.path}/{x}", upto) for x, upto in state["gone"]]
+            state = json.loads(read_text(self.spark, f"{self.path}/manifests/{max(done)}.json"))
+            self.runs, self.gone = state["runs"], [tuple(g) for g in state["gone"]]
             self.version, self.shards, self.least = state["version"], state["shards"], state["least"]
+            self.tables = state["tables"]
 
-    def _save(self) -> None:
-        name = lambda p: p.rsplit("/", 1)[1]
-        state = {"runs": [name(x) for x in self.runs], "gone": [(name(x), upto) for x, upto in self.gone], "version": self.version, "shards": self.shards, "least": self.least}
-        rows = self.spark.createDataFrame([(json.dumps(state),)], "value string")
-        rows.coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest-{self.version}")
-
-    def postings(self) -> DataFrame:
-        held = self.spark.read.schema(_ROW).parquet(*[p for p in self.runs]) if self.runs else self.spark.createDataFrame([], _ROW)
-        for path, upto in self.gone:
-            # an id can be inserted again after it was taken out, by a later run
-            early = self.runs[:upto]
-            if not early:
-                continue
-            late = self.runs[upto:]
-            kept = self._read_runs(early).join(self.spark.read.parquet(path), "doc_id", "left_anti").select("key", "doc_id")
-            held = kept.unionByName(self._read_runs(late)) if late else kept
-        return held
+    def _save(self, runs: list[str], gone: list[tuple[str, int]], shards: int, tables: str) -> None:
+        version = self.version + 1
+        state = {"version": version, "runs": runs, "gone": gone, "shards": shards, "least": self.least, "tables": tables}
+        fs, folder = hadoop_path(self.spark, f"{self.path}/manifests")
+        fs.mkdirs(folder)
+        commit_once(self.spark, f"{self.path}/manifests/{version}.json", json.dumps(state))
+        self.runs, self.gone, self.shards, self.tables, self.version = runs, gone, shards, tables, version
 
     def _read_runs(self, runs: list[str]) -> DataFrame:
-        return self.spark.read.schema(_ROW).parquet(*runs)
+        return self.spark.read.schema(_ROW).parquet(*[f"{self.path}/{r}" for r in runs])
+
+    def _postings(self, runs: list[str], gone: list[tuple[str, int]]) -> DataFrame:
+        """What is left of the runs: an id taken out is gone from the runs before, but may come again in a later one."""
+        if not runs:
+            return self.spark.createDataFrame([], _ROW)
+        if not gone:
+            return self._read_runs(runs)
+        taken = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/{name}").withColumn("upto", F.lit(upto)) for name, upto in gone])
+        taken = taken.groupBy("doc_id").agg(F.max("upto").alias("upto"))
+        # runs between two removals share their fate
+        cuts = sorted({0, len(runs), *(upto for _, upto in gone)})
+        parts = [self._read_runs(runs[a:b]).withColumn("run", F.lit(a)) for a, b in pairwise(cuts)]
+        held = reduce(DataFrame.unionByName, parts).join(taken, "doc_id", "left")
+        return held.where(F.col("upto").isNull() | (F.col("run") >= F.col("upto"))).select("key", "doc_id", "h")
+
+    def postings(self) -> DataFrame:
+        return self._postings(self.runs, self.gone)
 
     def counts(self) -> DataFrame:
         """The exact table: key, refs, first_doc, last_doc."""
-        return self.spark.read.parquet(f"{self.path}/counts-{self.version}")
+        return self.spark.read.parquet(f"{self.path}/{self.tables}/counts")
 
     def filters(self) -> DataFrame:
-        return self.spark.read.schema(_FILTER).parquet(f"{self.path}/filters-{self.version}")
+        return self.spark.read.schema(_FILTER).parquet(f"{self.path}/{self.tables}/filters")
 
     def shared(self) -> DataFrame:
         return self.counts().where("first_doc <> last_doc").select("key", "first_doc")
 
     def insert(self, docs: DataFrame) -> None:
         """Add the lines of docs (doc_id, text)."""
-        run = f"{self.path}/postings-{len(self.runs)}"
-        line_postings(docs, self.least).write.mode("overwrite").parquet(run)
-        self.runs.append(run)
-        self._commit(self._read_runs([run]))
+        run = f"postings-{uuid.uuid4().hex}"
+        line_postings(docs, self.least).write.parquet(f"{self.path}/{run}")
+        new = _counted(self._read_runs([run]))
+        if self.version:
+            new = self.counts().unionByName(new).groupBy("key").agg(F.sum("refs").alias("refs"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
+        self._commit(new, [*self.runs, run], self.gone)
 
     def remove(self, docs: DataFrame) -> None:
         """Take out the documents whose doc_id is in docs, lines and all."""
-        ids = f"{self.path}/gone-{len(self.gone)}"
-        docs.select(doc_key().alias("doc_id")).distinct().write.mode("overwrite").parquet(ids)
-        lost = self.postings().join(self.spark.read.parquet(ids), "doc_id", "left_semi").select("key", "doc_id")
-        keys = f"{self.path}/lost-{len(self.gone)}"
-        lost.select("key").distinct().write.mode("overwrite").parquet(keys)
-        self.gone.append((ids, len(self.runs)))
-        touched = self.spark.read.parquet(keys)
-        self._commit(self.postings().join(touched, "key", "left_semi"), touched)
-
-    def _commit(self, changed: DataFrame, touched: DataFrame | None = None) -> None:
-        """Write the next version: counts of the changed postings join the old ones (or replace those of touched keys)."""
-        count = lambda df: df.groupBy("key").agg(F.count("*").alias("refs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-        new = count(changed)
-        if self.version:
-            old = self.counts()
-            if touched is None:
-                new = old.unionByName(new).groupBy("key").agg(F.sum("refs").alias("refs"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
-            else:
-                new = old.join(touched, "key", "left_anti").unionByName(new)
-        target = f"{self.path}/counts-{self.version + 1}"
-        new.write.mode("overwrite").parquet(target)
-        fresh = self.spark.read.parquet(target).where("first_doc <> last_doc").select("key")
-        if self.version:
+        if not self.version:
+            return
+        name = f"gone-{uuid.uuid4().hex}"
+        docs.select(doc_key().alias("doc_id")).distinct().write.parquet(f"{self.path}/{name}")
+        gone = [*self.gone, (name, len(self.runs))]
+        ids = self.spark.read.parquet(f"{self.path}/{name}")
+        touched = f"{self.path}/lost-{uuid.uuid4().hex}"
+        self.postings().join(ids, "doc_id", "left_semi").select("key").distinct().write.parquet(touched)
+        keys = self.spark.read.parquet(touched)
+        left = self._postings(self.runs, gone).join(keys, "key", "left_semi")
+        self._commit(self.counts().join(keys, "key", "left_anti").unionByName(_counted(left)), self.runs, gone)
+        remove_path(self.spark, touched)
+
+    def _commit(self, counts: DataFrame, runs: list[str], gone: list[tuple[str, int]]) -> None:
+        """Write the next version's tables, then its manifest."""
+        tables = f"tables-{uuid.uuid4().hex}"
+        counts.write.parquet(f"{self.path}/{tables}/counts")
+        fresh = self.spark.read.parquet(f"{self.path}/{tables}/counts").where("first_doc <> last_doc").select("key")
+        shards = self.shards
+        while fresh.count() > 2 * SHARD_KEYS * shards:
+            shards *= 2
+        if self.version and shards == self.shards:
             before = self.shared().select("key")
             changes = fresh.join(before, "key", "left_anti").withColumn("add", F.lit(True)).unionByName(before.join(fresh, "key", "left_anti").withColumn("add", F.lit(False)))
-            filters = self._changed_filters(changes, fresh)
+            filters = self._changed_filters(changes, fresh, f"{self.path}/{tables}/made")
         else:
-            self.shards = 1 << max(0, (fresh.count() // SHARD_KEYS)).bit_length()
-            filters = self._built(fresh)
-        filters.write.mode("overwrite").parquet(f"{self.path}/filters-{self.version + 1}")
-        self.version += 1
-        self._save()
-
-    def _built(self, keys: DataFrame) -> DataFrame:
+            filters = self._built(fresh, shards)
+        filters.write.parquet(f"{self.path}/{tables}/filters")
+        self._save(runs, gone, shards, tables)
+
+    def vacuum(self) -> None:
+        """Delete the tables and manifests of all versions before the last; no other writer may be at work."""
+        fs, folder = hadoop_path(self.spark, self.path)
+        used = {self.tables, *self.runs, *(name for name, _ in self.gone), "manifests"}
+        for x in fs.listStatus(folder):
+            if x.getPath().getName() not in used:
+                fs.delete(x.getPath(), True)
+        for v in range(self.version - 1, 0, -1):
+            _, old = hadoop_path(self.spark, f"{self.path}/manifests/{v}.json")
+            if not fs.delete(old, False):
+                break
+
+    def _built(self, keys: DataFrame, shards: int) -> DataFrame:
         def build(group: pa.Table) -> pa.Table:
             held = group.column("key").to_pylist()
             size = len(held)
@@ -244,9 +274,9 @@ class LineIndex:
                 size *= 2
             return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "slots": pa.array([made.slots.tobytes()], pa.binary())})
 
-        return keys.withColumn("shard", _shard(self.shards)).groupBy("shard").applyInArrow(build, _FILTER)
+        return keys.withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(build, _FILTER)
 
-    def _changed_filters(self, changes: DataFrame, keys: DataFrame) -> DataFrame:
+    def _changed_filters(self, changes: DataFrame, keys: DataFrame, path: str) -> DataFrame:
         """Shards with changes get them by insertion and deletion; those that overflow are built anew."""
 
         def change(old: pa.Table, new: pa.Table) -> pa.Table:
@@ -262,46 +292,46 @@ class LineIndex:
 
         sharded = changes.withColumn("shard", _shard(self.shards))
         made = self.filters().groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(change, _FILTER)
-        path = f"{self.path}/made-{self.version + 1}"
-        made.write.mode("overwrite").parquet(path)
+        made.write.parquet(path)
         made = self.spark.read.schema(_FILTER).parquet(path)
         full = made.where("slots is null").select("shard")
         if full.isEmpty():
             return made
-        again = self._built(keys.withColumn("shard", _shard(self.shards)).join(full, "shard", "left_semi").select("key"))
+        again = self._built(keys.withColumn("shard", _shard(self.shards)).join(full, "shard", "left_semi").select("key"), self.shards)
         return made.where("slots is not null").unionByName(again)
 
     def _maybe_shared(self, postings: DataFrame) -> DataFrame:
-        """Postings that a filter does not rule out."""
-        size = self.filters().agg(F.coalesce(F.sum(F.length("slots")), F.lit(0)).alias("n")).first()["n"]
-        if size > BROADCAST_BYTES:
-            return postings
-        sets = self.spark.sparkContext.broadcast({r["shard"]: bytes(r["slots"]) for r in self.filters().collect()})
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {k: CuckooFilter(slots=np.frombuffer(v, np.uint16).reshape(-1, SLOTS)) for k, v in sets.value.items()}
-            for batch in batches:
-                shard = batch.column("shard").to_numpy()
-                keys = batch.column("key").to_pylist()
-                may = np.zeros(len(keys), bool)
-                for s in np.unique(shard).tolist():
-                    if s in filters:
-                        at = np.flatnonzero(shard == s)
-                        may[at] = filters[s].might_hold([keys[i] for i in at.tolist()])
-                yield batch.drop_columns(["shard"]).filter(pa.array(may))
-
-        return postings.withColumn("shard", _shard(self.shards)).mapInArrow(probe, _ROW)
+        """Postings that their shard's filter does not rule out."""
+        sizes = self.counts().withColumn("shard", _shard(self.shards)).groupBy("shard").agg(F.sum("refs").alias("n"))
+        sizes = sizes.select("shard", F.ceil(F.col("n") / SLICE_ROWS).cast("int").alias("slices"))
+        if self.shards <= BROADCAST_SHARDS:
+            sizes = F.broadcast(sizes)
+        sliced = postings.withColumn("shard", _shard(self.shards)).join(sizes, "shard").withColumn("slice", F.pmod(F.xxhash64("doc_id", "h"), F.col("slices")).cast("int")).drop("slices")
+        filters = self.filters().join(sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "slots")
+
+        def probe(rows: pa.Table, held: pa.Table) -> pa.Table:
+            rows = rows.select(["key", "doc_id", "h"])
+            if not held.num_rows:  # no key of the shard is shared
+                return rows.slice(0, 0)
+            made = CuckooFilter(slots=np.frombuffer(held.column("slots")[0].as_py(), np.uint16).reshape(-1, SLOTS))
+            return rows.filter(pa.array(made.might_hold(rows.column("key").to_pylist())))
+
+        return sliced.groupBy("shard", "slice").cogroup(filters.groupBy("shard", "slice")).applyInArrow(probe, _ROW)
 
     def drops(self) -> DataFrame:
-        """(doc_id, keys): the shared keys of each document that does not hold them first."""
+        """(doc_id, h, keys): the shared keys of each document text that does not hold them first."""
         found = self._maybe_shared(self.postings()).join(self.shared(), "key").where("doc_id <> first_doc")
-        return found.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+        return found.groupBy("doc_id", "h").agg(F.collect_set("key").alias("keys"))
+
+
+def _counted(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("key").agg(F.count("*").alias("refs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
 _OUT = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
 
 
-@keeps_own("_doc", "_keys")
+@keeps_own("_doc", "_h", "_keys")
 def dedup_lines(docs: DataFrame, index: LineIndex, text_too: bool = True) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text (or kept_sha256 instead, if not text_too), judged by the index.
 
@@ -309,13 +339,14 @@ def dedup_lines(docs: DataFrame, index: LineIndex, text_too: bool = True) -> Dat
     these names are replaced. Lines shared by several documents stay in the
     one with the least doc_id in the index, with all their repeats there. Rows
     of one doc_id are one document; rows without one count together as a
-    document after all others. A null or empty text is one empty line.
+    document after all others. A null or empty text is one empty line. A row
+    that the index does not hold with this text keeps all its lines.
     """
     names = ["n_lines", "n_dropped", "kept_text" if text_too else "kept_sha256"]
     base = without(docs, names)
     least = index.least
-    rows = base.withColumn("_doc", doc_key())
-    joined = rows.join(index.drops().withColumnsRenamed({"doc_id": "_doc", "keys": "_keys"}), "_doc", "left").drop("_doc")
+    rows = base.withColumn("_doc", doc_key()).withColumn("_h", F.xxhash64("text"))
+    joined = rows.join(index.drops().withColumnsRenamed({"doc_id": "_doc", "h": "_h", "keys": "_keys"}), ["_doc", "_h"], "left")
     fields = [*_OUT[:2], T.StructField(names[2], T.StringType())]
     own = base.columns
     out_names = [*own, *names]

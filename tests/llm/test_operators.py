@@ -502,6 +502,39 @@ def test_line_index_goes_on_from_its_folder(spark, tmp_path):
     assert drops == {4, 5, 6, 7, 8}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_index_any_sequence(spark, tmp_path, monkeypatch, seed):
+    """Random insertions, removals and repeats of both, reopened in between, with shards that split and overflow."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    monkeypatch.setattr(line_dedup, "SLICE_ROWS", 5)
+    r = random.Random(seed)
+    lines = [f"a line of the text {i}" for i in range(30)]
+    texts = {i: "\n".join(r.choice(lines) for _ in range(6)) for i in range(24)}
+    frame = lambda ids: spark.createDataFrame([(i, texts[i]) for i in sorted(ids)], "doc_id bigint, text string")
+    path, held = str(tmp_path / "lines"), set()
+    for turn in range(6):
+        if turn in (0, 2, 5):
+            some = set(r.sample(sorted(set(texts) - held), 8))
+            held |= some
+            line_dedup.LineIndex(spark, path).insert(frame(some))
+        else:
+            some = set(r.sample(sorted(held), 3))
+            held -= some
+            line_dedup.LineIndex(spark, path).remove(frame(some))
+    index = line_dedup.LineIndex(spark, path)
+    assert index.version == 6 and index.shards > 1
+    got = {x.doc_id: x.kept_text for x in line_dedup.dedup_lines(frame(held), index).collect()}
+    assert got == brute_lines([(i, texts[i]) for i in sorted(held)])
+    stale = line_dedup.LineIndex(spark, path)
+    index.remove(frame(sorted(held)[:2]))
+    with pytest.raises(common.VersionTaken):
+        stale.remove(frame(sorted(held)[2:4]))
+    index.vacuum()
+    left = sorted(held)[2:]
+    got = {x.doc_id: x.kept_text for x in line_dedup.dedup_lines(frame(left), line_dedup.LineIndex(spark, path)).collect()}
+    assert got == brute_lines([(i, texts[i]) for i in left])
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 

@@ -3,15 +3,21 @@
 Arrivals are appended as they come, one immutable Parquet shard per task.
 Shards whose sizes lie in one tier (a power of `fanout`) are merged once there
 are `fanout` of them, into files of about the target size. Readers only see
-what a manifest names. A manifest is written aside and renamed to its version
-number, which fails if another writer has taken that number; so a version is
-there as a whole or not at all, and what a lost job left behind is in none.
+what a manifest names. A manifest names segments, lists of shards that are
+written once, so that a version costs what it changes. It is written aside and
+renamed to its version number, which fails if another writer has taken that
+number; so a version is there as a whole or not at all, and what a lost job
+left behind is in none. The loser starts again from the winner's version:
+an append is added to it, a merge too if the shards it merged are still there.
+Vacuum spares what is younger than a grace period, since a writer may be about
+to commit it.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -19,21 +25,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, hadoop_path, remove_path, table, without
+from .common import VersionTaken, commit_once, fresh_path, hadoop_path, read_text, remove_path, table, without
 
 TARGET_BYTES = 128 << 20
 FANOUT = 4
 LEAST_BYTES = 1 << 16
+#: Shards of one segment; segments of fewer are put together when there are SEGMENTS of them.
+SEGMENT_SHARDS = 10_000
+SEGMENTS = 8
+#: Files that no manifest names are kept so long.
+GRACE_SECONDS = 24 * 3600.0
 #: Shards merged by one job.
 MERGE_SHARDS = 5_000
 #: Shards whose names may be broadcast to number rows; beyond, they are joined by a shuffle.
 BROADCAST_SHARDS = 100_000
 
 
-class VersionTaken(RuntimeError):
-    """Another writer committed this version first."""
-
-
 @dataclass(frozen=True)
 class Shard:
     path: str
@@ -62,39 +69,47 @@ class ShardStore:
         names = [s.getPath().getName() for s in fs.listStatus(path)]
         return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
 
+    def _root(self, version: int) -> dict:
+        return json.loads(read_text(self.spark, self._manifest_path(version))) if version else {"version": 0, "schema": None, "segments": []}
+
+    def _segment(self, name: str) -> list[Shard]:
+        return [Shard(**s) for s in json.loads(read_text(self.spark, f"{self.root}/segments/{name}"))]
+
     def manifest(self, version: int | None = None) -> dict:
-        version = self.latest() if version is None else version
-        if not version:
-            return {"version": 0, "schema": None, "shards": []}
-        fs, path = hadoop_path(self.spark, self._manifest_path(version))
-        stream = fs.open(path)
-        try:
-            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-        return found | {"shards": [Shard(**s) for s in found["shards"]]}
-
-    def _commit(self, base: int, shards: list[Shard], schema: str) -> int:
-        version = base + 1
-        text = json.dumps({"version": version, "schema": schema, "shards": [asdict(s) for s in shards]})
-        aside = f"{self.root}/aside/{uuid.uuid4().hex}"
-        fs, path = hadoop_path(self.spark, aside)
-        stream = fs.create(path, False)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        _, final = hadoop_path(self.spark, self._manifest_path(version))
-        fs.mkdirs(final.getParent())
-        jvm = self.spark._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(path, final, none)
-        except Exception as e:
-            if fs.exists(final):
-                fs.delete(path, False)
-                raise VersionTaken(f"version {version} of {self.root} was committed by another writer") from e
-            raise
-        return version
+        """version, schema and shards of a version, by default the latest."""
+        found = self._root(self.latest() if version is None else version)
+        return {"version": found["version"], "schema": found["schema"], "shards": [s for name, _ in found["segments"] for s in self._segment(name)]}
+
+    def _new_segments(self, shards: list[Shard]) -> list[tuple[str, int]]:
+        fs, folder = hadoop_path(self.spark, f"{self.root}/segments")
+        fs.mkdirs(folder)
+        out = []
+        for i in range(0, len(shards), SEGMENT_SHARDS):
+            part = shards[i : i + SEGMENT_SHARDS]
+            name = f"{uuid.uuid4().hex}.json"
+            commit_once(self.spark, f"{self.root}/segments/{name}", json.dumps([asdict(s) for s in part]))
+            out.append((name, len(part)))
+        return out
+
+    def _commit(self, base: int, added: list[Shard], schema: str, gone: frozenset[str] = frozenset()) -> int:
+        """Version base + 1: base without the shards of the paths in gone, and with the added ones. Segments without a change stay as they are."""
+        kept, moved = [], list(added)
+        segments = self._root(base)["segments"]
+        small = [name for name, n in segments if n < SEGMENT_SHARDS]
+        fold = len(small) >= SEGMENTS
+        for name, n in segments:
+            if gone or fold and name in small:
+                held = self._segment(name)
+                stay = [s for s in held if s.path not in gone]
+                if len(stay) < len(held) or fold and name in small:
+                    moved = stay + moved
+                    continue
+            kept.append((name, n))
+        root = {"version": base + 1, "schema": schema, "segments": [*kept, *self._new_segments(moved)]}
+        fs, folder = hadoop_path(self.spark, f"{self.root}/manifests")
+        fs.mkdirs(folder)
+        commit_once(self.spark, self._manifest_path(base + 1), json.dumps(root))
+        return base + 1
 
     def _write(self, df: DataFrame, rows_per_file: int = 0) -> list[Shard]:
         """df as new shards that no manifest names yet."""
@@ -112,55 +127,85 @@ class ShardStore:
 
     def append(self, docs: DataFrame) -> int:
         """Commit the rows of docs as small shards; returns the new version. Without rows the shards stay as they are."""
-        held = self.manifest()
-        return self._commit(held["version"], [*held["shards"], *self._write(docs)], held["schema"] or docs.schema.json())
+        new = self._write(docs)
+        while True:
+            held = self._root(self.latest())
+            try:
+                return self._commit(held["version"], new, held["schema"] or docs.schema.json())
+            except VersionTaken:
+                continue
 
-    def _due(self, shards: list[Shard]) -> list[Shard]:
-        """The shards of the lowest tier that has `fanout` of them, short of the target."""
+    def _due(self, shards: list[Shard], idle: set[int]) -> list[Shard]:
+        """The shards of the lowest tier that has `fanout` of them, short of the target, and is not idle."""
         tiers: dict[int, list[Shard]] = {}
         for s in shards:
-            if s.bytes < self.target_bytes * 0.75:
+            if s.bytes < self.target_bytes * 0.75 and s.tier(self.fanout) not in idle:
                 tiers.setdefault(s.tier(self.fanout), []).append(s)
         due = [v for _, v in sorted(tiers.items()) if len(v) >= self.fanout]
         return due[0][:MERGE_SHARDS] if due else []
 
     def compact(self) -> int:
         """Merge tiers until none is due; each merge is a version. Returns the latest version."""
+        idle: set[int] = set()
         while True:
             held = self.manifest()
-            due = self._due(held["shards"])
+            due = self._due(held["shards"], idle)
             if not due:
                 return held["version"]
             size, rows = sum(s.bytes for s in due), sum(s.rows for s in due)
             files = max(1, round(size / self.target_bytes))
             merged = self._read(due, held["schema"]).coalesce(files)
             new = self._write(merged, max(1, math.ceil(1.3 * rows / files)))
-            gone = set(due)
             if len(new) >= len(due):
                 # nothing was gained (compression of merged rows differs); a further round would not end
-                for d in {s.path.rsplit("/", 1)[0] for s in new}:
-                    remove_path(self.spark, f"{self.root}/{d}")
-                return held["version"]
-            self._commit(held["version"], [s for s in held["shards"] if s not in gone] + new, held["schema"])
+                self._discard(new)
+                idle.add(due[0].tier(self.fanout))
+            elif not self._replace(held, due, new):
+                self._discard(new)
+
+    def _replace(self, held: dict, due: list[Shard], new: list[Shard]) -> bool:
+        """Commit new in the place of due; False if another writer has taken one of these away."""
+        gone, base = frozenset(s.path for s in due), held["version"]
+        while True:
+            try:
+                self._commit(base, new, held["schema"], gone)
+                return True
+            except VersionTaken:
+                now = self.manifest()
+                if not gone <= {s.path for s in now["shards"]}:
+                    return False
+                base = now["version"]
+
+    def _discard(self, shards: list[Shard]) -> None:
+        for d in {s.path.rsplit("/", 1)[0] for s in shards}:
+            remove_path(self.spark, f"{self.root}/{d}")
+
+    def vacuum(self, grace_seconds: float = GRACE_SECONDS) -> None:
+        """Delete shards, segments and manifests that the latest version does not need, if they are older than grace_seconds.
 
-    def vacuum(self) -> None:
-        """Delete shards that the latest version does not name, and the manifests before it."""
-        held = self.manifest()
-        named = {s.path for s in held["shards"]}
+        A writer commits what it has written within that time, or loses it.
+        """
+        held = self._root(self.latest())
+        named = {s.path for s in self.manifest(held["version"])["shards"]}
+        before = (time.time() - grace_seconds) * 1000
+        old = lambda status: status.getModificationTime() <= before
         fs, data = hadoop_path(self.spark, f"{self.root}/data")
         for run in fs.listStatus(data) if fs.exists(data) else ():
-            inside = [s.getPath() for s in fs.listStatus(run.getPath())]
-            used = [p for p in inside if f"data/{run.getPath().getName()}/{p.getName()}" in named]
+            inside = list(fs.listStatus(run.getPath()))
+            used = [p for p in inside if f"data/{run.getPath().getName()}/{p.getPath().getName()}" in named]
             if not used:
-                fs.delete(run.getPath(), True)
+                if old(run) and all(old(p) for p in inside):
+                    fs.delete(run.getPath(), True)
             else:
                 for p in inside:
-                    if p not in used:
-                        fs.delete(p, True)
-        for v in range(held["version"] - 1, 0, -1):
-            _, old = hadoop_path(self.spark, self._manifest_path(v))
-            if not fs.delete(old, False):
-                break
+                    if p not in used and old(p):
+                        fs.delete(p.getPath(), True)
+        names = {name for name, _ in held["segments"]} | {f"{held['version']:012d}.json"}
+        for folder in ("segments", "manifests"):
+            _, path = hadoop_path(self.spark, f"{self.root}/{folder}")
+            for p in fs.listStatus(path) if fs.exists(path) else ():
+                if p.getPath().getName() not in names and old(p):
+                    fs.delete(p.getPath(), False)
 
     def _read(self, shards: list[Shard], schema: str | None) -> DataFrame:
         if not shards:
@@ -176,17 +221,20 @@ class ShardStore:
         names = ["shard", "shard_rows", "shard_bytes", "version"]
         held = self.manifest(version)
         rows = self._read(held["shards"], held["schema"])
-        own = without(rows, [*names, "_file"])
+        own = without(rows, names)
+        at = "_file"
+        while at in [c.lower() for c in own.columns]:
+            at = "_" + at
         if not held["shards"]:
             return own.withColumns({"shard": F.lit(0), "shard_rows": F.lit(0).cast("bigint"), "shard_bytes": F.lit(0).cast("bigint"), "version": F.lit(0)})
         listed = self.spark.createDataFrame(
             [(s.path.rsplit("/", 2)[1] + "/" + s.path.rsplit("/", 1)[1], i, s.rows, s.bytes) for i, s in enumerate(held["shards"])],
-            "_file string, shard int, shard_rows bigint, shard_bytes bigint",
+            f"{at} string, shard int, shard_rows bigint, shard_bytes bigint",
         )
         file = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1)
-        rows = rows.select(*[F.col(f"`{c}`") for c in own.columns], file.alias("_file"))
+        rows = rows.select(*[F.col(f"`{c}`") for c in own.columns], file.alias(at))
         listed = F.broadcast(listed) if len(held["shards"]) <= BROADCAST_SHARDS else listed
-        return rows.join(listed, "_file").drop("_file").withColumn("version", F.lit(held["version"]))
+        return rows.join(listed, at).drop(at).withColumn("version", F.lit(held["version"]))
 
 
 def shard_documents(docs: DataFrame, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT) -> DataFrame:
@@ -200,7 +248,7 @@ def shard_documents(docs: DataFrame, target_bytes: int = TARGET_BYTES, fanout: i
     store = ShardStore(docs.sparkSession, target_bytes=target_bytes, fanout=fanout)
     store.append(without(docs, names))
     store.compact()
-    store.vacuum()
+    store.vacuum(grace_seconds=0)  # no one else knows of this store
     return store.read_numbered()
 
 

@@ -574,11 +574,52 @@ def test_sharding(spark, docs):
     assert sorted((r.doc_id, r.text or "") for r in store.read().collect()) == sorted(want)
     with pytest.raises(sharding.VersionTaken):
         store._commit(1, [], "")
-    store.vacuum()
+    store.vacuum(grace_seconds=0)
     numbered = store.read_numbered()
     assert numbered.count() == len(want) and numbered.groupBy("shard", "shard_rows").count().where("shard_rows <> count").count() == 0
 
 
+def test_two_writers_of_a_store(spark, tmp_path, monkeypatch):
+    """Appends and merges that lose a version start again; vacuum spares what a writer has not committed yet."""
+    monkeypatch.setattr(sharding, "SEGMENTS", 3)
+    monkeypatch.setattr(sharding, "SEGMENT_SHARDS", 5)
+    rows = lambda a, b: spark.createDataFrame([(i, f"text {i}", "mine") for i in range(a, b)], "doc_id bigint, text string, _file string").repartition(2)
+    one, other = (sharding.ShardStore(spark, str(tmp_path / "store"), fanout=2) for _ in range(2))
+    one.append(rows(0, 10))
+    late = other._write(rows(10, 20))
+    one.vacuum()
+    stale = one._root(1)
+    other._commit(1, late, stale["schema"])
+    monkeypatch.setattr(one, "latest", iter([1, 2]).__next__)
+    assert one.append(rows(20, 30)) == 3
+    monkeypatch.undo()
+    held = one.manifest()
+    due = held["shards"][:2]
+    merged = one._write(one._read(due, held["schema"]).coalesce(1))
+    other.append(rows(30, 40))
+    assert one._replace(held, due, merged) and not one._replace(held, due, merged)
+    for i in range(4, 8):
+        one.append(rows(10 * i, 10 * i + 10))
+    one.compact()
+    one.vacuum(grace_seconds=0)
+    assert sorted(r.doc_id for r in one.read().collect()) == list(range(80))
+    numbered = one.read_numbered()
+    assert numbered.where("_file = 'mine'").count() == 80 and numbered.columns[:3] == ["doc_id", "text", "_file"]
+
+
+def test_a_tier_without_gain_leaves_the_others(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"), fanout=2)
+    for n in (10, 10, 200_000, 200_000):
+        store.append(spark.range(n).coalesce(1))
+    tiers = {s.tier(2) for s in store.manifest()["shards"]}
+    assert len(tiers) == 2
+    write = store._write
+    monkeypatch.setattr(store, "_write", lambda df, n=0: write(df, 10 if df.count() == 20 else n))
+    monkeypatch.setattr(sharding, "MERGE_SHARDS", 2)
+    store.compact()
+    assert sorted(s.rows for s in store.manifest()["shards"]) == [10, 10, 400_000]
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)

@@ -6,6 +6,11 @@ score, the number of pieces and of unknown runs on the best path, and nothing
 to trace back. Words are segmented alone (pieces never cross white space), so
 results are memoised per distinct word in a bounded table.
 
+No public file of the box has a unigram vocabulary, and tokenizers are not
+trained. So the pieces are those of a BPE file, whose scores are ranks and no
+probabilities; pieces are listed by falling frequency, and a piece's score is
+the logarithm of its share by the law of Zipf and Mandelbrot, 1 / (rank + 2.7).
+
 Rules of the tokenizer that are kept exactly: a word is `[^\x20\x09-\x0D]+`
 with the word mark U+2581 before it, unless it starts with one; scores add up as doubles from left to
 right; among equal scores the piece that starts earliest wins; a character
@@ -16,6 +21,7 @@ if the vocabulary has all 256 of them.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import ahocorasick
@@ -28,6 +34,8 @@ from .common import append_columns, as_bytes, table
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Mandelbrot's shift of the rank.
+RANK_SHIFT = 2.7
 #: Distinct words remembered in a worker, and the longest that are.
 MEMO_WORDS = 200_000
 MEMO_CHARS = 48
@@ -84,11 +92,23 @@ class UnigramCounter:
 
 
 def load_pieces(path: str = VOCABULARY) -> list[tuple[str, float]]:
-    """Pieces and scores of a sentencepiece file; control pieces match no text and are left out."""
+    """Pieces of a sentencepiece file and their log-probabilities; control pieces match no text and are left out.
+
+    The scores of a unigram file are log-probabilities and stay. Those of a BPE
+    file (minus the rank of the merge) give the order of the pieces for Zipf
+    and Mandelbrot's law; byte pieces, which have no rank, come after all others.
+    """
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(p.id_to_piece(i), p.get_score(i)) for i in range(p.get_piece_size()) if not p.is_control(i) and not p.is_unknown(i)]
+    held = [(p.id_to_piece(i), p.get_score(i), p.is_byte(i)) for i in range(p.get_piece_size()) if not p.is_control(i) and not p.is_unknown(i)]
+    scores = [s for _, s, byte in held if not byte]
+    if any(s != round(s) for s in scores):
+        return [(piece, s) for piece, s, _ in held]
+    order = sorted(range(len(held)), key=lambda i: (held[i][2], -held[i][1]))
+    rank = dict(zip(order, range(1, len(held) + 1), strict=True))
+    total = sum(1 / (r + RANK_SHIFT) for r in rank.values())
+    return [(piece, -math.log((rank[i] + RANK_SHIFT) * total)) for i, (piece, _, _) in enumerate(held)]
 
 
 _COUNTERS: dict[int, UnigramCounter] = {}

@@ -56,7 +56,7 @@ _END_HASH = np.uint64(0x5851F42D4C957F2D)
 _SPACE = 32
 _LOW = np.uint64((1 << 48) - 1)
 #: What a packed message or answer is about.
-WORDS, PAIRS, TRIPLES, AFTER_WORDS, AFTER_PAIRS, SPELLING = range(6)
+WORDS, PAIRS, TRIPLES, AFTER_WORDS, AFTER_PAIRS, SPELLING, SPELLED = range(7)
 _MESSAGE = "kind int, shard int, _batch int, keys binary, n binary, x binary"
 _ANSWER = "kind int, shard int, _batch int, answer binary, stats array<bigint>"
 
@@ -139,11 +139,11 @@ class Batch:
         self.triple_context, self.triple_end = context[one], self.pair[some][one]
         self.triple_n = np.bincount(which[self.train[some]], minlength=len(self.triples))
 
-    def byte_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct byte contexts with their symbols (spread over the shards), which of them each symbol of the distinct words has, and the first symbol of each word."""
-        keys, first = symbol_keys(np.frombuffer(self.buffer, np.uint8), *self.spans)
+    def byte_keys(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the words at some places: distinct byte contexts with their symbols (spread over the shards), which of them each symbol has, and the first symbol of each word."""
+        starts, ends = self.spans
+        keys, first = symbol_keys(np.frombuffer(self.buffer, np.uint8), starts[which], ends[which])
         distinct, _, at = _distinct(_spread(keys))
-        self.key_counts = np.diff(np.append(first, len(keys)))
         return distinct, at, first
 
 
@@ -305,7 +305,7 @@ def _packed(kind: int, batch: int, shards: int, hashes: np.ndarray, n: np.ndarra
         a, b = cuts[s], cuts[s + 1]
         if b > a:
             keys = (low[a:b] >> np.uint64(32)).astype(np.uint16).tobytes() + low[a:b].astype(np.uint32).tobytes()
-            yield kind, s, batch, keys, _press(n[a:b].astype(np.int64)), None if x is None else _press(np.concatenate((np.ascontiguousarray(x[0, a:b]).view(np.uint32), x[1, a:b].astype(np.float32).view(np.uint32))))
+            yield kind, s, batch, keys, _press(n[a:b].astype(np.int64)), None if x is None else _press(np.concatenate([np.ascontiguousarray(x[0, a:b]).view(np.uint32), *(y[a:b].astype(np.float32).view(np.uint32) for y in x[1:])]))
 
 
 def _keys_of(packed: bytes) -> np.ndarray:
@@ -340,7 +340,8 @@ def add_up(group: pa.Table, min_gain: float) -> pa.Table:
     """The answers of one shard and kind: to each batch its keys' values, in the order it sent them.
 
     Of words, pairs and triples twice the count, odd for one of the batches that
-    have the key; of contexts the discounted mass of those retained, else 0.
+    have the key; of contexts the discounted mass of those retained, else 0; of
+    words also how they are spelled.
     """
     kind, shard = group.column("kind")[0].as_py(), group.column("shard")[0].as_py()
     batches, sizes, distinct, own, which, n, x = _gathered(group)
@@ -349,10 +350,13 @@ def add_up(group: pa.Table, min_gain: float) -> pa.Table:
         times[which] = n  # the same in every batch
         planes = [_unpress(p, np.uint32) for p in x]
         mass = np.bincount(which, np.concatenate([p[: 2 * k].view(np.float64) for p, k in zip(planes, sizes, strict=True)]), len(distinct))
-        gain = np.bincount(which, np.concatenate([p[2 * k :].view(np.float32) for p, k in zip(planes, sizes, strict=True)]), len(distinct))
+        gain, *more = (np.bincount(which, np.concatenate([p[i * k : (i + 1) * k].view(np.float32) for p, k in zip(planes, sizes, strict=True)]), len(distinct)) for i in range(2, 4 if kind == AFTER_WORDS else 3))
         gain -= times * np.log(np.maximum(times, 1))
         held = np.where((times >= 2) & (gain >= min_gain), mass, 0.0)
-        return _rows([(kind, shard, b, a, None) for b, a in zip(batches, _cut(held[which], sizes), strict=True)], _ANSWER)
+        rows = [(kind, shard, b, a, None) for b, a in zip(batches, _cut(held[which], sizes), strict=True)]
+        if more:  # sent by one batch, 0 from the others
+            rows += [(SPELLED, shard, b, a, None) for b, a in zip(batches, _cut(more[0][which].astype(np.float32), sizes), strict=True)]
+        return _rows(rows, _ANSWER)
     total = np.bincount(which, n, len(distinct)).astype(np.int64)  # exact below 2 ** 53
     answer = total[which] * 2
     answer[own] += 1
@@ -381,8 +385,8 @@ def _answers(found: pa.Table) -> dict[int, np.ndarray]:
     held: dict[int, list] = {}
     for kind, shard, answer in zip(*(found.column(c).to_pylist() for c in ("kind", "shard", "answer")), strict=True):
         held.setdefault(kind, []).append((shard, answer))
-    kind = lambda k: np.int64 if k in (WORDS, PAIRS, TRIPLES) else np.float32 if k == SPELLING else np.float64
-    return {k: np.concatenate([np.zeros(0, kind(k)), *(_unpress(a, kind(k)) for _, a in sorted(held.get(k, [])))]) for k in range(6)}
+    kind = lambda k: np.int64 if k in (WORDS, PAIRS, TRIPLES) else np.float32 if k in (SPELLING, SPELLED) else np.float64
+    return {k: np.concatenate([np.zeros(0, kind(k)), *(_unpress(a, kind(k)) for _, a in sorted(held.get(k, [])))]) for k in range(7)}
 
 
 def _batch_of(group: pa.Table, with_pairs: bool = True) -> tuple[int, Batch]:
@@ -404,15 +408,19 @@ def count_groups(group: pa.Table, shards: int) -> pa.Table:
 
 
 def count_contexts(group: pa.Table, found: pa.Table, shards: int, tokens: int, discount: np.ndarray, min_gain: float) -> pa.Table:
-    """Second round: what follows each word that occurs twice, and triples."""
+    """Second round: what follows each word, how those are spelled that this batch owns, and triples."""
     number, b = _batch_of(group)
     got = _answers(found)
     c, n = got[WORDS] >> 1, got[PAIRS] >> 1
     before, after = b.pair_words
-    twice = np.flatnonzero(c >= 2)
     follows = _after(n, before, c[after] / max(tokens, 1), got[PAIRS] & 1 == 1, len(b.words), discount)
+    own = np.flatnonzero(got[WORDS] & 1)
+    spelled = np.zeros(len(b.words))
+    if len(own):
+        _, at, first = b.byte_keys(own)
+        spelled[own] = np.add.reduceat(got[SPELLING].astype(np.float64)[at], first)
     b.grow(c, n, min_gain)
-    rows = [*_packed(AFTER_WORDS, number, shards, b.words[twice], c[twice], follows[:, twice]), *_packed(TRIPLES, number, shards, b.triples, b.triple_n)]
+    rows = [*_packed(AFTER_WORDS, number, shards, b.words, c, np.stack([*follows, spelled])), *_packed(TRIPLES, number, shards, b.triples, b.triple_n)]
     return _rows(rows, _MESSAGE)
 
 
@@ -430,12 +438,15 @@ def count_pair_contexts(group: pa.Table, found: pa.Table, shards: int, discount:
 
 
 def count_spelling(group: pa.Table, found: pa.Table, shards: int) -> pa.Table:
-    """The byte contexts of the words, counted in the training words this batch owns."""
+    """The byte contexts of the words that this batch owns, counted in those that occur in training."""
     number, b = _batch_of(group, with_pairs=False)
-    owned = _answers(found)[WORDS]
-    keys, at, _ = b.byte_keys()
-    mine = (owned & 1 == 1) & (owned > 1)
-    return _rows([*_packed(SPELLING, number, shards, keys, np.bincount(at, np.repeat(mine, b.key_counts), len(keys)))], _MESSAGE)
+    words = _answers(found)[WORDS]
+    own = np.flatnonzero(words & 1)
+    if not len(own):
+        return _rows([], _MESSAGE)
+    keys, at, first = b.byte_keys(own)
+    times = np.repeat(words[own] > 1, np.diff(np.append(first, len(at))))
+    return _rows([*_packed(SPELLING, number, shards, keys, np.bincount(at, times, len(keys)))], _MESSAGE)
 
 
 def _step(n: np.ndarray, times: np.ndarray, mass: np.ndarray, low: tuple[np.ndarray, np.ndarray], discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -452,8 +463,7 @@ def batch_scores(b: Batch, got: dict[int, np.ndarray], totals: dict[int, list[in
     """Per text: n_tokens, n_known, and the log10 sums _base (base_score but for its constant), unigram_score and score."""
     c, n = got[WORDS] >> 1, got[PAIRS] >> 1
     b.grow(c, n, min_gain)
-    _, at, first = b.byte_keys()
-    spelled = np.add.reduceat(got[SPELLING].astype(np.float64)[at], first) if len(first) else np.zeros(0)
+    spelled = got[SPELLED].astype(np.float64)
     tokens, kinds, once, twice = totals[WORDS][:4]
     if tokens:
         d = discount[WORDS]
@@ -462,9 +472,7 @@ def batch_scores(b: Batch, got: dict[int, np.ndarray], totals: dict[int, list[in
     else:
         root = 10.0**spelled, spelled
     before, after = b.pair_words
-    states = np.zeros(len(b.words))
-    states[c >= 2] = got[AFTER_WORDS]
-    pairs = _step(n, c[before], states[before], (root[0][after], root[1][after]), discount[PAIRS])
+    pairs = _step(n, c[before], got[AFTER_WORDS][before], (root[0][after], root[1][after]), discount[PAIRS])
     score = pairs[1][b.pair]
     if len(b.triples):
         states = np.zeros(len(b.pairs))
@@ -510,8 +518,10 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, batch_chars: int =
     rows = spark.table(name)
     texts = rows.select("_batch", "_train", "text")
 
+    parts = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
     def answered(messages: DataFrame, label: str) -> DataFrame:
-        return stored(messages.groupBy("kind", "shard").applyInArrow(lambda g: add_up(g, min_gain), _ANSWER), label)
+        return stored(messages.repartition(parts, "kind", "shard").groupBy("kind", "shard").applyInArrow(lambda g: add_up(g, min_gain), _ANSWER), label)
 
     totals: dict[int, list[int]] = {}
     discount: dict[int, np.ndarray] = {}
@@ -526,18 +536,21 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, batch_chars: int =
     totals[WORDS], discount[PAIRS], discount[TRIPLES] = [0] * 6, discounts([0] * 4), discounts([0] * 4)
     take_totals(found)
     tokens = totals[WORDS][0]
-    cogroup = lambda found: texts.groupBy("_batch").cogroup(asked(found))
+    cogroup = lambda found, *kinds: texts.groupBy("_batch").cogroup(asked(found.where(F.col("kind").isin(*kinds))))
     sent = fresh_path(spark, "bytes")
     with brief_shuffles(spark):
-        cogroup(found.where(F.col("kind") == WORDS)).applyInArrow(lambda g, f: count_spelling(g, f, shards), _MESSAGE).write.parquet(sent)
+        cogroup(found, WORDS).applyInArrow(lambda g, f: count_spelling(g, f, shards), _MESSAGE).write.parquet(sent)
     spelling = spark.read.schema(_MESSAGE).parquet(sent).groupBy("shard")
     tree = byte_tree(checkpointed(spelling.applyInArrow(count_bytes, "shard int, key bigint, size int, n bigint")))
-    spelled = stored(spelling.cogroup(tree.groupBy("shard")).applyInArrow(tell_bytes, _ANSWER), "spelling")
+    told = fresh_path(spark, "spelling")
+    with brief_shuffles(spark):
+        spelling.cogroup(tree.groupBy("shard")).applyInArrow(tell_bytes, _ANSWER).write.parquet(told)
     remove_path(spark, sent)
-    found = found.unionByName(answered(cogroup(found).applyInArrow(lambda g, f: count_contexts(g, f, shards, tokens, discount[PAIRS], min_gain), _MESSAGE), "answers"))
+    spelled = spark.read.schema(_ANSWER).parquet(told)
+    found = found.unionByName(answered(cogroup(found.unionByName(spelled), WORDS, PAIRS, SPELLING).applyInArrow(lambda g, f: count_contexts(g, f, shards, tokens, discount[PAIRS], min_gain), _MESSAGE), "answers"))
+    remove_path(spark, told)
     take_totals(found)
-    found = found.unionByName(answered(cogroup(found).applyInArrow(lambda g, f: count_pair_contexts(g, f, shards, discount[TRIPLES], min_gain), _MESSAGE), "pair-answers"))
-    found = found.unionByName(spelled)
+    found = found.unionByName(answered(cogroup(found, WORDS, PAIRS, TRIPLES).applyInArrow(lambda g, f: count_pair_contexts(g, f, shards, discount[TRIPLES], min_gain), _MESSAGE), "pair-answers"))
     own = base.columns
 
     def score(group: pa.Table, found: pa.Table) -> pa.Table:

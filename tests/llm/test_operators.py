@@ -94,7 +94,7 @@ def test_own_columns_come_back(spark, odd):
     assert quality.keep_quality(odd).columns == odd.columns
 
 
-@pytest.mark.parametrize("name", ["op1_decontaminate", "op6_substring_dedup", "op7_line_dedup", "op8_mixing"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op4_quality", "op6_substring_dedup", "op7_line_dedup", "op8_mixing"])
 def test_matches_sql(spark, sf_dir, name):
     assert same(registry.QUERIES[name](spark, sf_dir), connect(sf_dir), registry.ORACLES[name]) > 0
 
@@ -371,6 +371,22 @@ def test_sketch_error(spark):
     assert all(r.low <= r.v < r.low * 17 / 16 + 1 for r in df.collect())
 
 
+def test_fences_follow_their_group(spark):
+    """What is usual in one source is an outlier in another; without floors each group's fence is its own."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randrange(3, 8)))
+    prose = lambda n=200: " ".join(word() for _ in range(n))
+    code = lambda n=200: " ".join(word() + ("$#" if r.random() < 0.3 else "") for _ in range(n))
+    rows = [(i, prose(r.randrange(100, 300)), "en", "books") for i in range(300)] + [(i, code(r.randrange(100, 300)), "en", "code") for i in range(300, 600)]
+    rows += [(600, code(), "en", "books"), (601, code(), "en", "code"), (602, prose() + " " + "$" * 4000, "en", "code"), (603, prose(60_000), "en", "books"), (604, "x" * 400 + " " + prose(20), "en", "code")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    kept = {x.doc_id: x.kept for x in quality.judge_quality(d).collect()}
+    assert (kept[600], kept[601], kept[602], kept[603], kept[604]) == (False, True, False, False, False)
+    assert sum(kept[i] for i in range(600)) >= 597
+    high = {x.source: x.high_symbol_rate + quality.SPREAD * x.reach_symbol_rate for x in quality.fences(quality.sketches(quality.measured(d))).collect()}
+    assert high["code"] > 5 * high["books"]
+
+
 def test_salted_fences(spark, docs, monkeypatch):
     want = {r.doc_id: r.kept for r in quality.judge_quality(docs, least=5).collect()}
     monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)

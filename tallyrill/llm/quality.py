@@ -8,7 +8,8 @@ also lower) quartile and `spread` times its reach. The reach is the distance of
 the quartiles, but no less than what the least event (one symbol, one repeated
 line, two windows of words) adds to a text of the group's median size, or to
 the text in question if that is shorter, since rates that are 0 in most texts
-have no distance of quartiles, and a few words have any rate. Quartiles and
+have no distance of quartiles, and a few words have any rate; nor less than
+the histogram can tell apart. Quartiles and
 reaches (these in logarithms) of a group are drawn to those of its language,
 and these to the corpus', with the weight of `least` texts. Measuring, and joining fences to
 rows, are two passes over the input: no text is shuffled or kept.
@@ -151,7 +152,7 @@ def fences(sketch: DataFrame, least: int = LEAST) -> DataFrame:
         cols = [F.max("total").alias(f"{tag}_total")]
         for k, (event, size) in measures.items():
             least_reach = F.lit(float(event)) / F.greatest(F.lit(1.0), of(size, "q2")) if size else F.lit(float(event))
-            cols += [of(k, "q1").alias(f"{tag}_low_{k}"), of(k, "q3").alias(f"{tag}_high_{k}"), F.greatest(of(k, "q3") - of(k, "q1"), least_reach).alias(f"{tag}_reach_{k}")]
+            cols += [of(k, "q1").alias(f"{tag}_low_{k}"), of(k, "q3").alias(f"{tag}_high_{k}"), F.greatest(of(k, "q3") - of(k, "q1"), of(k, "q3") / 16, least_reach).alias(f"{tag}_reach_{k}")]
         return q.groupBy(*keys).agg(*cols)
 
     source = wide(["lang", "source"], "s")
@@ -234,7 +235,7 @@ def _oracle() -> str:
         at = lambda q: f"min(CASE WHEN upto >= ceil(total * {q}) THEN val END)"
         return f"""q{tag}0 AS (SELECT {keys}measure, max(total) AS total, {at(0.25)} AS q1, {at(0.5)} AS q2, {at(0.75)} AS q3
           FROM (SELECT {keys}measure, val, sum(n) OVER ({over} ORDER BY bucket) AS upto, sum(n) OVER ({over}) AS total FROM (SELECT {keys}measure, bucket, any_value(val) AS val, sum(n) AS n FROM h GROUP BY {keys}measure, bucket)) GROUP BY {keys}measure),
-        q{tag} AS (SELECT a.*, greatest(a.q3 - a.q1, (CASE a.measure {events} END) / greatest(CAST(1 AS DOUBLE), coalesce(b.q2, 1))) AS reach FROM q{tag}0 a LEFT JOIN q{tag}0 b ON {same} AND b.measure = (CASE a.measure {owners} END))"""
+        q{tag} AS (SELECT a.*, greatest(a.q3 - a.q1, a.q3 / 16, (CASE a.measure {events} END) / greatest(CAST(1 AS DOUBLE), coalesce(b.q2, 1))) AS reach FROM q{tag}0 a LEFT JOIN q{tag}0 b ON {same} AND b.measure = (CASE a.measure {owners} END))"""
 
     weight = f"CAST({LEAST} AS DOUBLE)"
     drawn = lambda c, f="": f"((s.total * {f}(s.{c}) + {weight} * ((l.total * {f}(l.{c}) + {weight} * {f}(c.{c})) / (l.total + {weight}))) / (s.total + {weight}))"

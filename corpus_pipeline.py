@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyrill.llm import decontaminate, mixing, quality, sharding, simhash
 from tallyrill.llm.common import fresh_path, remove_path, table
 
-#: Of five-word shingles; 6 of 64 bits is a bit similarity of 0.9.
+#: Of five-word shingles; texts link if one of NEAR_PRINTS fingerprints differs in NEAR_BITS of 64 bits or fewer.
 NEAR_BITS = 6
+NEAR_PRINTS = 8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the text with the least doc_id stays."""
-    return simhash.keep_one(docs, shingle=5, distance=NEAR_BITS)
+    return simhash.keep_one(docs, shingle=5, distance=NEAR_BITS, number=NEAR_PRINTS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v: long, in any order, loops and repeats allowed); root is the least node reachable."""
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    edges = checkpointed(edges)
+    # a checkpoint would keep constraints of the plan behind it, under which the optimiser may fail to find u
+    edges = stored(edges, "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     state = None
     while True:
         edges = checkpointed(_star(_star(edges, large=True), large=False))

@@ -9,6 +9,11 @@ follows from the number of classes, so that a bucket of unrelated fingerprints
 stays about constant. Within a bucket Hamming distances are verified, and only
 the edges of a spanning forest leave it, never all pairs. Buckets beyond
 CHUNK classes are split into pairs of chunks, each a unit of its own.
+
+Texts at a Jaccard similarity of 0.8 differ in 7 to 8 of 64 bits on average, so
+one fingerprint finds less than half of them at 6 bits. Several fingerprints of
+a text, from independent mixes of the same hashes, may be taken; texts are then
+linked if any of them are within `distance`.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, append_columns, as_bytes, checkpointed, table, without
+from .common import LOWER, append_columns, as_bytes, checkpointed, keeps_own, mix_bits, table
 from .components import components
 
 SHINGLE = 5
@@ -35,38 +40,46 @@ CHUNK = 8192
 ROW_COST = 3000.0
 #: Hot buckets that may be broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_BUCKETS = 100_000
+#: Tasks among which the classes of one component are dealt.
+SALTS = 16
 _SLICE = 65_536
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """The 64-bit majority fingerprint, as a signed long; of no words: 0."""
+    return fingerprints(text, shingle, 1)[0]
+
+
+def fingerprints(text: bytes | None, shingle: int, number: int) -> list[int]:
+    """That fingerprint, and those of number - 1 mixes of the shingles' hashes."""
     words = text.translate(LOWER).split() if text else []
     if not words:
-        return 0
+        return [0] * number
     joined = b" ".join(words)
-    n = len(words) - shingle + 1
-    if n <= 1:
-        return int(np.uint64(xxhash.xxh64_intdigest(joined, 42)).view(np.int64))
+    n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    stops = ends[shingle - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
+    stops = ends[min(shingle, len(words)) - 1 :].tolist()
+    ones = np.zeros((number, 64), np.int64)
     digest = xxhash.xxh64_intdigest
     for i in range(0, n, _SLICE):
         part = range(i, min(n, i + _SLICE))
         h = np.fromiter((digest(joined[starts[j] : stops[j]], 42) for j in part), np.uint64, len(part))
-        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n).view(">u8")[0].astype(np.uint64).view(np.int64))
+        for k in range(number):
+            mixed = h if not k else mix_bits(mix_bits((h ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)))
+            bits = np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones[k] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64).tolist()
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs with fingerprint_bits (long)."""
-    return append_columns(
-        docs,
-        [T.StructField("fingerprint_bits", T.LongType())],
-        lambda b: [pa.array([fingerprint(t, shingle) for t in as_bytes(b.column("text"))], pa.int64())],
-    )
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, number: int = 1) -> DataFrame:
+    """docs with fingerprint_bits (long; an array of longs if number is above 1)."""
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = [fingerprints(t, shingle, number) for t in as_bytes(batch.column("text"))]
+        return [pa.array([f[0] for f in found], pa.int64()) if number == 1 else pa.array(found, pa.list_(pa.int64()))]
+
+    return append_columns(docs, [T.StructField("fingerprint_bits", T.LongType() if number == 1 else T.ArrayType(T.LongType()))], make)
 
 
 def block_masks(n_classes: int, distance: int = DISTANCE) -> list[int]:
@@ -112,14 +125,19 @@ def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 
 def _bucket_edges(distance: int):
-    """Over rows (mask_no, block, a, b, fp), sorted by all but fp: the forest edges of each unit."""
+    """Over rows (unit, no, fp), sorted by unit: the forest edges of each unit, with its no."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None  # of the unit not yet ended
 
-        def unit_edges(fps: np.ndarray) -> np.ndarray:
-            values = np.unique(fps)
-            return np.array([(values[i], values[j]) for i, j in forest(values.view(np.uint64), distance)], np.int64).reshape(-1, 2)
+        def edges(rows: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+            found = [np.zeros((0, 3), np.int64)]
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if b - a > 1:
+                    values = np.unique(rows[2, a:b])
+                    found.append(np.array([(rows[1, a], values[i], values[j]) for i, j in forest(values.view(np.uint64), distance)], np.int64).reshape(-1, 3))
+            e = np.concatenate(found)
+            return pa.RecordBatch.from_arrays([pa.array(e[:, 0].astype(np.int32)), pa.array(e[:, 1]), pa.array(e[:, 2])], names=["no", "u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -127,86 +145,101 @@ def _bucket_edges(distance: int):
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
             if held is not None:
                 rows = np.concatenate([held, rows], axis=1)
-            cuts = np.flatnonzero((rows[:4, 1:] != rows[:4, :-1]).any(axis=0)) + 1
-            bounds = np.concatenate(([0], cuts))
+            bounds = np.concatenate(([0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1))
             held = rows[:, bounds[-1] :].copy()
-            big = np.flatnonzero(np.diff(bounds) > 1)
-            found = [unit_edges(rows[4, bounds[i] : bounds[i + 1]]) for i in big]
-            if found:
-                e = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["u", "v"])
-        if held is not None and held.shape[1] > 1:
-            e = unit_edges(held[4])
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["u", "v"])
+            yield edges(rows, bounds)
+        if held is not None:
+            yield edges(held, np.array([0, held.shape[1]]))
 
     return run
 
 
 def link_fingerprints(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp, long) that connect all those within `distance` bits."""
+    return link_numbered(classes.select(F.lit(0).alias("no"), "fp"), distance).select("u", "v")
+
+
+def link_numbered(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Edges (no, u, v) between distinct fingerprints (no: which of a text's, fp) that connect all those of one number within `distance` bits."""
     spark = classes.sparkSession
-    masks = block_masks(classes.count(), distance)
+    masks = block_masks(classes.groupBy("no").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0], distance)
     keyed = classes.select(
-        "fp", F.posexplode(F.array(*[F.lit(m).cast("bigint") for m in masks])).alias("mask_no", "mask")
-    ).select("mask_no", F.col("fp").bitwiseAND(F.col("mask")).alias("block"), "fp")
-    sizes = checkpointed(keyed.groupBy("mask_no", "block").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK))
+        "no", "fp", F.posexplode(F.array(*[F.lit(m).cast("bigint") for m in masks])).alias("mask_no", "mask")
+    ).select(F.xxhash64("no", "mask_no", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "no", "fp")
+    sizes = checkpointed(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK))
     hot = sizes.count()
     if hot:
-        sizes = sizes.select("mask_no", "block", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-        keyed = keyed.join(F.broadcast(sizes) if hot <= BROADCAST_BUCKETS else sizes, ["mask_no", "block"], "left")
+        sizes = sizes.select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+        keyed = keyed.join(F.broadcast(sizes) if hot <= BROADCAST_BUCKETS else sizes, "bucket", "left")
         chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
         keyed = keyed.withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("mine", chunk)
         keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        keyed = keyed.select("mask_no", "block", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "fp")
+        keyed = keyed.select(F.when(F.col("chunks") > 1, F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("bucket")).alias("unit"), "no", "fp")
     else:
-        keyed = keyed.select("mask_no", "block", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp")
-    unit = ["mask_no", "block", "a", "b"]
-    ordered = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *unit).sortWithinPartitions(*unit)
-    return ordered.mapInArrow(_bucket_edges(distance), "u bigint, v bigint")
+        keyed = keyed.withColumnRenamed("bucket", "unit")
+    ordered = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit").sortWithinPartitions("unit")
+    return ordered.mapInArrow(_bucket_edges(distance), "no int, u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint_bits, component_id.
+def _class_links(classes: DataFrame, distance: int) -> DataFrame:
+    """Edges (u, v) between the nodes of classes (node, fps): those that share a fingerprint, or have close ones."""
+    each = checkpointed(classes.select("node", F.posexplode("fps").alias("no", "fp")))
+    first = checkpointed(each.groupBy("no", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    shared = each.join(first.where("n > 1"), ["no", "fp"]).where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    close = checkpointed(link_numbered(first.select("no", "fp"), distance).distinct())
+    named = lambda c: first.select("no", F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    close = close.join(named("u"), ["no", "u"]).join(named("v"), ["no", "v"])
+    return shared.unionByName(close.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
 
-    docs: doc_id (a whole number) and text. component_id is the least doc_id
-    that links of `distance` or fewer differing bits reach, itself included. A
-    null or empty text has fingerprint 0 and links like any other; a text of
-    fewer words than a shingle is one shingle. A row without doc_id links too,
-    but names no component; it is null where no row of it has a doc_id.
-    Repeated rows give repeated rows.
-    """
-    prints = checkpointed(with_fingerprints(docs.select(F.col("doc_id").cast("bigint"), "text"), shingle).select("doc_id", F.col("fingerprint_bits").alias("fp")))
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    labels = components(link_fingerprints(classes.select("fp"), distance))
-    joined = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = joined.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint_bits"), "component_id")
 
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, number: int = 1) -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint_bits (an array if number is above 1), component_id.
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    docs: doc_id (a whole number) and text. component_id is the least doc_id
+    that links of `distance` or fewer differing bits in one of `number`
+    fingerprints reach, itself included. A null or empty text has fingerprint 0
+    and links like any other; a text of fewer words than a shingle is one
+    shingle. A row without doc_id links too, but names no component; it is null
+    where no row of it has a doc_id. Repeated rows give repeated rows.
+    """
+    prints = checkpointed(with_fingerprints(docs.select(F.col("doc_id").cast("bigint"), "text"), shingle, number).select("doc_id", F.col("fingerprint_bits").alias("fps")))
+    node = F.col("fps") if number == 1 else F.xxhash64("fps")
+    classes = checkpointed(prints.groupBy("fps").agg(F.min("doc_id").alias("first_id")).withColumn("node", node))
+    links = link_fingerprints(classes.select(F.col("node").alias("fp")), distance) if number == 1 else _class_links(classes, distance)
+    labels = components(links)
+    joined = checkpointed(classes.join(labels, "node", "left"))
+    # classes of one large component are dealt to SALTS tasks
+    linked = joined.where("root is not null").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    alone = joined.where("root is null").select("fps", F.col("first_id").alias("component_id"))
+    named = linked.join(least, ["root", "salt"]).select("fps", "component_id").unionByName(alone)
+    return prints.join(named, "fps").select("doc_id", F.col("fps").alias("fingerprint_bits"), "component_id")
+
+
+@keeps_own("fingerprint_bits", "component_id", "_pick", "_n", "_row")
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, number: int = 1) -> DataFrame:
     """docs, but of each group of near-duplicates only the row with the least doc_id.
 
-    Of rows that share this doc_id one stays (the one with the least text
-    hash). Groups in which no row has a doc_id are kept whole, since nothing
-    names the row to keep.
+    Of rows that share this doc_id one stays: that with the least text hash,
+    and among these the one with the least hash of the row. Groups in which no
+    row has a doc_id are kept whole, since nothing names the row to keep.
     """
-    found = near_duplicates(docs, shingle, distance)
+    found = near_duplicates(docs, shingle, distance, number)
     stay = found.where("component_id = doc_id").select("doc_id").distinct()
-    base = without(docs, ["_pick"])
-    one = base.join(stay, "doc_id", "left_semi")
+    one = docs.join(stay, "doc_id", "left_semi")
     many = one.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
     many = checkpointed(many)
     if not many.isEmpty():
-        twice = one.join(many, "doc_id", "left_semi").withColumn("_pick", F.struct(F.xxhash64("text")))
-        rest = [c for c in base.columns if c != "doc_id"]
+        plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+        twice = one.join(many, "doc_id", "left_semi").withColumn("_pick", F.struct(F.xxhash64("text"), F.xxhash64(*[F.col(f"`{c}`") for c in plain])))
+        rest = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
         picked = twice.groupBy("doc_id").agg(F.min_by(F.struct(*rest), "_pick").alias("_row")).select("doc_id", "_row.*")
         one = one.join(many, "doc_id", "left_anti").unionByName(picked)
-    nameless = base.where("doc_id is null")
+    nameless = docs.where("doc_id is null")
     if not nameless.isEmpty():
         alone = found.where("component_id is null").select("fingerprint_bits").distinct()
-        kept = with_fingerprints(nameless, shingle).join(alone, "fingerprint_bits", "left_semi")
-        one = one.unionByName(kept.select(*base.columns))
+        kept = with_fingerprints(nameless, shingle, number).join(alone, "fingerprint_bits", "left_semi")
+        one = one.unionByName(kept.select(*docs.columns))
     return one.select(*docs.columns)
 
 

@@ -445,6 +445,45 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def brute_prints(t, number):
+    """Independent fingerprints, bit by bit."""
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & m64
+        return x ^ x >> 29
+
+    w = WORD.findall(low(t or ""))
+    hs = [xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), 42) for i in range(max(1, len(w) - 4))] if w else []
+    out = []
+    for k in range(number):
+        mixed = [h if not k else mix(mix((h ^ k * 0x9E3779B97F4A7C15 & m64) * 0xBF58476D1CE4E5B9 & m64)) for h in hs]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > len(mixed)))
+    return out
+
+
+def test_several_fingerprints(spark, docs):
+    """Linked if any of the fingerprints are close; a caller's columns with inner names stay."""
+    prints = {i: brute_prints(t, 3) for i, t, *_ in corpus()}
+    root = {i: i for i in prints}
+    for a, b in itertools.combinations(prints, 2):
+        if any(bin(x ^ y).count("1") <= 6 for x, y in zip(prints[a], prints[b], strict=True)):
+            x, y = sorted((root[a], root[b]))
+            root = {i: x if r == y else r for i, r in root.items()}
+    got = simhash.near_duplicates(docs, distance=6, number=3).collect()
+    assert {r.doc_id: r.component_id for r in got} == root
+    own = docs.withColumn("fingerprint_bits", F.lit(7)).withColumn("_pick", F.lit(8))
+    kept = simhash.keep_one(own, distance=6, number=3).collect()
+    assert {r.doc_id for r in kept} == set(root.values()) and {(r.fingerprint_bits, r._pick) for r in kept} == {(7, 8)}
+
+
+def test_keep_one_ties(spark):
+    rows = [(1, "one text of some words", "b"), (1, "one text of some words", "a"), (None, "quite another text here", "c")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, fingerprint_bits string")
+    first, again = (sorted(map(str, simhash.keep_one(x).collect())) for x in (d, d.orderBy(F.desc("fingerprint_bits")).repartition(3)))
+    assert first == again and len(first) == 2
+
+
 def test_keep_one(spark, docs):
     groups = brute_groups({i: brute_print(t, 5) for i, t, *_ in corpus()}, 4)
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(groups.values())

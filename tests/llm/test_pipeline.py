@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tallyrill.llm import common, decontaminate, mixing, quality
-from tests.llm.test_operators import brute_base, brute_contamination, brute_groups, brute_print
+from tests.llm.test_operators import brute_base, brute_contamination, brute_groups, brute_prints
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +24,14 @@ def test_stages(spark):
     assert ids == verdict
 
     single = pipeline.near_dedup(spark, kept, SF).cache()
-    groups = brute_groups({i: brute_print(texts[i], 5) for i in sorted(ids)}, pipeline.NEAR_BITS)
+    groups = {i: i for i in sorted(ids)}
+    prints = {i: brute_prints(texts[i], pipeline.NEAR_PRINTS) for i in groups}
+    for k in range(pipeline.NEAR_PRINTS):
+        # one fingerprint after the other, over what is linked so far
+        mine = brute_groups({i: p[k] for i, p in prints.items()}, pipeline.NEAR_BITS)
+        for a, b in mine.items():
+            x, y = sorted((groups[a], groups[b]))
+            groups = {i: x if r == y else r for i, r in groups.items()}
     assert {r.doc_id for r in single.collect()} == set(groups.values()) and single.columns == names
 
     clean = pipeline.decontamination(spark, single, SF).cache()

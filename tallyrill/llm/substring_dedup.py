@@ -8,9 +8,10 @@ again, so suffixes are kept at such anchors only; this loses no repeat.
 
 The gram is the first prefix by which suffixes are partitioned. Where a gram
 has few enough occurrences, the suffixes of all windows around them form one
-group that fits in memory; its subtree is built by sorting, and each run of
-suffixes that agree in WINDOW words is a deep internal node. For grams with
-more occurrences equal runs of anchors, and then equal surroundings of an
+group that fits in memory. Its subtree is kept as a suffix array with the
+lengths of common prefixes; each interval of suffixes that agree in WINDOW words
+or more is a deep internal node, whose depth is the length of a repeat that
+cannot be made longer to the right. For grams with more occurrences equal runs of anchors, and then equal surroundings of an
 anchor, are told by a digest and reduced to their first occurrence, and the
 prefix grows to all WINDOW words: such a group is one deep node, whose first
 occurrence is a pre-aggregated minimum. So a passage in any share of the
@@ -248,19 +249,37 @@ def _blocks(window: int, gram: int):
     return run
 
 
-def deep_nodes(suffixes: list[bytes]) -> Iterator[list[int]]:
-    """The internal nodes at full depth of the subtree over suffixes cut at that depth: the leaves below each, two or more."""
-    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
-    node = order[:1]
-    for a, b in pairwise(order):
-        if suffixes[a] == suffixes[b]:
-            node.append(b)
+def deep_nodes(texts: list[list[bytes]], counts: list[int], least: int) -> Iterator[tuple[list[tuple[int, int]], int]]:
+    """The internal nodes of depth `least` or more, next to the root, of the tree over the first counts[i] suffixes of each text: leaves (text, word) and depth.
+
+    The suffixes are sorted (a tab, which is less than any byte of a word, ends
+    each word, so that byte order is word order); neighbours whose common
+    prefix has `least` words or more are leaves of one node, and the shortest of
+    these prefixes is the node's depth.
+    """
+    suffixes = []
+    for i, words in enumerate(texts):
+        joined = b"\t".join(words) + b"\t"
+        at = 0
+        for j in range(counts[i]):
+            suffixes.append((joined[at:], i, j))
+            at += len(words[j]) + 1
+    suffixes.sort()
+    node, depth = [suffixes[0][1:]] if suffixes else [], 0
+    for (_, i, j), (_, x, y) in pairwise(suffixes):
+        a, b = texts[i], texts[x]
+        if a[j : j + least] == b[y : y + least]:
+            common, most = least, min(len(a) - j, len(b) - y)
+            while common < most and a[j + common] == b[y + common]:
+                common += 1
+            depth = min(depth, common) if len(node) > 1 else common
+            node.append((x, y))
         else:
             if len(node) > 1:
-                yield node
-            node = [b]
+                yield node, depth
+            node = [(x, y)]
     if len(node) > 1:
-        yield node
+        yield node, depth
 
 
 _REPEAT = "k bigint, h bigint, first int, last int"
@@ -270,29 +289,24 @@ def _subtree_repeats(window: int):
     """Over contexts sorted by gram: the ranges of words in windows that start earlier too."""
 
     def repeats(group: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-        suffixes, owners = [], []
-        for i, (_, _, _, n, words) in enumerate(group):
-            parts = words.split(b"\t")
-            for j in range(n):
-                suffixes.append(b"\t".join(parts[j : j + window]))
-                owners.append((i, j))
-        later: dict[int, list[int]] = {}
-        for leaves in deep_nodes(suffixes):
-            places = [(group[i][0], group[i][1], group[i][2] + j, i, j) for i, j in (owners[x] for x in leaves)]
+        texts = [words.split(b"\t") for *_, words in group]
+        later: dict[int, list[tuple[int, int]]] = {}
+        for leaves, depth in deep_nodes(texts, [g[3] for g in group], window):
+            places = [(group[i][0], group[i][1], group[i][2] + j, i, j) for i, j in leaves]
             first = min(p[:3] for p in places)
             for p in places:
                 if p[:3] != first:
-                    later.setdefault(p[3], []).append(p[4])
+                    later.setdefault(p[3], []).append((p[4], p[4] + depth - 1))
         for i, found in later.items():
             k, h, start, _, _ = group[i]
             found.sort()
-            a = b = found[0]
-            for j in found[1:]:
+            a, b = found[0]
+            for j, end in found[1:]:
                 if j > b + 1:
-                    yield k, h, start + a, start + b + window - 1
+                    yield k, h, start + a, start + b
                     a = j
-                b = j
-            yield k, h, start + a, start + b + window - 1
+                b = max(b, end)
+            yield k, h, start + a, start + b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []

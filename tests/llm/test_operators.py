@@ -512,6 +512,26 @@ def test_substrings(spark, docs, group):
     assert got == brute_substrings([(i, t) for i, t, *_ in corpus()])
 
 
+def test_deep_nodes_are_maximal_repeats():
+    """Against all pairs: leaves that share 3 words or more, and the longest prefix that all of a node share."""
+    r = random.Random(6)
+    for _ in range(40):
+        texts = [[r.choice((b"a", b"b", b"ab", "é".encode())) for _ in range(r.randrange(4, 14))] for _ in range(4)]
+        counts = [len(t) - 2 for t in texts]
+        groups = defaultdict(list)
+        for i, t in enumerate(texts):
+            for j in range(counts[i]):
+                groups[tuple(t[j : j + 3])].append((i, j))
+        want = set()
+        for leaves in groups.values():
+            if len(leaves) > 1:
+                depth = 3
+                while len({tuple(texts[i][j : j + depth + 1]) for i, j in leaves}) == 1 and all(j + depth < len(texts[i]) for i, j in leaves):
+                    depth += 1
+                want.add((frozenset(leaves), depth))
+        assert {(frozenset(x), d) for x, d in substring_dedup.deep_nodes(texts, counts, 3)} == want
+
+
 def test_segments_hold_each_window_once():
     words = [f"w{i}".encode() for i in range(500)]
     pieces = list(substring_dedup.segments(b" ".join(words), 20, 300))

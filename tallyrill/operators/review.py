@@ -81,6 +81,16 @@ def data_health(listings: DataFrame, reviews: DataFrame, as_of: str, days: int =
     )
 
 
+def tab_totals(listings: DataFrame, reviews: DataFrame, gold: DataFrame, as_of: str, days: int = RECENT_DAYS) -> DataFrame:
+    """tab and n: the rows that each tab of the review page counts, one pass over the joined rows and one over gold."""
+    here = recent(as_of, days)
+    tabs = {k: here & q for k, q in queues().items()} | {"low_reference": low_reference(as_of, days), "any": here & any_flag(), "reviewed": F.col("review_reviewed_at").isNotNull()}
+    counts = with_reviews(listings, reviews).agg(*[F.count_if(c).alias(k) for k, c in tabs.items()])
+    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("tab"), F.col(k).alias("n")) for k in tabs])).alias("t")).select("t.*")
+    held = gold.join(listings.select(F.col("id").alias("listing_id")), "listing_id").agg(F.count("*").alias("n"))
+    return rows.unionByName(held.select(F.lit("gold").alias("tab"), "n"))
+
+
 def reasons(multi_brand_hits: Column | None = None) -> Column:
     """Why a row is in review, in a fixed order; blank labels count as none."""
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""

@@ -182,8 +182,13 @@ def count_matches(listings: DataFrame, params: SearchParams, as_of: str) -> Data
     return listings.where(search_filter(params, as_of, listings.columns)).agg(F.count("*").alias("total"))
 
 
+def by_locale(name: str) -> Column:
+    """Order of people, not of bytes: accents and case only decide between equals."""
+    return F.collate(F.col(name), "UNICODE")
+
+
 def brands(listings: DataFrame, shown: Column) -> DataFrame:
-    return listings.where(shown).where("brand <> ''").select("brand").distinct()
+    return listings.where(shown).where("brand <> ''").select("brand").distinct().orderBy(by_locale("brand"))
 
 
 def top_brands(listings: DataFrame, shown: Column, limit: int = 12) -> DataFrame:
@@ -192,7 +197,8 @@ def top_brands(listings: DataFrame, shown: Column, limit: int = 12) -> DataFrame
 
 
 def brand_typeahead(listings: DataFrame, shown: Column, typed: str, limit: int = 10) -> DataFrame:
-    return brands(listings, shown).where(F.contains(F.lower("brand"), F.lit(typed.strip().lower()))).orderBy("brand").limit(limit)
+    found = listings.where(shown).where("brand <> ''").where(F.contains(F.lower("brand"), F.lit(typed.strip().lower())))
+    return found.select("brand").distinct().orderBy(by_locale("brand")).limit(limit)
 
 
 def dominant_source(rows: DataFrame, order: list[Column]) -> DataFrame:

@@ -50,6 +50,8 @@ DEPTH = 5
 FOLDS, HELD_OUT = 7, 2
 #: Characters of the texts of one batch.
 BATCH_CHARS = 6_000_000
+#: Batches for which there is one shard.
+SHARD_BATCHES = 3
 _CHUNK = 1 << 20
 _SLICE = 1 << 21
 _END_HASH = np.uint64(0x5851F42D4C957F2D)
@@ -504,10 +506,11 @@ def score_texts(docs: DataFrame, min_gain: float = MIN_GAIN, batch_chars: int =
     shared_root(spark)
     # rows are numbered once, so that equal rows may go to different batches
     first = fresh_path(spark, "numbered")
-    base.withColumn("_row", F.monotonically_increasing_id()).withColumn("_train", ~held_out).write.option("compression", "zstd").parquet(first)
+    base.withColumn("_row", F.monotonically_increasing_id()).withColumn("_train", ~held_out).write.parquet(first)
     numbered = spark.read.parquet(first)
     size = numbered.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count("*").alias("rows")).first()
-    shards = batches = max(1, -(-(size["chars"] + 8 * size["rows"]) // batch_chars))
+    batches = max(1, -(-(size["chars"] + 8 * size["rows"]) // batch_chars))
+    shards = -(-batches // SHARD_BATCHES)
     dealt = numbered.withColumn("_batch", F.pmod(F.xxhash64("_row"), F.lit(batches)).cast("int")).drop("_row")
     # bucketed by batch, so that no round has to move texts again
     buckets = min(batches, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))

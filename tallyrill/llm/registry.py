@@ -1,6 +1,6 @@
 """Queries of the training-data operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontaminate, line_dedup, lm_score, mixing, quality, secret_scan, sharding, simhash, substring_dedup, token_counts
+from . import decontaminate, line_dedup, lm_score, mixing, quality, secret_scan, sharding, simhash, substring_dedup, suffix_array, token_counts, vector_codes
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_sharding": sharding.query,
     "op10_secrets": secret_scan.query,
+    "op11_suffix_array": suffix_array.query,
+    "op13_vector_codes": vector_codes.query,
 }
 
 ORACLES = {
@@ -21,4 +23,6 @@ ORACLES = {
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op11_suffix_array": suffix_array.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }

@@ -1,6 +1,6 @@
 """Queries of the training-data operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontaminate, line_dedup, lm_score, mixing, quality, secret_scan, sharding, simhash, substring_dedup, suffix_array, token_counts, vector_codes
+from . import decontaminate, line_dedup, lm_score, mixing, periodic, quality, secret_scan, sharding, simhash, substring_dedup, suffix_array, token_counts, vector_codes
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_sharding": sharding.query,
     "op10_secrets": secret_scan.query,
     "op11_suffix_array": suffix_array.query,
+    "op12_periodic_runs": periodic.query,
     "op13_vector_codes": vector_codes.query,
 }
 

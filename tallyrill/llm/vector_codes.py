@@ -40,20 +40,26 @@ SLACK, LEAST_SLACK = 1e-6, 1e-3
 
 
 class _Blocks:
-    """Of vectors (n, width) cut into `count` blocks: block means times the root of the block's size, and the norm of the rest."""
+    """Of the columns (width, n) of vectors cut into `count` blocks: block means times the root of the block's size, and the norm of the rest."""
 
     def __init__(self, width: int, count: int):
         self.cuts = [width * i // count for i in range(count + 1)]
 
-    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        means, rest = [], np.zeros(len(x))
+    def __call__(self, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        means, rest = [], np.zeros(columns.shape[1])
         for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
-            mean = x[:, a:b].mean(axis=1)
+            mean = columns[a:b].sum(axis=0) / (b - a)
             means.append(mean * (b - a) ** 0.5)
-            rest += np.square(x[:, a:b] - mean[:, None]).sum(axis=1)
+            for c in columns[a:b]:
+                rest += np.square(c - mean)
         return np.stack(means, axis=1), np.sqrt(rest)
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d = a - b
+    return np.einsum("ij,ij->i", d, d)
+
+
 class Codebook:
     """The entries of one part, and what their lower bounds need."""
 
@@ -64,27 +70,35 @@ class Codebook:
         count = 1
         while count < width:
             blocks = _Blocks(width, count)
-            self.levels.append((blocks, *blocks(entries)))
+            self.levels.append((blocks, *blocks(entries.T.astype(float))))
             count *= 2
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """(nearest entry, the lower among equals; squared distance; exact distances taken) of each row of x."""
-        exact = lambda a, c: np.square(a - c).sum(axis=1)
         if not self.levels:
             distance = np.square(x[:, None] - self.entries[None]).sum(axis=2)
             return distance.argmin(axis=1), distance.min(axis=1), distance.size
         blocks, means, norms = self.levels[0]
-        mean, norm = blocks(x)
+        columns = x.T.astype(float)
+        mean, norm = blocks(columns)
         bound = np.square(mean - means[:, 0]) + np.square(norm[:, None] - norms)
-        known = exact(x, self.entries[bound.argmin(axis=1)])
+        known = _distance(x, self.entries[bound.argmin(axis=1)])
         limit = known * (1 + SLACK) + LEAST_SLACK
         row, entry = np.nonzero(bound <= limit[:, None])
         for blocks, means, norms in self.levels[1:]:
-            mean, norm = blocks(x)
-            bound = np.square(mean[row] - means[entry]).sum(axis=1) + np.square(norm[row] - norms[entry])
+            mean, norm = blocks(columns)
+            bound = np.square(norm[row] - norms[entry])
+            for b in range(means.shape[1]):
+                bound += np.square(mean[row, b] - means[entry, b])
+            # the entry of the least bound may be nearer than the one known
+            begin = np.searchsorted(row, np.arange(len(x)))
+            least = np.flatnonzero(bound == np.minimum.reduceat(bound, begin)[row])
+            known = np.full(len(x), np.iinfo(np.int64).max)
+            np.minimum.at(known, row[least], _distance(x[row[least]], self.entries[entry[least]]))
+            limit = np.minimum(limit, known * (1 + SLACK) + LEAST_SLACK)
             stay = bound <= limit[row]
             row, entry = row[stay], entry[stay]
-        distance = exact(x[row], self.entries[entry])
+        distance = _distance(x[row], self.entries[entry])
         begin = np.searchsorted(row, np.arange(len(x)))
         least = np.minimum.reduceat(distance, begin)
         hit = np.flatnonzero(distance == least[row])

@@ -17,12 +17,15 @@ order by bytes. Over the strings of letters runs the difference-cover
 algorithm: triples that start at two of three places are sorted and named, the
 strings of names are sorted by recursion until names differ or are WINDOW bytes
 deep, and the places of the third kind are merged in by their letter and the
-rank behind it. All other byte positions are then sorted by the bytes up to
-their next letter and the rank of that letter's suffix. Neighbours in this
-order whose first WINDOW bytes are the same (told by a digest) are repeats.
-
-All sorts are range-partitioned; what crosses a partition's edge is a row per
-partition. No text, gram or name is looked up by a broadcast of unknown size.
+rank behind it. All byte positions are then dealt by a digest of the bytes up to
+the letter they meet next and the first KEY bytes of it, and sorted by this and
+the rank of that letter's suffix. Neighbours in this order whose first WINDOW
+bytes are the same (told by a 64-bit digest) are repeats. Of equal windows in
+one run of contexts only the first is dealt, so that no text of one byte over
+and over fills a task; the sorted rows are read as a stream.
+
+No text, gram or name is looked up by a broadcast of unknown size. What the
+steps write is deleted when it has been used.
 """
 
 from __future__ import annotations
@@ -33,18 +36,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, checkpointed, keeps_own, mix_bits, release, sha256_hex, small_batches, stored, table, without
+from .common import as_bytes, brief_shuffles, checkpointed, fresh_path, keeps_own, mix_bits, release, remove_path, sha256_hex, small_batches, stored, table, without
 
 WINDOW = 200
 GRAM = 64
 #: Letters begin at most REACH bytes apart; where is told by hashes of TOLD bytes.
 REACH, TOLD = 64, 8
 LETTER = REACH + TOLD + 1
+KEY = 64
 #: Bytes of a text handled at once; longer texts overlap by WINDOW - 1, so that each window is whole in one part.
 PART_BYTES = 1 << 19
 #: Texts with copies (24 bytes each) that may be broadcast; beyond, they are joined by a shuffle.
@@ -197,19 +200,39 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LETTERS = "sid bigint, idx bigint, at bigint, until bigint, letter binary"
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+class Folder:
+    """Tables that the steps write to the shared folder, each dropped by its name when it has been used."""
+
+    def __init__(self, spark):
+        self.spark, self.root, self.paths = spark, fresh_path(spark, "suffix-array"), {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = f"{self.root}/{name}"
+        with brief_shuffles(self.spark):
+            df.write.parquet(self.paths[name])
+        return self.spark.read.schema(df.schema).parquet(self.paths[name])
+
+    def put_in_order(self, df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """df and `place`, which grows with the keys (from 1, with gaps)."""
+        ordered = df.repartitionByRange(partitions(self.spark), *keys).sortWithinPartitions(*keys)
+        return self.put(ordered.withColumn("place", F.monotonically_increasing_id() + 1), name)
 
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                remove_path(self.spark, self.paths.pop(name))
 
-def in_order(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """df and `place`, which grows with the keys (from 1; with gaps); written, so that it stays."""
-    ordered = df.repartitionByRange(_partitions(df), *keys).sortWithinPartitions(*keys)
-    return stored(ordered.withColumn("place", F.monotonically_increasing_id() + 1), label)
+    def close(self) -> None:
+        remove_path(self.spark, self.root)
 
 
-def last_rank_before(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+def partitions(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _last_rank_before(folder: Folder, df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """df (keys, r and others) and `lower`, the greatest r of the rows up to each in the order of keys, 0 if none has one."""
-    df = in_order(df, keys, label).withColumn("_task", F.shiftright("place", 33))
+    df = folder.put_in_order(df, keys, name).withColumn("_task", F.shiftright("place", 33))
     most = sorted(tuple(r) for r in df.groupBy("_task").agg(F.max("r")).collect())  # a row for each partition
     carry, so_far = [], 0
     for task, r in most:
@@ -217,71 +240,75 @@ def last_rank_before(df: DataFrame, keys: list[str], label: str) -> DataFrame:
         so_far = max(so_far, r or 0)
     before = F.broadcast(df.sparkSession.createDataFrame(carry, "_task bigint, _before bigint"))
     upto = Window.partitionBy("_task").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.max("r").over(upto)
-    return df.withColumn("_own", own).join(before, "_task").withColumn("lower", F.coalesce("_own", "_before")).drop("_task", "_own", "_before", "place")
+    return df.withColumn("_own", F.max("r").over(upto)).join(before, "_task").withColumn("lower", F.coalesce("_own", "_before")).drop("_task", "_own", "_before", "place")
 
 
 def _behind(column: str, steps: int, default: int) -> Column:
     return F.coalesce(F.lead(column, steps).over(Window.partitionBy("sid").orderBy("idx")), F.lit(default))
 
 
-def suffix_ranks(strings: DataFrame, depth: int = WINDOW) -> DataFrame:
+def suffix_ranks(folder: Folder, strings: DataFrame, depth: int = WINDOW, level: int = 0) -> DataFrame:
     """(sid, idx, rank) of all suffixes of strings (sid, idx from 0, name from 1, at, until), in the order of their first `depth` bytes.
 
     at and until are where a name's bytes begin and end. The strings' ends are
-    less than all names. Suffixes that agree in depth bytes have neighbouring ranks.
+    less than all names. Suffixes that agree in depth bytes have neighbouring
+    ranks. The result is folder's table merged-<level>.
     """
     three = ["name", "name1", "name2"]
     seen = strings.select(
         "sid", "idx", "name", _behind("name", 1, 0).alias("name1"), _behind("name", 2, 0).alias("name2"), "at", _behind("until", 2, ENDLESS).alias("until")
     )
-    seen = stored(seen, "suffixes")
+    seen = folder.put(seen, f"suffixes-{level}")
     # triples at two of three places, sorted and named
     sample = seen.where("idx % 3 <> 0")
     names = sample.groupBy(*three).agg(F.count("*").alias("n"), F.min(F.col("until") - F.col("at")).alias("deep"))
-    names = in_order(names, three, "names")
+    names = folder.put_in_order(names, three, f"names-{level}")
     named = sample.select("sid", "idx", *three, "at", "until").join(names.select(*three, "place"), three)
     if names.where((F.col("n") > 1) & (F.col("deep") < depth)).isEmpty():
         ranks = named.select("sid", "idx", F.col("place").alias("r"))
     else:
         inner = named.select((F.col("sid") * 2 + F.col("idx") % 3 - 1).alias("sid"), F.expr("idx div 3").alias("idx"), F.col("place").alias("name"), "at", "until")
-        found = suffix_ranks(inner, depth)
+        found = suffix_ranks(folder, inner, depth, level + 1)
         ranks = found.select(F.expr("sid div 2").alias("sid"), (F.col("idx") * 3 + F.col("sid") % 2 + 1).alias("idx"), F.col("rank").alias("r"))
     # the others are merged in: each comes right after the greatest sampled suffix below it
     ranked = seen.join(ranks, ["sid", "idx"], "left")
-    ranked = stored(ranked.select("sid", "idx", "name", "name1", "r", _behind("r", 1, 0).alias("r1"), _behind("r", 2, 0).alias("r2")), "ranked")
-    ones = last_rank_before(ranked.where("idx % 3 < 2").select("sid", "idx", "name", "r1", "r"), ["name", "r1"], "ones")
-    twos = last_rank_before(ranked.where("idx % 3 <> 1").select("sid", "idx", "name", "name1", "r2", "r"), ["name", "name1", "r2"], "twos")
+    ranked = ranked.select("sid", "idx", "name", "name1", "r", _behind("r", 1, 0).alias("r1"), _behind("r", 2, 0).alias("r2"))
+    ranked = folder.put(ranked, f"ranked-{level}")
+    folder.drop(f"suffixes-{level}", f"names-{level}", f"merged-{level + 1}")
+    ones = _last_rank_before(folder, ranked.where("idx % 3 < 2").select("sid", "idx", "name", "r1", "r"), ["name", "r1"], f"ones-{level}")
+    twos = _last_rank_before(folder, ranked.where("idx % 3 <> 1").select("sid", "idx", "name", "name1", "r2", "r"), ["name", "name1", "r2"], f"twos-{level}")
     zero = F.col("idx") % 3 == 0
     others = ones.where(zero).select("sid", "idx", "name", "r1", "lower").join(twos.where(zero).select("sid", "idx", F.col("lower").alias("lower2")), ["sid", "idx"])
     others = others.select("sid", "idx", F.greatest("lower", "lower2").alias("r"), F.lit(1).alias("kind"), "name", "r1")
     nothing = F.lit(0).cast("bigint")
     merged = ranked.where(~zero).select("sid", "idx", "r", F.lit(0).alias("kind"), nothing.alias("name"), nothing.alias("r1")).unionByName(others)
-    return in_order(merged, ["r", "kind", "name", "r1"], "merged").select("sid", "idx", F.col("place").alias("rank"))
+    merged = folder.put_in_order(merged, ["r", "kind", "name", "r1"], f"merged-{level}")
+    folder.drop(f"ranked-{level}", f"ones-{level}", f"twos-{level}")
+    return merged.select("sid", "idx", F.col("place").alias("rank"))
 
 
 def _window_rows(window: int):
-    """Of each piece with the ranks of its letters: a row for each window, its bytes before the next letter, that letter's rank, its digest."""
+    """Of each piece with the ranks of its letters: for each window, but equal ones of the piece, a digest of its bytes up to the next letter and KEY bytes on, that letter's rank, its own digest."""
     names = ("before", "rank", "digest", "sid", "start")
     schema = [(n, pa.int64()) for n in names]
-    powers = np.multiply.accumulate(np.full(PART_BYTES + 1, 0x9E3779B97F4A7C15, np.uint64))
-    back = np.multiply.accumulate(np.full(PART_BYTES + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = np.multiply.accumulate(np.full(PART_BYTES + 1, 0x9E3779B97F4A7C15, np.uint64))
+        back = np.multiply.accumulate(np.full(PART_BYTES + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
         for batch in batches:
             out = [[] for _ in names]
             for sid, piece, ranks in zip(batch.column("sid").to_pylist(), as_bytes(batch.column("bytes")), batch.column("ranks").to_pylist(), strict=True):
                 data = np.frombuffer(piece, np.uint8)
-                n = len(data) - window + 1
+                digest, start = np.unique(_digests(data, window), return_index=True)
                 places, number = letter_places(data)
                 rank = np.zeros(len(places), np.int64)
                 for r in ranks:
                     rank[r["idx"]] = r["rank"]
-                start = np.arange(n)
-                meets = places[number[:n]]
+                number = number[start]
+                meets = places[number]
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)])))
-                before = mix_bits((sums[meets] - sums[:n]) * back[:n] + (meets - start).astype(np.uint64))
-                for c, x in zip(out, (before.view(np.int64), rank[number[:n]], _digests(data, window).view(np.int64), np.full(n, sid), start), strict=True):
+                before = mix_bits((sums[meets + KEY] - sums[start]) * back[start] + (meets - start).astype(np.uint64))
+                for c, x in zip(out, (before.view(np.int64), rank[number], digest.view(np.int64), np.full(len(start), sid), start), strict=True):
                     c.append(x)
             yield _batch(_joined(out, [np.int64] * 5), schema)
 
@@ -289,98 +316,83 @@ def _window_rows(window: int):
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows in order: (0, sid, start, ...) of those whose neighbour is the same; (1, ...) and (2, ...) are a task's first and last row."""
-    names = ("kind", "sid", "start", "before", "digest", "task")
-    schema = [(n, pa.int64()) for n in names]
-    task = TaskContext.get().partitionId()
-    last = np.zeros((0, 5), np.int64)  # (before, rank, digest, sid, start) of the row before, which is told with the next ones
-    told = began = False
+    """Of windows in order, those with a neighbour that is the same."""
+    schema = [("sid", pa.int64()), ("start", pa.int64())]
+    last = np.zeros((0, 5), np.int64)  # the row before, which is told with the next ones
+    told = False
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = np.concatenate((last, np.stack([c.to_numpy() for c in batch.columns], axis=1)))
         same = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 2] == rows[:-1, 2])
         mark = np.concatenate(([told], same)) | np.concatenate((same, [False]))
-        out = []
-        if not began:
-            out.append((1, rows[0, 3], rows[0, 4], rows[0, 0], rows[0, 2], task))
-            began = True
         found = rows[:-1][mark[:-1]]
-        columns = [np.zeros(len(found), np.int64), found[:, 3], found[:, 4], found[:, 0], found[:, 2], np.full(len(found), task)]
-        edge = np.array(out, np.int64).reshape(-1, 6)
-        yield _batch([np.concatenate((c, edge[:, i])) for i, c in enumerate(columns)], schema)
+        yield _batch([found[:, 3], found[:, 4]], schema)
         last, told = rows[-1:], bool(mark[-1])
-    if began:
-        row = last[0]
-        edge = [(2, row[3], row[4], row[0], row[2], task)] + [(0, row[3], row[4], row[0], row[2], task)] * told
-        yield _batch([np.array(c, np.int64) for c in zip(*edge, strict=True)], schema)
-
-
-def _across(edges: list) -> list[tuple[int, int]]:
-    """The windows at partition edges that equal the neighbour on the other side."""
-    out, before = [], None
-    for e in sorted(edges, key=lambda e: (e["task"], e["kind"])):
-        if e["kind"] == 1 and before is not None and (before["before"], before["digest"]) == (e["before"], e["digest"]):
-            out += [(before["sid"], before["start"]), (e["sid"], e["start"])]
-        before = e
-    return out
+    if told:
+        yield _batch([last[:, 3], last[:, 4]], schema)
 
 
 def _merged_ranges(window: int):
-    """The windows of each piece that are repeats, as ranges of bytes of the text."""
+    """The windows of each piece that are repeats, of its own windows or by the starts found, as ranges of bytes of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for h1, h2, base, starts in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "base", "starts")), strict=True):
-                s = np.unique(np.array(starts, np.int64))
-                cut = np.flatnonzero(np.diff(s) > window)
-                for a, b in zip(s[np.concatenate(([0], cut + 1))].tolist(), s[np.concatenate((cut, [len(s) - 1]))].tolist(), strict=True):
-                    rows.append((h1, h2, base + a, base + b + window))
+            for h1, h2, base, piece, starts in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "base", "bytes", "starts")), strict=True):
+                _, which, count = np.unique(_digests(np.frombuffer(piece, np.uint8), window), return_inverse=True, return_counts=True)
+                repeat = count[which] > 1
+                # only the first of equal windows was dealt, and those are repeats anyway
+                repeat[starts or []] = True
+                s = np.flatnonzero(repeat)
+                if len(s):
+                    cut = np.flatnonzero(np.diff(s) > window)
+                    for a, b in zip(s[np.concatenate(([0], cut + 1))].tolist(), s[np.concatenate((cut, [len(s) - 1]))].tolist(), strict=True):
+                        rows.append((h1, h2, base + a, base + b + window))
             yield _batch(list(zip(*rows, strict=True)) or [[]] * 4, [(n, pa.int64()) for n in ("h1", "h2", "first", "stop")])
 
     return run, "h1 bigint, h2 bigint, first bigint, stop bigint"
 
 
-def repeated_windows(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(sid, start) of the windows of pieces (sid, bytes) whose bytes also start elsewhere in them; some rows may come twice."""
-    spark = pieces.sparkSession
-    letters = stored(pieces.select("sid", "bytes").mapInArrow(_letters, _LETTERS), "letters")
-    names = in_order(letters.select("letter").distinct(), ["letter"], "alphabet").withColumnRenamed("place", "name")
-    ranks = suffix_ranks(letters.join(names, "letter").select("sid", "idx", "name", "at", "until"), window)
+def repeated_windows(folder: Folder, pieces: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(sid, start) of the windows of pieces (sid, bytes) whose bytes also start elsewhere in them; of equal windows in a piece only the first, and only if other pieces have it."""
+    letters = folder.put(pieces.select("sid", "bytes").mapInArrow(_letters, _LETTERS), "letters")
+    names = folder.put_in_order(letters.select("letter").distinct(), ["letter"], "alphabet").withColumnRenamed("place", "name")
+    ranks = suffix_ranks(folder, letters.join(names, "letter").select("sid", "idx", "name", "at", "until"), window)
+    folder.drop("letters", "alphabet")
     ranks = ranks.groupBy("sid").agg(F.collect_list(F.struct("idx", "rank")).alias("ranks"))
     rows, schema = _window_rows(window)
-    windows = stored(pieces.select("sid", "bytes").join(ranks, "sid").mapInArrow(rows, schema), "windows")
-    release(spark)
-    ordered = windows.repartitionByRange(_partitions(windows), "before", "rank", "sid", "start").sortWithinPartitions("before", "rank", "sid", "start")
-    found = stored(ordered.mapInArrow(_repeats, "kind bigint, sid bigint, start bigint, before bigint, digest bigint, task bigint"), "repeats")
-    edges = _across(found.where("kind > 0").collect())  # two rows for each partition
-    return found.where("kind = 0").select("sid", "start").unionByName(spark.createDataFrame(edges, "sid bigint, start bigint"))
+    windows = pieces.select("sid", "bytes").join(ranks, "sid").mapInArrow(rows, schema)
+    ordered = windows.repartition(partitions(folder.spark), "before").sortWithinPartitions("before", "rank")
+    return ordered.mapInArrow(_repeats, "sid bigint, start bigint")
 
 
 def repeated_ranges(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(h1, h2, ranges) of the bytes of texts (h1, h2, text) that repeats cover; ranges: array of (first, stop)."""
+    folder = Folder(texts.sparkSession)
     run, schema = _anchor_rows(window, gram)
     found = texts.mapInArrow(run, schema)
-    again = checkpointed(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-    release(texts.sparkSession)
-    flags = checkpointed(found.join(again, "gram").groupBy("h1", "h2").agg(F.collect_list("place").alias("places")))
-    release(texts.sparkSession)
+    again = folder.put(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "again")
+    flags = folder.put(found.join(again, "gram").groupBy("h1", "h2").agg(F.collect_list("place").alias("places")), "flags")
     run, schema = _context_rows(window, gram)
-    each = stored(texts.join(flags, ["h1", "h2"]).mapInArrow(run, schema), "contexts")
+    each = folder.put(texts.join(flags, ["h1", "h2"]).mapInArrow(run, schema), "contexts")
+    folder.drop("again", "flags")
     one = F.min(F.struct("h1", "h2", "start", "windows")).alias("one")
-    contexts = stored(each.groupBy("gram", "context").agg(F.count("*").alias("n"), one), "distinct-contexts")
+    contexts = folder.put(each.groupBy("gram", "context").agg(F.count("*").alias("n"), one), "distinct")
     unsure = contexts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
     wanted = contexts.join(unsure, "gram").select("one.*").groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "windows")).alias("wanted"))
     run, schema = _pieces(window)
-    pieces = stored(texts.join(wanted, ["h1", "h2"]).mapInArrow(run, schema).withColumn("sid", F.monotonically_increasing_id()), "pieces")
-    release(texts.sparkSession)
-    marks = repeated_windows(pieces, window).groupBy("sid").agg(F.collect_list("start").alias("starts"))
+    pieces = folder.put(texts.join(wanted, ["h1", "h2"]).mapInArrow(run, schema).withColumn("sid", F.monotonically_increasing_id()), "pieces")
+    marks = repeated_windows(folder, pieces, window).groupBy("sid").agg(F.collect_list("start").alias("starts"))
     run, schema = _merged_ranges(window)
-    inside = pieces.select("sid", "h1", "h2", "base").join(marks, "sid").select("h1", "h2", "base", "starts").mapInArrow(run, schema)
+    inside = folder.put(pieces.join(marks, "sid", "left").select("h1", "h2", "base", "bytes", "starts").mapInArrow(run, schema), "inside")
+    folder.drop("merged-0", "pieces")
     whole = each.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"])
     whole = whole.select("h1", "h2", F.col("start").alias("first"), (F.col("start") + F.col("windows") + (window - 1)).alias("stop"))
-    return stored(inside.unionByName(whole).groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "stop")).alias("ranges")), "ranges")
+    ranges = stored(inside.unionByName(whole).groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "stop")).alias("ranges")), "ranges")
+    folder.close()
+    release(texts.sparkSession)
+    return ranges
 
 
 def _cut(text: bytes, ranges: list[dict]) -> tuple[bytes, int]:
@@ -405,8 +417,8 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text_to
     so equal rows repeat each other; doc_id is not looked at, but to choose
     which of equal texts takes part. gram: at least 8, at most window.
     """
-    if not TOLD <= gram <= window or window < REACH + TOLD:
-        raise ValueError("window must be at least REACH + TOLD bytes, and gram between TOLD and window")
+    if not TOLD <= gram <= window or window < REACH + KEY:
+        raise ValueError("window must be at least REACH + KEY bytes, and gram between TOLD and window")
     names = ["n_bytes", "n_removed", "n_spans", "kept" if text_too else "kept_sha256"]
     base = without(docs, names)
     small_batches(docs.sparkSession)

@@ -159,7 +159,7 @@ def refresh_bundles(listings: DataFrame, reviews: DataFrame, detected: Column) -
 
 
 def fill_labels(listings: DataFrame, found: DataFrame, by: str, now: Column) -> DataFrame:
-    """Classifier output (id, for each field value and confidence) into empty fields; value, source and confidence each on its own."""
+    """Classifier output (id, for each field value and confidence, maybe <by>_confidence of the row) into empty fields; value, source and confidence each on its own."""
     fields = [c for c in ("brand", "reference", "condition", "watch_type") if c in found.columns]
     update = {}
     for c in fields:
@@ -169,6 +169,8 @@ def fill_labels(listings: DataFrame, found: DataFrame, by: str, now: Column) ->
         if f"{c}_confidence" in listings.columns:
             update[f"{c}_confidence"] = F.coalesce(F.col(f"o.{c}_confidence"), F.col(f"n.{c}_confidence"))
     update |= {"classifier_source": F.lit(by), f"{by}_classified_at": now}
+    if f"{by}_confidence" in found.columns:
+        update[f"{by}_confidence"] = F.col(f"n.{by}_confidence")
     known = found.join(listings.select("id"), "id", "left_semi")
     return merge(listings, known, ("id",), update)
 

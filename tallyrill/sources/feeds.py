@@ -1,25 +1,21 @@
 """Sources: forum posts and threads, marketplace and catalog items, delimited product feeds.
 
-Each reads what lies in a landing zone. Fetching over the network is an
-injected reader; its cursor, pacing and retry rules are below as plain values
-and functions.
+Each reads what lies in a landing zone; paged.py fetches it over the network.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from tallyrill.functions import text as T
 from tallyrill.functions.scalars import fallback_id
 from tallyrill.sources import schema
+from tallyrill.sources.paged import land, land_url
 
 # ---- fixed values -------------------------------------------------------------------------------------------------
-PAGE_ROWS, MOST_PAGES, PACE_SECONDS, MOST_RETRIES, TIMEOUT_SECONDS = 100, 10, 1.2, 3, 15
-DEFAULT_WAIT, MOST_WAIT = 5.0, 60.0
 LINK_KEYS = ("link", "buy_url", "product_url", "program_url", "destination_url", "url")
 ID_KEYS = ("sku", "id", "program_sku", "product_id")
 TITLE_KEYS = ("title", "name", "product_name", "product title")
@@ -28,53 +24,6 @@ IMAGE_KEYS = ("image_link", "image_url", "image", "primary_image", "large image"
 # -------------------------------------------------------------------------------------------------------------------
 
 
-def retry_wait(header: str | None) -> float:
-    """Seconds to wait after a 429: what the header says, at most a minute, five seconds if it says nothing."""
-    try:
-        return min(max(float(header), 0.0), MOST_WAIT)
-    except (TypeError, ValueError):
-        return DEFAULT_WAIT
-
-
-def pages_of(wanted: float) -> int:
-    return min(max(int(wanted), 1), MOST_PAGES)
-
-
-class CursorReader(SimpleDataSourceStreamReader):
-    """A stream over a paged API: the offset is the cursor of the last page read."""
-
-    def __init__(self, fetch: Callable[[str | None], tuple[list[tuple], str | None]]):
-        self.fetch = fetch
-
-    def initialOffset(self) -> dict:  # noqa: N802  Spark's name
-        return {"after": None}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, after = self.fetch(start["after"])
-        return iter(rows), {"after": after or start["after"]}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        rows, _ = self.fetch(start["after"])
-        return iter(rows)
-
-
-def forum_source(name: str, fetch: Callable[[str | None], tuple[list[tuple], str | None]]) -> type[DataSource]:
-    """A data source class to register; fetch(cursor) gives (rows as in schema.POSTS, next cursor)."""
-
-    class ForumSource(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return name
-
-        def schema(self) -> str:
-            return schema.POSTS
-
-        def simpleStreamReader(self, _schema) -> CursorReader:  # noqa: N802
-            return CursorReader(fetch)
-
-    return ForumSource
-
-
 def read_posts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.POSTS).json(path)
 
@@ -205,6 +154,16 @@ def read_feed(spark: SparkSession, path: str, source_id: int, parse: Callable[[C
     return out, counts
 
 
+def read_feed_text(spark: SparkSession, text: str, landing: str, source_id: int, parse: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """read_feed() of a feed given as text; it is written to the file `landing` first."""
+    return read_feed(spark, land(text, landing), source_id, parse)
+
+
+def read_feed_url(spark: SparkSession, url: str, landing: str, source_id: int, parse: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """read_feed() of a feed behind a URL; it is fetched to the file `landing` first."""
+    return read_feed(spark, land_url(url, landing), source_id, parse)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """With a header, quotes doubled, nulls and empty texts empty."""
     flat = df.select(*[F.col(c).cast("string").alias(c) if t == "boolean" else F.col(c) for c, t in df.dtypes])

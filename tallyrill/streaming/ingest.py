@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyrill.operators.events import valid_events
 from tallyrill.operators.merge import upsert_forum
+from tallyrill.sources.buckets import BucketTable
 from tallyrill.sources.feeds import posts_to_listings, typed_posts
-from tallyrill.sources.store import VersionedTable
 
 INGEST_EVERY, RESCUE_EVERY = "15 minutes", "60 minutes"
 
@@ -32,12 +32,12 @@ def counters(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("upserted"), has("price_cents").alias("priced"), has("brand").alias("branded"), has("reference").alias("referenced"), has("condition").alias("with_condition"), F.count_if("is_sold").alias("sold"), F.count_if("is_bundle").alias("bundles"))
 
 
-def ingest_posts(posts: DataFrame, table: VersionedTable, reviews: Callable[[], DataFrame], source_id: int, parsed: Column, bundle: Column, now: Callable[[], Column], checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """A stream of raw posts into the listings table; each batch is one merge, and is written once even if it is replayed."""
+def ingest_posts(posts: DataFrame, table: BucketTable, reviews: Callable[[], DataFrame], source_id: int, parsed: Column, bundle: Column, now: Callable[[], Column], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """A stream of raw posts into the stored listings; each batch is one merge of the buckets it touches, and is written once even if it is replayed. chain.py has the whole chain."""
 
     def each(batch: DataFrame, number: int) -> None:
         rows = posts_to_listings(typed_posts(batch), source_id, parsed, bundle)
-        table.replace(with_ids(upsert_forum(table.read(), rows, reviews(), now())), number)
+        table.merge(rows, lambda old: with_ids(upsert_forum(old, rows, reviews(), now())), "ingest", number)
 
     return _start(posts, each, checkpoint, every)
 

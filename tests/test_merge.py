@@ -9,7 +9,6 @@ from tallyrill.operators import search as Q
 from tallyrill.operators.schedule import due_source, gate_open, run_all, until_short
 from tallyrill.sources import schema
 from tallyrill.sources.fixtures import LISTINGS_AS_OF, view
-from tallyrill.sources.store import VersionedTable
 from tests.oracle import spark_rows
 
 def now():
@@ -90,15 +89,6 @@ def test_review_delta(spark):
     assert (row.touch_brand, row.touch_reference, row.touch_condition, row.touch_price, row.price_cents) == (False, True, False, True, 151)
 
 
-def test_versions(spark, tmp_path):
-    t = VersionedTable(spark, str(tmp_path), "a int")
-    assert t.read().count() == 0
-    assert t.replace(spark.range(3).selectExpr("cast(id as int) a"), 0) == 1
-    assert t.replace(spark.range(9).selectExpr("cast(id as int) a"), 0) == 1 and t.read().count() == 3
-    t.replace(t.read().where("a > 0"))
-    assert t.version() == 2 and t.read().count() == 2 and t.read(1).count() == 3
-
-
 def test_schedule():
     from datetime import UTC, datetime
 

@@ -2,7 +2,6 @@
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from tallyrill.functions import watches as W
@@ -10,8 +9,8 @@ from tallyrill.operators import events as E
 from tallyrill.operators import merge as M
 from tallyrill.operators.search import at
 from tallyrill.sources import feeds, schema
+from tallyrill.sources.buckets import BucketTable
 from tallyrill.sources.fixtures import view
-from tallyrill.sources.store import VersionedTable
 from tallyrill.streaming import ingest, limiter
 
 POST = {"id": "a1", "title": "[WTS] [CA] Omega Speedmaster 145.022 $4,500", "selftext": "Excellent condition", "permalink": "/r/x/a1", "author": "me", "created_utc": 1.0, "link_flair_text": "WTS", "is_gallery": True}
@@ -40,7 +39,7 @@ def test_feed(spark, tmp_path):
     got = {r.external_id: r for r in rows.collect()}
     assert set(got) == {"d1", "s9"} and got["d1"].price_cents == 120000 and got["s9"].price_cents == 0 and got["d1"].title == 'Omega "Speed", 145.022'
     assert counts.first().skipped == 1 and counts.first().n == 3
-    assert feeds.sniff_delimiter("a\tb,c") == "\t" and feeds.normal_header(" Sale Price! ") == "sale_price" and feeds.retry_wait("90") == 60 and feeds.retry_wait(None) == 5
+    assert feeds.sniff_delimiter("a\tb,c") == "\t" and feeds.normal_header(" Sale Price! ") == "sale_price"
 
 
 def test_markets(spark):
@@ -60,7 +59,7 @@ def test_csv_round_trip(spark, tmp_path):
 
 
 def test_stream_ingest(spark, tmp_path):
-    source, table = tmp_path / "in", VersionedTable(spark, str(tmp_path / "t"), schema.LISTINGS)
+    source, table = tmp_path / "in", BucketTable(spark, str(tmp_path / "t"), schema.LISTINGS, M.KEY)
     source.mkdir()
 
     def drain():
@@ -115,11 +114,6 @@ def test_upsert_rules(spark, sf_dir):
     assert cleared.where("description = '[no comment]'").count() == 0 and cleared.count() == listings.count()
 
 
-@pytest.mark.parametrize("n,expected", [(0, 1), (5, 5), (99, 10)])
-def test_pages(n, expected):
-    assert feeds.pages_of(n) == expected
-
-
 def test_classify(spark):
     from tallyrill.functions.classify import classify, prompt_text
     from tallyrill.sources.demo import demo_listings, demo_sources

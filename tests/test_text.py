@@ -1,11 +1,14 @@
 """Golden rows of the text signals."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyrill.functions import scalars as S
 from tallyrill.functions import text as T
 from tallyrill.functions import watches as W
+from tests import watches_twin as twin
 
 
 def one(spark, rows, make):
@@ -82,16 +85,22 @@ def test_ascii_edges(spark):
         ("nothing here", None, None),
     ],
 )
-def test_parse(title, brand, reference):
-    assert W.watch_of(title) == (brand, reference)
+def test_parse(spark, title, brand, reference):
+    r = spark.createDataFrame([(title,)], "t string").select(W.parse_watch("t").alias("w")).first().w
+    assert (r.brand, r.reference) == (brand, reference) == twin.watch_of(title)
 
 
-def test_brand_hits():
-    assert W.brand_hits("Grand Seiko Diver SBGA229") == ["Grand Seiko"]
-    assert W.brand_hits("Rolex Submariner + Omega Speedmaster") == ["Omega", "Rolex"]
-    assert W.brand_hits("Rolex/Tudor/Omega") == ["Tudor"]  # neighbours share their separator
-    assert W.brand_hits("Tudor, looks like a Rolex") == ["Tudor"]
-    assert W.brand_hits(None) == []
+def test_brand_hits(spark):
+    expected = {
+        "Grand Seiko Diver SBGA229": ["Grand Seiko"],
+        "Rolex Submariner + Omega Speedmaster": ["Omega", "Rolex"],
+        "Rolex/Tudor/Omega": ["Tudor"],  # neighbours share their separator
+        "Tudor, looks like a Rolex": ["Tudor"],
+        "": [],
+        None: [],
+    }
+    rows = spark.createDataFrame([(t,) for t in expected], "t string").select("t", W.brand_list("t").alias("b")).collect()
+    assert {r.t: r.b for r in rows} == expected == {t: twin.brand_hits(t) for t in expected}
 
 
 TRADES = "Asking $5000.\n\nTrades: modern Rolex, AP, or Patek Philippe\n\nThanks"
@@ -119,14 +128,37 @@ TRADES = "Asking $5000.\n\nTrades: modern Rolex, AP, or Patek Philippe\n\nThanks
         (None, None, False),
     ],
 )
-def test_bundle(title, body, expected):
-    assert W.is_bundle(title, body) is expected
-
-
-def test_trades_are_cut():
-    assert "AP" not in W.without_trades(TRADES)
-    assert W.without_trades("Trades: AP\nPrice: 5\nx") == "Price: 5\nx"
-    assert W.without_trades("Trades: AP\n\nx") == "x"
+def test_bundle(spark, title, body, expected):
+    r = spark.createDataFrame([(title, body)], "t string, b string").select(W.detect_bundle("t", "b").alias("v")).first()
+    assert r.v is expected is twin.is_bundle(title, body)
+
+
+def test_trades_are_cut(spark):
+    texts = [TRADES, "Trades: AP\nPrice: 5\nx", "Trades: AP\r\n\r\nx", "no such thing\r\nhere", "open to trades\n$ 5\nTrades: x", ""]
+    cut = [r.v for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(W.strip_trades("t").alias("v")).collect()]
+    assert cut == [twin.without_trades(t) for t in texts] and "AP" not in cut[0] and cut[1:3] == ["Price: 5\nx", "x"]
+
+
+PIECES = [
+    *(b[0] for b in W.BRANDS), *(t for b in W.BRANDS for t in b[1]), *W.NOISE, "vs", "looks like a", "aka", "166.0168", "5933-5080", "SBGA229", "SARB033", "IW501004", "PFC912-1020001", "145.022", "126610LN", "1968", "x2", "x 3", "40 x 44mm",
+    "bracelet links x2", "the grandeur", "grandeur", "apple watch", "bundle", "strap bundle", "wholesale lot", "3 watches", "couple pieces", "lot of 3 seiko watches", "trades: ap", "price: $5", "\n", "\n\n", "r/tudor", "$160/ea", "dealer", "ünïcode", "\u00a0", "İ", "x1.5", "2.5 x2",
+]
+
+
+def test_expressions_equal_the_twin(spark):
+    """Random texts of brands, references, comparisons, counts and trades."""
+    r = random.Random(4)
+    glue = lambda: r.choice([" ", " ", " ", "/", ", ", " + ", "-", "", "\n"])
+    make = lambda n: "".join(x for _ in range(n) for x in (r.choice([str.upper, str.lower, str.title, str])(r.choice(PIECES)), glue()))
+    texts = [(i, make(r.choice([1, 2, 3, 5, 9])), r.choice([None, "", make(6), make(25)])) for i in range(3000)]
+    rows = spark.createDataFrame(texts, "i int, t string, b string").repartition(8)
+    got = rows.select("i", "t", "b", W.parse_watch("t").alias("w"), W.brand_list("t").alias("hits"), W.detect_bundle("t", "b").alias("bundle"), W.offered_brands(F.col("t"), F.col("b")).alias("offered")).collect()
+    for x in got:
+        assert tuple(x.w) == twin.watch_of(x.t), x.t
+        assert x.hits == twin.brand_hits(x.t), x.t
+        assert x.bundle == twin.is_bundle(x.t, x.b), (x.t, x.b)
+        assert x.offered == twin.brand_hits(twin.without_trades("\n\n".join(p for p in (x.t, x.b) if p))), (x.t, x.b)
+    assert 0.2 < sum(x.bundle for x in got) / len(got) < 0.95 and len({x.w.brand for x in got}) > 90
 
 
 def test_scalars(spark):

@@ -5,10 +5,11 @@ else. What may be such a string is found first, and loses nothing:
 
 * Equal texts are told by two hashes; one of each takes part, the others go whole.
 * Of each window the place with the least hash of the next bytes is its anchor;
-  equal windows have equal anchors, so a window can only be repeated if the
-  GRAM bytes at its anchor occur again. The windows of one anchor and their
-  bytes are its context. Equal contexts are counted before the shuffle and
-  become one; a gram that is left with one context needs no sorting.
+  equal windows have equal anchors at equal distances. The distances are cut
+  into SHARES ranges; windows of one anchor and range have bytes in common, and
+  can only be repeated if this core occurs again. They and their bytes are a
+  context. Equal contexts are counted before the shuffle and become one; a core
+  that is left with one context needs no sorting.
 
 The contexts that are left are sorted as suffixes. Letters are LETTER bytes at
 places that the bytes themselves choose (the least hash in a window of REACH),
@@ -21,7 +22,7 @@ rank behind it. All byte positions are then dealt by a digest of the bytes up to
 the letter they meet next and the first KEY bytes of it, and sorted by this and
 the rank of that letter's suffix. Neighbours in this order whose first WINDOW
 bytes are the same (told by a 64-bit digest) are repeats. Of equal windows in
-one run of contexts only the first is dealt, so that no text of one byte over
+one run of contexts only the first is compared, so that no text of one byte over
 and over fills a task; the sorted rows are read as a stream.
 
 No text, gram or name is looked up by a broadcast of unknown size. What the
@@ -31,7 +32,7 @@ steps write is deleted when it has been used.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,11 @@ from pyspark.sql import types as T
 from .common import as_bytes, brief_shuffles, checkpointed, fresh_path, keeps_own, mix_bits, release, remove_path, sha256_hex, small_batches, stored, table, without
 
 WINDOW = 200
+#: An anchor and GRAM bytes from it on lie in its window.
 GRAM = 64
+SHARES = 4
 #: Letters begin at most REACH bytes apart; where is told by hashes of TOLD bytes.
-REACH, TOLD = 64, 8
+REACH, TOLD = 96, 8
 LETTER = REACH + TOLD + 1
 KEY = 64
 #: Bytes of a text handled at once; longer texts overlap by WINDOW - 1, so that each window is whole in one part.
@@ -57,6 +60,7 @@ ENDLESS = 1 << 40
 _PLACE = np.uint64((1 << 20) - 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _TURN = np.uint64(0xBF58476D1CE4E5B9)
+_BYTES = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def _place_hashes(data: np.ndarray) -> np.ndarray:
@@ -80,14 +84,23 @@ def _least(hashes: np.ndarray, span: int) -> np.ndarray:
     return (_PLACE - (least & _PLACE)).astype(np.int64)
 
 
-def _digests(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit digest of the `length` bytes at each place that has so many."""
-    h, n = mix_bits((data.astype(np.uint64) + np.uint64(1)) * _TURN), 1
-    while n < length:
-        step = min(n, length - n)
-        h = mix_bits(h[:-step] * _STEP + (h[step:] ^ (h[step:] >> np.uint64(29))) * _TURN)
-        n += step
-    return h
+class _Sums:
+    """Digests of any stretch of data, from running sums in two bases."""
+
+    def __init__(self):
+        size = PART_BYTES + 1
+        power = lambda b: np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size, b, np.uint64))))
+        self.lanes = [(power(b), power(pow(b, -1, 1 << 64))) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+    def __call__(self, data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        values = _BYTES[data]
+        sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(data)]))) for up, _ in self.lanes]
+
+        def digest(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+            one, two = (mix_bits((s[stop] - s[start]) * down[start]) for s, (_, down) in zip(sums, self.lanes, strict=True))
+            return mix_bits(one * _STEP + two)
+
+        return digest
 
 
 def parts(text: bytes, window: int = WINDOW, limit: int = PART_BYTES) -> Iterator[tuple[int, bytes]]:
@@ -96,12 +109,24 @@ def parts(text: bytes, window: int = WINDOW, limit: int = PART_BYTES) -> Iterato
         yield base, text[base : base + limit]
 
 
-def anchors(part: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first window, windows) of the anchors of all windows of part."""
+def anchors(part: bytes, window: int = WINDOW, gram: int = GRAM, shares: int = SHARES) -> tuple[np.ndarray, ...]:
+    """(mark, first window, windows, start and stop of the core, share) of the contexts of part; a mark tells anchor and share.
+
+    All windows with an anchor at a distance in one share have the core in
+    common, at the same distance.
+    """
     data = np.frombuffer(part, np.uint8)
     at = _least(_place_hashes(data), window - gram + 1)[: len(data) - window + 1]
     turn = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[turn], turn, np.diff(np.concatenate((turn, [len(at)])))
+    last = np.concatenate((turn[1:], [len(at)])) - 1
+    at = at[turn]
+    out = []
+    for q in range(shares):
+        near, far = ((window - gram + 1) * k // shares for k in (q, q + 1))
+        first, most = np.maximum(turn, at - far + 1), np.minimum(last, at - near)
+        ok = first <= most
+        out.append(np.stack((at * shares + q, first, most - first + 1, at - near, at - far + 1 + window, np.full(len(at), q)))[:, ok])
+    return tuple(np.concatenate(out, axis=1))
 
 
 def _long_texts(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, bytes]]:
@@ -118,44 +143,47 @@ def _joined(columns: list[list[np.ndarray]], kinds: list) -> list[np.ndarray]:
     return [np.concatenate([np.zeros(0, k), *c]) for c, k in zip(columns, kinds, strict=True)]
 
 
+def _core(part: bytes, a: int, b: int, share: int) -> int:
+    key = xxhash.xxh64_intdigest(part[a:b], share)
+    return key - (key >> 63 << 64)
+
+
 def _anchor_rows(window: int, gram: int):
-    """(h1, h2, place, gram) of the anchors of each text."""
+    """(h1, h2, mark, core) of the contexts of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
             h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
             out = [[], [], [], []]
             for row, text in _long_texts(batch, window):
                 for base, part in parts(text, window):
-                    at, _, _ = anchors(part, window, gram)
-                    grams = np.fromiter((digest(part[p : p + gram]) for p in at.tolist()), np.uint64, len(at)).view(np.int64)
-                    for c, x in zip(out, (np.full(len(at), h1[row]), np.full(len(at), h2[row]), at + base, grams), strict=True):
+                    mark, _, _, a, b, share = anchors(part, window, gram)
+                    cores = np.fromiter((_core(part, *x) for x in zip(a.tolist(), b.tolist(), share.tolist(), strict=True)), np.int64, len(mark))
+                    for c, x in zip(out, (np.full(len(mark), h1[row]), np.full(len(mark), h2[row]), mark + base * SHARES, cores), strict=True):
                         c.append(x)
-            yield _batch(_joined(out, [np.int64] * 4), [("h1", pa.int64()), ("h2", pa.int64()), ("place", pa.int64()), ("gram", pa.int64())])
+            yield _batch(_joined(out, [np.int64] * 4), [("h1", pa.int64()), ("h2", pa.int64()), ("mark", pa.int64()), ("core", pa.int64())])
 
-    return run, "h1 bigint, h2 bigint, place bigint, gram bigint"
+    return run, "h1 bigint, h2 bigint, mark bigint, core bigint"
 
 
 def _context_rows(window: int, gram: int):
-    """The contexts of the flagged anchors of each text, told by their gram and a digest of their bytes."""
-    schema = [("gram", pa.int64()), ("context", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())]
+    """The flagged contexts of each text, told by their core and a digest of their bytes and of the anchor's place in them."""
+    schema = [("core", pa.int64()), ("context", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h1, h2, flags = (batch.column(c).to_pylist() for c in ("h1", "h2", "places"))
+            h1, h2, flags = (batch.column(c).to_pylist() for c in ("h1", "h2", "marks"))
             rows = []
             for row, text in _long_texts(batch, window):
                 wanted = set(flags[row])
                 for base, part in parts(text, window):
-                    for place, start, n in zip(*(x.tolist() for x in anchors(part, window, gram)), strict=True):
-                        if place + base in wanted:
-                            key = xxhash.xxh64_intdigest(part[place : place + gram])
-                            inside = hashlib.blake2b(part[start : start + n + window - 1], digest_size=16, salt=(place - start).to_bytes(8, "little")).digest()
-                            rows.append((key - (key >> 63 << 64), inside, h1[row], h2[row], start + base, n))
+                    for mark, start, n, a, b, share in zip(*(x.tolist() for x in anchors(part, window, gram)), strict=True):
+                        if mark + base * SHARES in wanted:
+                            inside = hashlib.blake2b(part[start : start + n + window - 1], digest_size=16, salt=(mark // SHARES - start).to_bytes(8, "little")).digest()
+                            rows.append((_core(part, a, b, share), inside, h1[row], h2[row], start + base, n))
             yield _batch(list(zip(*rows, strict=True)) or [[]] * 6, schema)
 
-    return run, "gram bigint, context binary, h1 bigint, h2 bigint, start bigint, windows bigint"
+    return run, "core bigint, context binary, h1 bigint, h2 bigint, start bigint, windows bigint"
 
 
 def _pieces(window: int):
@@ -288,35 +316,42 @@ def suffix_ranks(folder: Folder, strings: DataFrame, depth: int = WINDOW, level:
 
 
 def _window_rows(window: int):
-    """Of each piece with the ranks of its letters: for each window, but equal ones of the piece, a digest of its bytes up to the next letter and KEY bytes on, that letter's rank, its own digest."""
+    """Of each piece with the ranks of its letters: for each window a digest of its bytes up to the next letter and KEY bytes on, that letter's rank, its own digest.
+
+    Windows that the piece itself has again are told here; they come with rank
+    -1, and the first of equal ones like any other window too.
+    """
     names = ("before", "rank", "digest", "sid", "start")
     schema = [(n, pa.int64()) for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = np.multiply.accumulate(np.full(PART_BYTES + 1, 0x9E3779B97F4A7C15, np.uint64))
-        back = np.multiply.accumulate(np.full(PART_BYTES + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+        sums = _Sums()
         for batch in batches:
             out = [[] for _ in names]
             for sid, piece, ranks in zip(batch.column("sid").to_pylist(), as_bytes(batch.column("bytes")), batch.column("ranks").to_pylist(), strict=True):
                 data = np.frombuffer(piece, np.uint8)
-                digest, start = np.unique(_digests(data, window), return_index=True)
+                digest = sums(data)
+                every = np.arange(len(data) - window + 1)
+                own, start, which, count = np.unique(digest(every, every + window), return_index=True, return_inverse=True, return_counts=True)
                 places, number = letter_places(data)
                 rank = np.zeros(len(places), np.int64)
                 for r in ranks:
                     rank[r["idx"]] = r["rank"]
                 number = number[start]
                 meets = places[number]
-                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)])))
-                before = mix_bits((sums[meets + KEY] - sums[start]) * back[start] + (meets - start).astype(np.uint64))
-                for c, x in zip(out, (before.view(np.int64), rank[number], digest.view(np.int64), np.full(len(start), sid), start), strict=True):
-                    c.append(x)
+                before = mix_bits(digest(start, meets + KEY) + (meets - start).astype(np.uint64))
+                again = every[count[which] > 1]
+                apart = mix_bits((again.astype(np.uint64) + np.uint64(sid & (1 << 63) - 1)) * _STEP)
+                columns = ((before, apart), (rank[number], np.full(len(again), -1)), (own, apart), (np.full(len(start), sid), np.full(len(again), sid)), (start, again))
+                for c, x in zip(out, columns, strict=True):
+                    c += [y.view(np.int64) for y in x]
             yield _batch(_joined(out, [np.int64] * 5), schema)
 
     return run, ", ".join(f"{n} bigint" for n in names)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows in order, those with a neighbour that is the same."""
+    """Of windows in order, those with a neighbour that is the same, and those that are told already."""
     schema = [("sid", pa.int64()), ("start", pa.int64())]
     last = np.zeros((0, 5), np.int64)  # the row before, which is told with the next ones
     told = False
@@ -325,7 +360,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         rows = np.concatenate((last, np.stack([c.to_numpy() for c in batch.columns], axis=1)))
         same = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 2] == rows[:-1, 2])
-        mark = np.concatenate(([told], same)) | np.concatenate((same, [False]))
+        mark = np.concatenate(([told], same)) | np.concatenate((same, [False])) | (rows[:, 1] < 0)
         found = rows[:-1][mark[:-1]]
         yield _batch([found[:, 3], found[:, 4]], schema)
         last, told = rows[-1:], bool(mark[-1])
@@ -334,28 +369,23 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged_ranges(window: int):
-    """The windows of each piece that are repeats, of its own windows or by the starts found, as ranges of bytes of the text."""
+    """The windows of each piece that are repeats, as ranges of bytes of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for h1, h2, base, piece, starts in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "base", "bytes", "starts")), strict=True):
-                _, which, count = np.unique(_digests(np.frombuffer(piece, np.uint8), window), return_inverse=True, return_counts=True)
-                repeat = count[which] > 1
-                # only the first of equal windows was dealt, and those are repeats anyway
-                repeat[starts or []] = True
-                s = np.flatnonzero(repeat)
-                if len(s):
-                    cut = np.flatnonzero(np.diff(s) > window)
-                    for a, b in zip(s[np.concatenate(([0], cut + 1))].tolist(), s[np.concatenate((cut, [len(s) - 1]))].tolist(), strict=True):
-                        rows.append((h1, h2, base + a, base + b + window))
+            for h1, h2, base, starts in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "base", "starts")), strict=True):
+                s = np.unique(np.array(starts, np.int64))
+                cut = np.flatnonzero(np.diff(s) > window)
+                for a, b in zip(s[np.concatenate(([0], cut + 1))].tolist(), s[np.concatenate((cut, [len(s) - 1]))].tolist(), strict=True):
+                    rows.append((h1, h2, base + a, base + b + window))
             yield _batch(list(zip(*rows, strict=True)) or [[]] * 4, [(n, pa.int64()) for n in ("h1", "h2", "first", "stop")])
 
     return run, "h1 bigint, h2 bigint, first bigint, stop bigint"
 
 
 def repeated_windows(folder: Folder, pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(sid, start) of the windows of pieces (sid, bytes) whose bytes also start elsewhere in them; of equal windows in a piece only the first, and only if other pieces have it."""
+    """(sid, start) of the windows of pieces (sid, bytes) whose bytes also start elsewhere in them; of equal windows in a piece some may come twice."""
     letters = folder.put(pieces.select("sid", "bytes").mapInArrow(_letters, _LETTERS), "letters")
     names = folder.put_in_order(letters.select("letter").distinct(), ["letter"], "alphabet").withColumnRenamed("place", "name")
     ranks = suffix_ranks(folder, letters.join(names, "letter").select("sid", "idx", "name", "at", "until"), window)
@@ -372,22 +402,22 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     folder = Folder(texts.sparkSession)
     run, schema = _anchor_rows(window, gram)
     found = texts.mapInArrow(run, schema)
-    again = folder.put(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "again")
-    flags = folder.put(found.join(again, "gram").groupBy("h1", "h2").agg(F.collect_list("place").alias("places")), "flags")
+    again = folder.put(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "again")
+    flags = folder.put(found.join(again, "core").groupBy("h1", "h2").agg(F.collect_list("mark").alias("marks")), "flags")
     run, schema = _context_rows(window, gram)
     each = folder.put(texts.join(flags, ["h1", "h2"]).mapInArrow(run, schema), "contexts")
     folder.drop("again", "flags")
     one = F.min(F.struct("h1", "h2", "start", "windows")).alias("one")
-    contexts = folder.put(each.groupBy("gram", "context").agg(F.count("*").alias("n"), one), "distinct")
-    unsure = contexts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-    wanted = contexts.join(unsure, "gram").select("one.*").groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "windows")).alias("wanted"))
+    contexts = folder.put(each.groupBy("core", "context").agg(F.count("*").alias("n"), one), "distinct")
+    unsure = contexts.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
+    wanted = contexts.join(unsure, "core").select("one.*").groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "windows")).alias("wanted"))
     run, schema = _pieces(window)
     pieces = folder.put(texts.join(wanted, ["h1", "h2"]).mapInArrow(run, schema).withColumn("sid", F.monotonically_increasing_id()), "pieces")
     marks = repeated_windows(folder, pieces, window).groupBy("sid").agg(F.collect_list("start").alias("starts"))
     run, schema = _merged_ranges(window)
-    inside = folder.put(pieces.join(marks, "sid", "left").select("h1", "h2", "base", "bytes", "starts").mapInArrow(run, schema), "inside")
+    inside = folder.put(pieces.select("sid", "h1", "h2", "base").join(marks, "sid").select("h1", "h2", "base", "starts").mapInArrow(run, schema), "inside")
     folder.drop("merged-0", "pieces")
-    whole = each.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"])
+    whole = each.join(contexts.where("n > 1").select("core", "context"), ["core", "context"])
     whole = whole.select("h1", "h2", F.col("start").alias("first"), (F.col("start") + F.col("windows") + (window - 1)).alias("stop"))
     ranges = stored(inside.unionByName(whole).groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "stop")).alias("ranges")), "ranges")
     folder.close()

@@ -16,6 +16,17 @@ SPACES = "\\t\\n\\x0B\\f\\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 _EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
+_WORD_NEXT = re.compile(r"(?:[A-Za-z0-9]|\\[dw])(?![?*]|\{[0,])")
+_WORD_BEFORE = re.compile(r"(?:(?<!\\)[A-Za-z0-9]|\\[dw])\Z")
+
+
+def _edge(before: str, behind: str) -> str:
+    """\\b, by one side only where the other is a letter or digit for sure."""
+    if _WORD_NEXT.match(behind):
+        return "(?<![A-Za-z0-9_])"
+    return "(?![A-Za-z0-9_])" if _WORD_BEFORE.search(before) else _EDGE
+
+
 def translate(pattern: str, end: str, many_lines: bool = False) -> str:
     """Explicit classes and edges for \\s, \\b and $; end: how the target writes the end of input."""
     out, i, inside = [], 0, False
@@ -28,7 +39,7 @@ def translate(pattern: str, end: str, many_lines: bool = False) -> str:
             out.append(f"[^{SPACES}]")
             i += 2
         elif two == "\\b" and not inside:
-            out.append(_EDGE)
+            out.append(_edge(pattern[:i], pattern[i + 2 :]))
             i += 2
         elif pattern[i] == "\\":
             out.append(two)
@@ -63,7 +74,7 @@ def like(text: Column, pattern: str, flags: str = "") -> Column:
 
 
 #: An edge, then a letter or digit, perhaps after an optional group that starts with one.
-_EDGE_FIRST = re.compile(r"\\b(?:\(\?:[A-Za-z0-9][^()]*\)\??)?[A-Za-z0-9(]")
+EDGE_FIRST = re.compile(r"\\b(?:\(\?:[A-Za-z0-9][^()]*\)\??)?[A-Za-z0-9(]")
 
 
 def any_like(text: Column, patterns: tuple[str, ...], flags: str = "i") -> Column:
@@ -72,7 +83,7 @@ def any_like(text: Column, patterns: tuple[str, ...], flags: str = "i") -> Colum
     Where all patterns begin at the edge of a word, what is before the word is
     looked at once for all of them.
     """
-    if all(_EDGE_FIRST.match(p) for p in patterns):
+    if all(EDGE_FIRST.match(p) for p in patterns):
         mode = js("", flags)
         rest = "|".join(f"(?:{translate(p[2:], chr(92) + 'z')})" for p in patterns)
         if all(p.isascii() for p in patterns):

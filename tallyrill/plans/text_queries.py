@@ -11,7 +11,9 @@ from tallyrill.operators import review as R
 from tallyrill.operators import search as Q
 from tallyrill.sources.fixtures import LISTINGS_AS_OF, WINDOW_DAYS
 
-from .listing_queries import NOW, query
+from . import watch_sql
+from .listing_queries import _ANY as _ANY_FLAG
+from .listing_queries import _REVIEWED, NOW, RECENT, query
 
 _Q = lambda s: "'" + s.replace("'", "''") + "'"
 _ANY = lambda t, ps, flags="i": f"regexp_matches({t}, {_Q('|'.join(f'(?:{p})' for p in ps))}, '{flags or 'c'}')"
@@ -118,22 +120,28 @@ def _(listings):
     return listings.select("id", F.array_join(F.array_sort(T.reference_candidates(F.col("title"))), ",").alias("candidates"))
 
 
-@query("parse_watch", None, "listings")
+@query("parse_watch", watch_sql.PARSE, "listings")
 def _(listings):
     return listings.select("id", W.parse_watch("title").alias("w")).select("id", "w.brand", "w.reference")
 
 
-@query("brand_hits", None, "listings")
+@query("brand_hits", watch_sql.HITS, "listings")
 def _(listings):
     return listings.select("id", F.array_join(W.offered_brands(F.col("title"), F.col("description")), ",").alias("brands"))
 
 
-@query("detect_bundle", None, "listings")
+@query("detect_bundle", watch_sql.BUNDLES, "listings")
 def _(listings):
     return listings.select("id", W.detect_bundle("title", "description").alias("is_bundle"))
 
 
-@query("multi_brand_counts", None, "listings", "reviews")
+@query(
+    "multi_brand_counts",
+    f"""{_REVIEWED}, newest AS (SELECT *, {watch_sql.WHOLE} AS k FROM j WHERE {RECENT} ORDER BY first_seen_at DESC, id LIMIT {R.MULTI_BRAND_ROWS}), {watch_sql.offers("newest")},
+    told AS (SELECT *, len(coalesce(brands, [])) >= 2 AS several, coalesce(multi_brand_reviewed, false) AS seen FROM newest LEFT JOIN offered USING (k))
+    SELECT count(*) FILTER (several AND NOT seen) AS n_open, count(*) FILTER (several AND seen) AS n_reviewed, count(*) FILTER (several AND NOT seen AND NOT coalesce({_ANY_FLAG}, false)) AS n_only_multi_brand FROM told""",
+    "listings", "reviews",
+)
 def _(listings, reviews):
     hits = F.size(W.offered_brands(F.col("title"), F.col("description")))
     return R.multi_brand_counts(listings, reviews, hits, LISTINGS_AS_OF, WINDOW_DAYS)

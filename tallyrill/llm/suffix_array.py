@@ -69,7 +69,7 @@ def _place_hashes(data: np.ndarray) -> np.ndarray:
     x = x[:-1] << np.uint64(8) | x[1:]
     x = x[:-2] << np.uint64(16) | x[2:]
     x = x[:-4] << np.uint64(32) | x[4:]
-    return mix_bits(mix_bits(x * _TURN)) & ~_PLACE
+    return mix_bits(x * _TURN) & ~_PLACE
 
 
 def _least(hashes: np.ndarray, span: int) -> np.ndarray:
@@ -208,21 +208,46 @@ def _pieces(window: int):
     return run, "h1 bigint, h2 bigint, base bigint, bytes binary"
 
 
-def letter_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where letters begin in data, for each position that sees so far the letter it meets first: its number)."""
-    first = _least(_place_hashes(data), REACH)
-    turn = np.concatenate(([True], first[1:] != first[:-1]))
-    return first[turn], np.cumsum(turn) - 1
+def _groups(pieces: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, stop, their bytes one after the other, where each begins and the end) of runs of pieces that are handled at once."""
+    first = 0
+    while first < len(pieces):
+        stop, size = first + 1, len(pieces[first])
+        while stop < len(pieces) and size + len(pieces[stop]) <= PART_BYTES:
+            size += len(pieces[stop])
+            stop += 1
+        yield first, stop, np.frombuffer(b"".join(pieces[first:stop]), np.uint8), np.cumsum([0, *map(len, pieces[first:stop])])
+        first = stop
+
+
+def _within(begin: np.ndarray, length: int) -> np.ndarray:
+    """The places from which `length` bytes on lie in one piece, in order; pieces are at least so long."""
+    n = np.diff(begin) - length + 1
+    return np.arange(n.sum()) + np.repeat(begin[:-1] - np.cumsum(n) + n, n)
+
+
+def letter_places(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where letters begin in data, the piece of each, for each place that sees so far in its piece: the number of the letter it meets first)."""
+    seen = _within(begin, REACH + TOLD - 1)
+    first = _least(_place_hashes(data), REACH)[seen]
+    piece = np.searchsorted(begin, seen, "right") - 1
+    turn = np.concatenate(([True], (first[1:] != first[:-1]) | (piece[1:] != piece[:-1])))
+    number = np.full(len(data), -1)
+    number[seen] = np.cumsum(turn) - 1
+    return first[turn], piece[turn], number
 
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = [("sid", pa.int64()), ("idx", pa.int64()), ("at", pa.int64()), ("until", pa.int64()), ("letter", pa.binary())]
     for batch in batches:
-        rows = []
-        for sid, piece in zip(batch.column("sid").to_pylist(), as_bytes(batch.column("bytes")), strict=True):
-            places, _ = letter_places(np.frombuffer(piece, np.uint8))
-            rows += [(sid, i, p, p + LETTER if p + LETTER <= len(piece) else ENDLESS, piece[p : p + LETTER]) for i, p in enumerate(places.tolist())]
-        yield _batch(list(zip(*rows, strict=True)) or [[]] * 5, schema)
+        sids, pieces = batch.column("sid").to_numpy(), as_bytes(batch.column("bytes"))
+        for a, b, data, begin in _groups(pieces):
+            places, piece, _ = letter_places(data, begin)
+            idx = np.arange(len(places)) - np.searchsorted(piece, piece)
+            at, length = places - begin[piece], np.diff(begin)[piece]
+            until = np.where(at + LETTER <= length, at + LETTER, ENDLESS)
+            letters = [pieces[a + p][x : x + LETTER] for p, x in zip(piece.tolist(), at.tolist(), strict=True)]
+            yield _batch([sids[a:b][piece], idx, at, until, letters], schema)
 
 
 _LETTERS = "sid bigint, idx bigint, at bigint, until bigint, letter binary"
@@ -327,25 +352,30 @@ def _window_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
         for batch in batches:
-            out = [[] for _ in names]
-            for sid, piece, ranks in zip(batch.column("sid").to_pylist(), as_bytes(batch.column("bytes")), batch.column("ranks").to_pylist(), strict=True):
-                data = np.frombuffer(piece, np.uint8)
+            sids, pieces, ranks = batch.column("sid").to_numpy(), as_bytes(batch.column("bytes")), batch.column("ranks")
+            for a, b, data, begin in _groups(pieces):
+                places, piece, number = letter_places(data, begin)
+                part = ranks.slice(a, b - a)
+                of = np.repeat(np.arange(b - a), np.diff(part.offsets.to_numpy()))
+                idx, rank = (part.flatten().field(i).to_numpy() for i in (0, 1))
+                by_letter = np.zeros(len(places), np.int64)
+                by_letter[np.searchsorted(piece, of) + idx] = rank
                 digest = sums(data)
-                every = np.arange(len(data) - window + 1)
-                own, start, which, count = np.unique(digest(every, every + window), return_index=True, return_inverse=True, return_counts=True)
-                places, number = letter_places(data)
-                rank = np.zeros(len(places), np.int64)
-                for r in ranks:
-                    rank[r["idx"]] = r["rank"]
-                number = number[start]
-                meets = places[number]
+                every = _within(begin, window)
+                own, home = digest(every, every + window), np.searchsorted(begin, every, "right") - 1
+                order = np.lexsort((every, own, home))
+                same = (home[order][1:] == home[order][:-1]) & (own[order][1:] == own[order][:-1])
+                lead, twice = np.concatenate(([True], ~same)), np.concatenate((same, [False])) | np.concatenate(([False], same))
+                first, again = order[lead], order[twice]
+                start = every[first]
+                meets = places[number[start]]
                 before = mix_bits(digest(start, meets + KEY) + (meets - start).astype(np.uint64))
-                again = every[count[which] > 1]
-                apart = mix_bits((again.astype(np.uint64) + np.uint64(sid & (1 << 63) - 1)) * _STEP)
-                columns = ((before, apart), (rank[number], np.full(len(again), -1)), (own, apart), (np.full(len(start), sid), np.full(len(again), sid)), (start, again))
-                for c, x in zip(out, columns, strict=True):
-                    c += [y.view(np.int64) for y in x]
-            yield _batch(_joined(out, [np.int64] * 5), schema)
+                apart = mix_bits(every[again].astype(np.uint64) * _TURN + sids[a:b][home[again]].astype(np.uint64) * _STEP)
+                columns = (
+                    (before, apart), (by_letter[number[start]], np.full(len(again), -1)), (own[first], apart),
+                    (sids[a:b][home[first]], sids[a:b][home[again]]), (start - begin[home[first]], every[again] - begin[home[again]]),
+                )
+                yield _batch([np.concatenate([y.view(np.int64) for y in x]) for x in columns], schema)
 
     return run, ", ".join(f"{n} bigint" for n in names)
 
@@ -401,12 +431,12 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """(h1, h2, ranges) of the bytes of texts (h1, h2, text) that repeats cover; ranges: array of (first, stop)."""
     folder = Folder(texts.sparkSession)
     run, schema = _anchor_rows(window, gram)
-    found = texts.mapInArrow(run, schema)
+    found = folder.put(texts.mapInArrow(run, schema), "anchors")
     again = folder.put(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "again")
     flags = folder.put(found.join(again, "core").groupBy("h1", "h2").agg(F.collect_list("mark").alias("marks")), "flags")
     run, schema = _context_rows(window, gram)
     each = folder.put(texts.join(flags, ["h1", "h2"]).mapInArrow(run, schema), "contexts")
-    folder.drop("again", "flags")
+    folder.drop("anchors", "again", "flags")
     one = F.min(F.struct("h1", "h2", "start", "windows")).alias("one")
     contexts = folder.put(each.groupBy("core", "context").agg(F.count("*").alias("n"), one), "distinct")
     unsure = contexts.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")

@@ -119,7 +119,8 @@ class ShardStore:
             writer = writer.option("maxRecordsPerFile", rows_per_file)
         writer.parquet(target)
         counts = {}
-        for r in self.spark.read.schema(df.schema).parquet(target).select(F.col("_metadata.file_name").alias("f")).groupBy("f").count().collect():
+        there = self.spark.read.schema(df.schema).parquet(target)
+        for r in there.select(there.metadataColumn("_metadata")["file_name"].alias("f")).groupBy("f").count().collect():
             counts[r["f"]] = r["count"]
         fs, path = hadoop_path(self.spark, target)
         files = sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(path))
@@ -231,7 +232,7 @@ class ShardStore:
             [(s.path.rsplit("/", 2)[1] + "/" + s.path.rsplit("/", 1)[1], i, s.rows, s.bytes) for i, s in enumerate(held["shards"])],
             f"{at} string, shard int, shard_rows bigint, shard_bytes bigint",
         )
-        file = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1)
+        file = F.regexp_extract(rows.metadataColumn("_metadata")["file_path"], "([^/]+/[^/]+)$", 1)
         rows = rows.select(*[F.col(f"`{c}`") for c in own.columns], file.alias(at))
         listed = F.broadcast(listed) if len(held["shards"]) <= BROADCAST_SHARDS else listed
         return rows.join(listed, at).drop(at).withColumn("version", F.lit(held["version"]))

@@ -386,7 +386,7 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, gro
     return copies, repeats
 
 
-@keeps_own("k", "h", "_copy", "_ranges")
+@keeps_own("k", "h", "_copy", "_ranges", "flags")
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, text_too: bool = True) -> DataFrame:
     """docs with n_words, n_removed and kept_text (or kept_sha256 instead, if not text_too).
 

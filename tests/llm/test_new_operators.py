@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyrill.llm import periodic, registry, suffix_array, vector_codes
+from tallyrill.llm import periodic, registry, sharding, substring_dedup, suffix_array, vector_codes
 from tests.llm.test_operators import KINDS, sha
 from tests.oracle import connect, same
 
@@ -241,3 +241,14 @@ def test_codes_edges(spark, monkeypatch):
     monkeypatch.setattr(vector_codes, "BROADCAST_LABELS", 0)
     salted = {r.vec_id: r.total for r in vector_codes.with_label_sums(out.withColumn("error", F.col("vec_id") + 1), "total").collect()}
     assert few == salted == {1: 4, 8: 9, None: 9}
+
+
+# ---- clashing names of earlier operators ----------------------------------------------------------------------------
+
+
+def test_columns_named_like_inner_ones(spark):
+    docs = spark.createDataFrame([(i, "one two three four five " * 8) for i in range(3)], "doc_id bigint, text string").selectExpr("*", "7 as flags", "8 as _metadata")
+    out = substring_dedup.dedup_substrings(docs).collect()
+    assert {(r.flags, r._metadata) for r in out} == {(7, 8)} and sorted(r.n_removed for r in out)[1:] == [40, 40]
+    out = sharding.shard_documents(docs).collect()
+    assert len(out) == 3 and {(r.flags, r._metadata) for r in out} == {(7, 8)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyrill.functions import scalars as S
 from tallyrill.functions import text as T
 from tallyrill.functions import watches as W
+from tallyrill.functions.regex import needles
 from tests import watches_twin as twin
 
 
@@ -179,3 +180,19 @@ def test_scalars(spark):
     assert get(T.feed_price_cents(lit("USD"))) == 0 and get(T.feed_price_cents(lit("$1,299.99 USD"))) == 129999
     assert get(T.minor_units(lit(5000.0), lit("JPY"))) == 5000 and get(T.currency_of(lit("€"))) == "EUR"
     assert get(T.condition_of_code(lit("3000"), lit("x"))) == "used" and get(T.condition_of_code(lit(None, "string"), lit("Open Box"))) == "unworn"
+
+
+def test_needles():
+    """What is told to be in every match is there; alternatives are told together."""
+    assert needles(r"\b(?:vs\.?|versus)\b") == ("versus", "vs") and needles(r"\bwatches?\b") == ("watche",) and needles(r"(\d+)?\s*") == ()
+    assert needles(r"(?:a\s+)?couple") == ("couple",) and needles(r"(?:x|\d)y?") == () and needles(r"(?:AB)+c{0,2}") == ("ab",)
+
+
+def test_texts_are_made_once(spark):
+    """The text of a rule is no part of each of its patterns, nor is a pattern searched for each use of what it finds."""
+    df = spark.createDataFrame([("x", "y")], "title string, description string")
+    for make, mark, most in ((T.usd_price_cents, "20E3", 3), (T.condition, "array_join", 3), (T.watch_type, "array_join", 3)):
+        plan = df.select(make(F.col("title"), F.col("description")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count(mark) <= most, mark
+    price = df.select(T.usd_price_cents(F.col("title")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert price.count("regexp_extract") <= 2 * len(T.PRICES)

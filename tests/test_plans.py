@@ -53,3 +53,15 @@ def test_sessions_are_reduced_once(stored):
 def test_searches_without_click_is_no_null_aware_join(stored):
     p = plan(E.searches_by_click(stored("analytics_events"), "2024-01-31").select(F.col("n")))
     assert "LeftAnti" in p and "LeftSemi" in p and "isNullAwareAntiJoin" not in p
+
+
+def test_lines_are_moved_once_for_window_and_orders(spark, sf_dir):
+    """Lines lie by their order: no exchange by the window's keys in between."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(view(spark, sf_dir, "listings"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(l_orderkey" in p
+    assert not [line for line in p.split("\n") if "hashpartitioning(l_suppkey" in line and "l_linenumber" in line]

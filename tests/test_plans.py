@@ -65,3 +65,35 @@ def test_lines_are_moved_once_for_window_and_orders(spark, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "hashpartitioning(l_orderkey" in p
     assert not [line for line in p.split("\n") if "hashpartitioning(l_suppkey" in line and "l_linenumber" in line]
+
+
+WATCH = "struct<brand: string, reference: string>"
+
+
+def _parsed(watch):
+    none = F.lit(None)
+    return {"watch": watch, "condition": none.cast("string"), "watch_type": none.cast("string"), "price_cents": none.cast("bigint"), "is_bundle": F.lit(False), "is_sold": F.lit(False)}
+
+
+def test_backfill_parses_once(spark, stored):
+    watch = F.when(F.col("title") != "a mark", F.struct(F.upper("title").alias("brand"), F.lower("title").alias("reference")))
+    df = R.backfill_parse(stored("listings"), stored("reviews"), _parsed(watch), Q.at(LISTINGS_AS_OF))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        p = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert p.count("a mark") == 1
+
+
+def test_backfill_parses_only_what_may_be_written(stored):
+    """No row whose labels are kept is parsed; those of one free label are."""
+    free = R.may_overwrite("brand") | R.may_overwrite("reference")
+    found = F.struct(F.lit("B").alias("brand"), F.lit("R").alias("reference"))
+    parsed = _parsed(F.when(free, found).otherwise(F.raise_error(F.lit("parsed in vain")).cast(WATCH)))
+    reviewed = stored("reviews").where("bundle_reviewed").select(F.col("listing_id").alias("id"))
+    parsed["is_sold"] = F.when(~F.col("is_sold"), F.lit(True)).otherwise(F.raise_error(F.lit("parsed in vain")).cast("boolean"))
+    got = R.backfill_parse(stored("listings"), stored("reviews"), parsed, Q.at(LISTINGS_AS_OF))
+    assert got.where("not is_sold").count() == 0 and got.join(reviewed, "id", "left_anti").where("is_bundle").count() == 0
+    kept = stored("listings").where(~R.may_overwrite("brand")).select("id", F.col("brand").alias("own"))
+    assert got.join(kept, "id").where("brand <> own").count() == 0 < got.where("brand = 'B'").count()

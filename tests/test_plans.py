@@ -97,3 +97,16 @@ def test_backfill_parses_only_what_may_be_written(stored):
     assert got.where("not is_sold").count() == 0 and got.join(reviewed, "id", "left_anti").where("is_bundle").count() == 0
     kept = stored("listings").where(~R.may_overwrite("brand")).select("id", F.col("brand").alias("own"))
     assert got.join(kept, "id").where("brand <> own").count() == 0 < got.where("brand = 'B'").count()
+
+
+def test_queue_reads_only_its_page(stored):
+    """Once the page is known, gold, reviews and listings are narrowed to it at their scans; a page beyond the bound is the same without."""
+    where = R.recent(LISTINGS_AS_OF, 180) & R.queues()["missing_brand"]
+    tables = [stored(n) for n in ("listings", "sources", "reviews", "gold")]
+    df = R.queue_rows(*tables, where, 7, 3)
+    p = plan(df)
+    assert "In(id, [" in p and p.count("In(listing_id, [") == 2
+    whole = R.queue_rows(*tables, where, R.PAGE_IDS + 1)
+    rows = whole.select("id", "first_seen_at", "source_name", "in_gold", "reasons").orderBy(F.desc("first_seen_at"), "id").collect()
+    assert sorted(rows[3:10]) == sorted(df.select("id", "first_seen_at", "source_name", "in_gold", "reasons").collect()) and len(rows) > 10
+    assert R.queue_rows(*tables, F.lit(False)).count() == 0

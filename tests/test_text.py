@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyrill.functions import scalars as S
 from tallyrill.functions import text as T
 from tallyrill.functions import watches as W
-from tallyrill.functions.regex import needles
+from tallyrill.functions.regex import bind, needles
 from tests import watches_twin as twin
 
 
@@ -188,6 +188,12 @@ def test_needles():
     assert needles(r"(?:a\s+)?couple") == ("couple",) and needles(r"(?:x|\d)y?") == () and needles(r"(?:AB)+c{0,2}") == ("ab",)
 
 
+def test_bind_gives_one_value(spark):
+    """A second parameter keeps its default: it is not given the place in the array."""
+    seen = lambda x, more=None: x if more is None else F.concat(x, more.cast("string"))
+    assert spark.range(1).select(bind(F.lit("a"), seen).alias("v")).first().v == "a"
+
+
 def test_texts_are_made_once(spark):
     """The text of a rule is no part of each of its patterns, nor is a pattern searched for each use of what it finds."""
     df = spark.createDataFrame([("x", "y")], "title string, description string")

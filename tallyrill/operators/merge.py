@@ -23,12 +23,12 @@ NO_COMMENT = "[no comment]"
 DESCRIPTION_CHARS = 65535
 
 
-def latest(incoming: DataFrame, key: tuple[str, ...], pos: str, sticky: tuple[str, ...] = ()) -> DataFrame:
-    """One row a key: the last by `pos`; of sticky columns the last value that is not null."""
+def latest(incoming: DataFrame, key: tuple[str, ...], pos: str, sticky: tuple[str, ...] = (), more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row a key: the last by `pos`; of sticky columns the last value that is not null. more: other aggregates of the same pass."""
     others = [c for c in incoming.columns if c not in key and c not in sticky]
     aggs = [F.max_by(c, pos).alias(c) for c in others]
     aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(c) for c in sticky if c in incoming.columns]
-    return incoming.groupBy(*key).agg(*aggs)
+    return incoming.groupBy(*key).agg(*aggs, *more)
 
 
 def merge(target: DataFrame, incoming: DataFrame, key: tuple[str, ...], update: dict[str, Column], insert: dict[str, Column] | None = None) -> DataFrame:
@@ -82,12 +82,14 @@ def upsert_forum(listings: DataFrame, incoming: DataFrame, reviews: DataFrame, n
     Of several rows of a key the later prices are folded onto the earlier by
     the same rule, as if they had come one by one.
     """
-    own = [c for c in incoming.columns if c not in KEY]
-    one = latest(incoming, KEY, pos, STICKY)
-    steps = incoming.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(pos, *PRICE))).alias("_prices"), F.min_by(F.struct(*PRICE), pos).alias("_first"))
-    one = one.join(steps, list(KEY)).select(*KEY, *[c for c in own if c != pos], "_prices", "_first")
-    locked = reviews.where("bundle_reviewed").select(F.col("listing_id").alias("id"), F.lit(True).alias("_locked")).distinct()
-    old = listings.join(locked, "id", "left")
+    prices = F.array_sort(F.collect_list(F.struct(pos, *PRICE))).alias("_prices")
+    one = latest(incoming.dropna(subset=list(KEY)), KEY, pos, STICKY, (prices,)).drop(pos)
+    # ids and keys alone move to the reviews; whole listings move once, to their key. Null-safe joins put no filter of
+    # their own on a scan, so that the moves of the lines below are the same and done once
+    locked = reviews.where("bundle_reviewed").select("listing_id").alias("r")
+    held = listings.select("id", *KEY).alias("l").join(locked, F.col("l.id").eqNullSafe(F.col("r.listing_id")), "left_semi").groupBy(*KEY).agg(F.collect_set("id").alias("_held"))
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"h.{k}")) for k in KEY]
+    one = one.alias("n").join(held.alias("h"), same, "left").select("n.*", "h._held")
     fold = lambda start: F.aggregate(F.col("n._prices"), start, lambda a, x: price_triple(tuple(a[c] for c in PRICE), tuple(x[c] for c in PRICE)))
     start = F.struct(*[F.col(f"o.{c}").cast("bigint").alias(c) for c in PRICE])
     none = F.struct(*[F.lit(None).cast("bigint").alias(c) for c in PRICE])
@@ -95,12 +97,12 @@ def upsert_forum(listings: DataFrame, incoming: DataFrame, reviews: DataFrame, n
     update |= {c: F.coalesce(f"n.{c}", f"o.{c}") for c in STICKY if c in incoming.columns}
     update |= {c: fold(start)[c] for c in PRICE}
     update |= {
-        "is_bundle": F.when(F.coalesce(F.col("o._locked"), F.lit(False)), F.col("o.is_bundle")).otherwise(F.col("n.is_bundle")),
+        "is_bundle": F.when(F.coalesce(F.array_contains("n._held", F.col("o.id")), F.lit(False)), F.col("o.is_bundle")).otherwise(F.col("n.is_bundle")),
         "sold_at": sold_at(F.col("n.is_sold"), F.col("o.is_sold"), F.col("o.sold_at"), now),
         "last_seen_at": now,
     }
     insert = {c: fold(none)[c] for c in PRICE} | {"sold_at": F.when(F.col("n.is_sold"), now), "first_seen_at": now, "last_seen_at": now}
-    return merge(old, one, KEY, update, insert).select(*listings.columns)
+    return merge(listings, one, KEY, update, insert)
 
 
 def upsert_overwriting(listings: DataFrame, incoming: DataFrame, taken: tuple[str, ...], now: Column, pos: str = "pos") -> DataFrame:
